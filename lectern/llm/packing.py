@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -32,17 +33,27 @@ from lectern.llm._common import materialise, prepare
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-#: Words that a Python worker keeps the ids of; beyond it the worker starts anew, so its memory is bounded.
-KEPT_WORDS = 600_000
+#: Ids of words that a Python worker keeps; beyond it the worker starts anew, so its memory is bounded.
+KEPT_IDS = 8_000_000
+_SLOTS = 21
 #: Rows of one (length, salt) group that a task ranks.
 RANKED_TOGETHER = 50_000
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: Words of these letters alone are one piece for the vocabulary's splitter.
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Texts of code points below this, and without apostrophes or the one capital that two characters make in lower case, are plain.
+_PLAIN = 0x180
+_ODD = re.compile("['\u0130]|[^\x00-\u017f]")
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0"
+#: Pieces of so many characters go through the tokenizer each time.
+_LONGEST = 96
 
 
 class WordTokenizer:
-    """Ids of whole texts, with the ids of words kept: the vocabulary's normaliser and splitter never look past white space."""
+    """Ids of whole texts, with the ids of words kept.
+
+    The vocabulary's splitter makes pieces of letters, of single digits and of other signs, and never looks past
+    white space. For texts of the first ``_PLAIN`` code points without apostrophes the same cuts are made here for
+    many texts at once, and each piece is known by a 64-bit hash of its lower-case letters; the tokenizer itself
+    gives the ids of pieces not met lately. Other texts go through the tokenizer whole.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -51,41 +62,96 @@ class WordTokenizer:
         self.model.encode_special_tokens = True  # control strings in a text are ordinary text
         self.model.no_padding()
         self.model.no_truncation()
-        self.ids: dict[str, bytes] = {}
+        chars = [chr(i) for i in range(_PLAIN)]
+        self.kind = np.array([0 if c in _SPACE else 1 if c.isalpha() else 2 if unicodedata.category(c)[0] == "N" else 3 for c in chars], dtype=np.uint8)
+        self.lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in chars)
+        r = np.random.default_rng(5)
+        self.of_char = r.integers(1, 2**63, _PLAIN, dtype=np.uint64)
+        self.of_char = self.of_char[[min(ord(c), _PLAIN - 1) for c in self.lower]]
+        self.of_place = r.integers(1, 2**62, _LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(1 << _SLOTS, dtype=np.uint64)
+        self.at, self.size = np.zeros(1 << _SLOTS, dtype=np.int64), np.zeros(1 << _SLOTS, dtype=np.int64)
+        self.pool, self.used = np.zeros(1 << 20, dtype="<u4"), 0
 
     def _packed(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.model.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        """Words of plain letters, with or without a mark at the end, are made of their lower-case word and the mark."""
-        ids, made = self.ids, {}
-        for w in words:
-            core, tail = (w[:-1], w[-1]) if w[-1] in ".,!?" else (w, "")
-            if _PLAIN.fullmatch(core) and (tail or not core.islower()):
-                made[w] = (core.lower(), tail)
-        need = {p for pair in made.values() for p in pair if p} | (words - made.keys())
-        need -= ids.keys()
-        plain = [w for w in need if _PLAIN.fullmatch(w)]
-        rest = list(need.difference(plain))
-        ids.update(zip(rest, self._packed(rest), strict=True))
-        for i in range(0, len(plain), 5000):  # many in one call, told apart by the splitter's word numbers
-            part = plain[i : i + 5000]
-            e = self.model.encode(" ".join(part), add_special_tokens=False)
-            cuts = np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1)) * 4
-            raw = np.array(e.ids, dtype="<u4").tobytes()
-            ids.update((w, raw[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
-        ids.update((w, ids[a] + ids[b] if b else ids[a]) for w, (a, b) in made.items())
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Where the pool holds ``ids`` from now on."""
+        at = self.used
+        while at + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places and numbers of the ids of lower-case pieces. Many pieces of letters go in one call, told apart by the splitter's word numbers."""
+        at, size = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        letters = [i for i, w in enumerate(words) if w.isalpha()]
+        for j in range(0, len(letters), 5000):
+            part = letters[j : j + 5000]
+            e = self.model.encode(" ".join([words[i] for i in part]), add_special_tokens=False)
+            cuts = np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))
+            at[part] = self._keep(np.array(e.ids, dtype="<u4")) + cuts[:-1]
+            size[part] = np.diff(cuts)
+        rest = [i for i, w in enumerate(words) if not w.isalpha()]
+        for i, raw in zip(rest, self._packed([words[i] for i in rest]), strict=True):
+            at[i], size[i] = self._keep(np.frombuffer(raw, dtype="<u4")), len(raw) // 4
+        return at, size
+
+    def _plain_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of plain characters, all at once."""
+        if self.used > KEPT_IDS:
+            self._forget()
+        joined = "\n".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+        kind = self.kind[codes]
+        inside = kind != 0
+        if not inside.any():
+            return [b""] * len(texts)
+        first = np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] == 2)] & inside
+        start = np.flatnonzero(first)
+        piece = np.cumsum(first) - 1
+        where = np.flatnonzero(inside)
+        owner = piece[where]
+        place = where - start[owner]
+        sizes = np.bincount(owner, minlength=len(start))
+        hashed = self.of_char[codes[where]] * self.of_place[np.minimum(place, _LONGEST - 1)]
+        key = np.add.reduceat(hashed, np.r_[0, np.cumsum(sizes)[:-1]])
+        key ^= key >> np.uint64(31)
+        slot = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)
+        at, size = self.at[slot], self.size[slot]
+        long = sizes >= _LONGEST
+        missed = np.flatnonzero((self.keys[slot] != key) & ~long)
+        if len(missed):
+            new, one, back = np.unique(key[missed], return_index=True, return_inverse=True)
+            words = [joined[a:z].lower() for a, z in zip(start[missed[one]].tolist(), (start + sizes)[missed[one]].tolist(), strict=True)]
+            new_at, new_size = self._learn(words)
+            at[missed], size[missed] = new_at[back], new_size[back]
+            slot = slot[missed[one]]
+            self.keys[slot], self.at[slot], self.size[slot] = new, new_at, new_size
+        for i in np.flatnonzero(long):
+            at[i], size[i] = (x[0] for x in self._learn([joined[start[i] : start[i] + sizes[i]].lower()]))
+        ends = np.cumsum(size)
+        ids = self.pool[np.repeat(at - (ends - size), size) + np.arange(ends[-1])].tobytes()
+        last = np.cumsum([len(t) + 1 for t in texts])
+        cut = np.r_[0, np.r_[0, ends][np.searchsorted(start, last)]] * 4
+        return [ids[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist())]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.split() if not any(c in t for c in _SEPARATORS) else None for t in texts]
-        new = set().union(*(s for s in split if s)) - self.ids.keys()
-        if len(self.ids) + len(new) > KEPT_WORDS:
-            self.ids.clear()
-            new = set().union(*(s for s in split if s))
-        self._learn(new)
-        for text, words in zip(texts, split, strict=True):
-            yield self._packed([text])[0] if words is None else b"".join(map(self.ids.__getitem__, words))
+        odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
+        plain = list(texts)
+        for i in odd:
+            plain[i] = ""
+        out = self._plain_ids(plain)
+        for i, ids in zip(odd, self._packed([texts[i] for i in odd]), strict=True):
+            out[i] = ids
+        return out
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
