@@ -6,8 +6,8 @@ at unit length. The vectors of each language's training sample are clustered by
 centroids. A text takes the language of the centroid with the largest cosine. It is rejected if it is farther from
 that centroid than all but a few training texts of about its length are from theirs, with room to spare.
 
-The fit sees at most ``SAMPLE`` rows of each language, those with the smallest hash of their text, so that the sample
-is the same however the rows are spread. Every row is predicted, from its whole text.
+The fit sees at most ``SAMPLE`` rows of each language, those with the smallest hash of id and text, so that the
+sample is the same however the rows are spread. Every row is predicted, from its whole text.
 
 Defined results: texts without a letter, and null texts, are ``und`` with score 0, and rejected; with no training
 rows all texts are ``und``; repeated rows each have a result; ties go to the language first in the alphabet.
@@ -23,12 +23,13 @@ from functools import cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm._common import prepare, remainder
 
 BUCKETS = 1 << 12
-SAMPLE = 1500
+SAMPLE = 1000
 #: Characters of a training text that the fit looks at. Prediction always takes the whole text.
 FIT_CHARS = 4000
 CENTROIDS = 4
@@ -112,13 +113,16 @@ def _clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(rows: list[tuple[str, str]], centroids: int = CENTROIDS) -> Model:
     """The model of (text, language) rows."""
-    taken = [(c, n, lang) for t, lang in rows for c, n in [counts(t[:FIT_CHARS])] if n]
+    taken = [(c.astype(np.float32), n, lang) for t, lang in rows for c, n in [counts(t[:FIT_CHARS])] if n]
     languages = sorted({lang for *_, lang in taken})
     if not taken:
         return Model(np.ones(BUCKETS), np.zeros((0, BUCKETS)), [], np.zeros(0, dtype=int), np.zeros(len(LENGTHS) + 1))
-    raw = np.array([c for c, *_ in taken])
-    idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1
-    x = _unit(np.sqrt(raw) * idf)
+    x = np.array([c for c, *_ in taken])
+    taken = [(None, n, lang) for _, n, lang in taken]
+    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
+    np.sqrt(x, out=x)
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     of = np.array([languages.index(lang) for *_, lang in taken])
     parts = [_clustered(x[of == i], centroids) for i in range(len(languages))]
     c, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -128,22 +132,19 @@ def fit(rows: list[tuple[str, str]], centroids: int = CENTROIDS) -> Model:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fold: int, size: int) -> list[tuple[str, str]]:
-    """At most ``size`` rows of each language from the training part, spread by the hash of the text.
+    """At most ``size`` rows of each language from the training part: those of smallest hash of id and text.
 
-    Each task keeps the rows of smallest hash that it may need; the driver gets ``size`` rows a language.
+    A slice of the hash range that holds about twice as many rows is ranked; the driver gets ``size`` rows a language.
     """
-    part = docs.filter((remainder(id_col, fold) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("l"), F.substring(F.col(text_col), 1, FIT_CHARS).alias("t"), F.xxhash64(F.col(text_col)).alias("h"))
-    n = {r["l"]: r["n"] for r in part.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(1000).collect()}
+    part = docs.filter((remainder(id_col, fold) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    n = {r["l"]: r["n"] for r in part.groupBy(F.col(lang_col).cast("string").alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(1000).collect()}
     share: Column = F.lit(0.0)
-    for lang, count in n.items():  # a slice of the hash range that holds about twice the rows asked for
-        share = F.when(F.col("l") == lang, F.lit(min(1.0, 2 * size / count + 0.02))).otherwise(share)
-    thin = part.filter((F.pmod(F.col("h"), F.lit(1_000_003)) / 1_000_003) < share)
-    kept: list[tuple[str, str]] = []
-    for lang in sorted(n):
-        rows = thin.filter(F.col("l") == lang).select("t", "h").orderBy("h", "t").limit(size).collect()
-        kept += [(r["t"], lang) for r in rows]
-    return kept
+    for lang, count in n.items():
+        share = F.when(F.col(lang_col).cast("string") == lang, F.lit(min(1.0, 2 * size / count + 0.001))).otherwise(share)
+    thin = part.withColumn("__h", F.xxhash64(id_col, text_col)).filter((F.pmod("__h", F.lit(1_000_003)) / 1_000_003) < share)
+    thin = thin.select(F.col(lang_col).cast("string").alias("l"), F.substring(F.col(text_col), 1, FIT_CHARS).alias("t"), F.col("__h").alias("h"))
+    ranked = thin.withColumn("k", F.row_number().over(W.partitionBy("l").orderBy("h", "t"))).filter(F.col("k") <= size)
+    return [(r["t"], r["l"]) for r in ranked.select("l", "t", "k").orderBy("l", "k").collect()]
 
 
 def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 5, size: int = SAMPLE) -> Model:
