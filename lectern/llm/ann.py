@@ -68,21 +68,25 @@ def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, size: np.nda
     """(query id, id, exact inner product) of each query's ``k`` best in one block."""
     dim = x.shape[1]
     turned = queries @ turn
-    planes, low, step = _planes(turned)
-    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
-    total, base = turned.sum(axis=1), queries @ mean
-    q_size = np.linalg.norm(queries, axis=1)
     spread = np.sqrt(np.maximum(1 - fit * fit, 0)) / fit / np.sqrt(max(1, dim - 1))
+    planes, low, step = _planes(turned)
+    planes, codes = np.ascontiguousarray(planes.transpose(0, 2, 1)), np.ascontiguousarray(codes.T)
+    small = np.uint16 if dim <= 4096 else np.uint32
+    ones = np.bitwise_count(codes).sum(axis=0, dtype=np.float32)
+    low, step, turned, queries32, size32, fit32, spread = (v.astype(np.float32) for v in (low, step, turned, queries, size, fit, spread))
+    total, base = turned.sum(axis=1), queries32 @ mean.astype(np.float32)
+    q_size = np.linalg.norm(queries32, axis=1)
+    scale = size32 / fit32 / np.float32(np.sqrt(dim))
     out: list[tuple[int, int, float]] = []
     for a in range(0, len(queries), _SLICE):
         part = slice(a, a + _SLICE)
-        hits = np.zeros((min(_SLICE, len(queries) - a), len(x)), dtype=np.int64)
+        hits = np.zeros((min(_SLICE, len(queries) - a), len(x)), dtype=small)
         for j in range(_QUERY_BITS):
-            for w in range(codes.shape[1]):
-                hits += np.bitwise_count(planes[j, part, w][:, None] & codes[None, :, w]).astype(np.int64) << j
-        signed = (2 * (low[part, None] * ones[None, :] + step[part, None] * hits) - total[part, None]) / np.sqrt(dim)
-        estimate = base[part, None] + size[None, :] * signed / fit[None, :]
-        off = CONFIDENCE * size[None, :] * (q_size[part, None] * spread[None, :] + step[part, None] / 3)
+            for w in range(len(codes)):
+                hits += np.bitwise_count(planes[j, w, part][:, None] & codes[None, w]).astype(small) << small(j)
+        signed = 2 * (low[part, None] * ones + step[part, None] * hits.astype(np.float32)) - total[part, None]
+        estimate = base[part, None] + signed * scale
+        off = CONFIDENCE * size32 * (q_size[part, None] * spread + step[part, None] / 3) + 1e-5 * q_size[part, None]
         for n in range(len(hits)):
             q, own = queries[a + n], query_ids[a + n]
             other = np.flatnonzero((ids != own) | (x != q).any(axis=1)) if (ids == own).any() else None
