@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +60,22 @@ def remainder(doc_id: str, by: int) -> Column:
 def span_key(spans: Column) -> Column:
     """kind:start:end of each span, joined by commas."""
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+_STATE: dict[str, Any] = {}
+
+
+def worker_state(key: str, build: Callable[[], Any]) -> Any:  # noqa: ANN401
+    """What a Python worker keeps between batches and tasks: of one operator at a time.
+
+    Workers outlive stages. When another operator begins, what the last one kept is freed and handed back to the system.
+    """
+    if key not in _STATE:
+        _STATE.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        _STATE[key] = build()
+    return _STATE[key]

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import prepare
+from lectern.llm._common import prepare, worker_state
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 TOKENIZER = "byte_bpe_50k.json"
@@ -89,7 +89,6 @@ def masked_texts(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.
     return [unescape(formatted[starts[a] : ends[b - 1]]) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-_TOKENIZERS: dict[str, object] = {}
 PARTS = "conv_id {id}, part bigint, n_turns bigint, formatted string, ids array<int>, starts array<int>, ends array<int>, mask array<tinyint>"
 
 
@@ -101,11 +100,10 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     ordered = named.repartition("c").sortWithinPartitions("c", "n", "r", "t")
 
     def finished(done: list[tuple[object, int, list[tuple[str, str]]]]) -> pd.DataFrame:
-        if name not in _TOKENIZERS:
-            _TOKENIZERS[name] = tokenizer(name)
+        tok = worker_state(f"chat {name}", lambda: tokenizer(name))
         made = [render(turns) for *_, turns in done]
         out = []
-        for (conv, part, turns), (text, spans), e in zip(done, made, _TOKENIZERS[name].encode_batch([t for t, _ in made], add_special_tokens=False), strict=True):
+        for (conv, part, turns), (text, spans), e in zip(done, made, tok.encode_batch([t for t, _ in made], add_special_tokens=False), strict=True):
             offsets = np.array(e.offsets, dtype=np.int32).reshape(-1, 2)
             out.append((conv, part, len(turns), text, np.array(e.ids, dtype=np.int32), offsets[:, 0].copy(), offsets[:, 1].copy(), loss_mask(offsets[:, 0], offsets[:, 1], spans)))
         return pd.DataFrame(out, columns=["conv_id", "part", "n_turns", "formatted", "ids", "starts", "ends", "mask"])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm._common import prepare
+from lectern.llm._common import prepare, worker_state
 
 EDIT_SPAN = 12
 BLOCK_CHARS = 4_000_000
@@ -172,15 +172,9 @@ class Matcher:
         return [(self.items[n].id, e, self.items[n].k, *source_span(text, a, b)) for n, (e, a, b) in sorted(found.items())]
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
 def _matcher(key: str, items: list[tuple[object, str]], edit_span: int) -> Matcher:
     """One automaton in each Python worker for the block that is at work."""
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(items, edit_span)
-    return _MATCHERS[key]
+    return worker_state(key, lambda: Matcher(items, edit_span))
 
 
 def _blocks(bench: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[object, str]]]:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm._common import prepare, remainder
+from lectern.llm._common import prepare, remainder, worker_state
 
 BUCKETS = 1 << 12
 SAMPLE = 1000
@@ -152,18 +152,16 @@ def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return fit(sample(docs, id_col, text_col, lang_col, fold, size))
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def predictor(docs: DataFrame, model: Model):  # noqa: ANN201
     """A column function: struct of lang, score, rejected for a text column."""
     prepare(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.pandas_udf("struct<lang:string,score:double,rejected:boolean>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = worker_state(key, lambda: sent.value)
         for texts in batches:
-            found = [x for i in range(0, len(texts), 250) for x in sent.value.predict(texts.iloc[i : i + 250].tolist())]
+            found = [x for i in range(0, len(texts), 100) for x in model.predict(texts.iloc[i : i + 100].tolist())]
             yield pd.DataFrame(found, columns=["lang", "score", "rejected"])
 
     return predict

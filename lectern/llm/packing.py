@@ -28,14 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm._common import materialise, prepare
+from lectern.llm._common import materialise, prepare, worker_state
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 #: Ids of words that a Python worker keeps; beyond it the worker starts anew, so its memory is bounded.
 KEPT_IDS = 8_000_000
-_SLOTS = 21
+_SLOTS = 20
 #: Rows of one (length, salt) group that a task ranks.
 RANKED_TOGETHER = 50_000
 #: Texts of code points below this, and without apostrophes or the one capital that two characters make in lower case, are plain.
@@ -154,9 +154,6 @@ class WordTokenizer:
         return out
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
 def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, keep_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and (if kept) ids, binary little-endian, of each piece of each document."""
     prepare(docs.sparkSession)
@@ -166,13 +163,12 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
 
-        if tokenizer not in _TOKENIZERS:
-            _TOKENIZERS[tokenizer] = WordTokenizer(public_tokenizers.path(tokenizer))
-        tok, end = _TOKENIZERS[tokenizer], struct.pack("<I", END_ID)
+        tok = worker_state(f"words {tokenizer}", lambda: WordTokenizer(public_tokenizers.path(tokenizer)))
+        end = struct.pack("<I", END_ID)
         for batch in batches:
             rows = []
             texts = [t if isinstance(t, str) else "" for t in batch["t"]]
-            for doc, ids in zip(batch["d"], chain.from_iterable(tok.encode(texts[i : i + 200]) for i in range(0, len(texts), 200)), strict=True):
+            for doc, ids in zip(batch["d"], chain.from_iterable(tok.encode(texts[i : i + 100]) for i in range(0, len(texts), 100)), strict=True):
                 ids += end
                 for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[a : a + 4 * capacity]
