@@ -1,0 +1,95 @@
+"""Answers and their proof: claims with citations, expansion lines, extracts. Short texts, driver-sized frames."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lectern.functions import text as X
+
+REFUSAL = "NO ANSWER IN PASSAGES"
+_CITED = re.compile(r'["“]([^"“”]+)["”]\s*\[(\d+)\]')
+_BARE = re.compile(r"([^.!?\n\"“”]+)\[(\d+)\]")
+CLAIMS = T.ArrayType(T.StructType([T.StructField("quote", T.StringType()), T.StructField("cited", T.IntegerType()), T.StructField("quoted", T.BooleanType())]))
+
+
+def find_claims(answer: str | None) -> list[tuple[str, int, bool]]:
+    """Quotations with the passage they cite, and citations without a quotation."""
+    if not answer:
+        return []
+    found = [(m.start(), m[1], int(m[2]), True, m.end()) for m in _CITED.finditer(answer)]
+    taken = {m[4] for m in found}
+    found += [(m.start(), m[1].strip(), int(m[2]), False, m.end()) for m in _BARE.finditer(answer) if m.end() not in taken]
+    return [(q, n, k) for _, q, n, k, _ in sorted(found)]
+
+
+@F.pandas_udf(CLAIMS)
+def claims(answers: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("quote", "cited", "quoted"), c, strict=True)) for c in find_claims(a)] for a in answers], dtype=object)
+
+
+def verify(found: DataFrame, passages: DataFrame) -> DataFrame:
+    """Claims (claim_id, quote, cited) against the passages (rank, text) they cite: verified if the passage holds the quotation."""
+    j = found.join(passages.select(F.col("rank").alias("cited"), F.col("text").alias("passage")), "cited", "left")
+    ok = F.coalesce(F.contains(X.plain_typography(F.col("passage")), X.plain_typography(F.col("quote"))), F.lit(False))
+    return j.select("claim_id", "cited", "quote", ok.alias("verified"))
+
+
+def redact_claims(answer: str, rejected: list[tuple[str, int, bool]]) -> str:
+    """The answer without what could not be verified."""
+    for quote, n, quoted in rejected:
+        pattern = rf'["“]{re.escape(quote)}["”]\s*\[{n}\]' if quoted else rf"{re.escape(quote)}\s*\[{n}\]"
+        answer = re.sub(pattern, "[removed]" if quoted else "[paraphrase, not in the source]", answer)
+    return answer
+
+
+def refused(answer: Column) -> Column:
+    """Whether a line of its own says that the passages hold no answer."""
+    return F.exists(F.split(answer, "\n"), lambda line: F.trim(line) == REFUSAL)
+
+
+def parse_expansion(reply: str | None, question: str, most: int = 3) -> dict[str, list[str]]:
+    """Lines lex:, vec: and hyde: of a model's reply, without its thinking, echoes, repeats or single words."""
+    out: dict[str, list[str]] = {"lex": [], "vec": [], "hyde": []}
+    asked = set(re.findall(r"\w+", question.lower()))
+    for line in re.sub(r"<think>.*?</think>", "", reply or "", flags=re.S).splitlines():
+        if not (m := re.match(r"\s*[-*]?\s*(lex|vec|hyde)\s*:\s*(.+)", line, re.I)):
+            continue
+        kind, said = m[1].lower(), m[2].strip().strip('"')
+        words = re.findall(r"\w+", said.lower())
+        if len(words) < 2 or set(words) == asked or len(out[kind]) >= most or any(said.lower().startswith(o.lower()) for o in out[kind]):
+            continue
+        out[kind].append(said)
+    return out
+
+
+def best_extract(text: str, terms: list[str], limit: int = 700) -> tuple[str, bool, bool]:
+    """The run of sentences of at most ``limit`` characters with the most hits; whether it was cut before and after."""
+    parts = [m.span() for m in re.finditer(r"[^.!?]+[.!?]*\s*", text)]
+    if not parts:
+        return text[:limit], False, len(text) > limit
+    hits = [sum(t in text[a:b].lower() for t in terms) for a, b in parts]
+    best, where = (-1, -1), (0, min(len(text), limit))
+    for i, (a, _) in enumerate(parts):
+        n = 0
+        for j in range(i, len(parts)):
+            if parts[j][1] - a > limit:
+                break
+            n += hits[j]
+            if (n, parts[j][1] - a) > best:
+                best, where = (n, parts[j][1] - a), (a, parts[j][1])
+    return text[where[0] : where[1]].strip(), where[0] > 0, where[1] < len(text)
+
+
+def summarise(ask: Callable[[str], str], question: str, passages: list[str]) -> tuple[str, list[tuple[str, int, bool]]]:
+    """An answer of an injected model, with what it could not prove removed, and its claims."""
+    listed = "\n\n".join(f"[{i}] {p[:1600]}" for i, p in enumerate(passages, 1))
+    answer = ask(f"Answer from the passages only, quoting and citing them as \"...\" [n]. If they hold no answer, say {REFUSAL}.\n\n{listed}\n\nQuestion: {question}")
+    found = find_claims(answer)
+    bad = [c for c in found if not (1 <= c[1] <= len(passages) and c[2] and " ".join(c[0].split()) in " ".join(passages[c[1] - 1].split()))]
+    return redact_claims(answer, bad), found

@@ -1,4 +1,6 @@
 """All queries of the library with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lectern.plans import corpus, reports, retrieval  # noqa: F401
+from lectern.plans._registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
