@@ -1,0 +1,227 @@
+"""Queries of reports, evaluation, answers and journals."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lectern.functions import text as X
+from lectern.operators import answers as A
+from lectern.operators import corpus as C
+from lectern.operators import retrieval as R
+from lectern.plans._registry import query, table
+from lectern.plans.retrieval import CENTROIDS, TOK, fixed_centroids, vectors
+from lectern.streaming import incremental as S
+
+#: How much of each book is embedded: a prefix that goes with the book's number.
+DONE = "least(n, (book_id * 3) % (n + 2))"
+PROGRESS = f"SELECT conv_id AS book_id, n, {DONE.replace('book_id', 'conv_id')} AS done FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)"
+
+
+def progress(spark: SparkSession, sf: str) -> DataFrame:
+    books = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("book_id")).agg(F.count(F.lit(1)).alias("n"))
+    return books.withColumn("done", F.expr(DONE))
+
+
+@query(f"SELECT CAST(sum(n) AS BIGINT) AS live, CAST(sum(done) AS BIGINT) AS done, CAST(greatest(0, sum(n) - sum(done)) AS BIGINT) AS to_embed FROM ({PROGRESS})")
+def outstanding_work(spark: SparkSession, sf: str) -> DataFrame:
+    return progress(spark, sf).agg(F.sum("n").alias("live"), F.sum("done").alias("done"), F.greatest(F.lit(0), F.sum("n") - F.sum("done")).alias("to_embed"))
+
+
+@query(f"SELECT count(*) FILTER (WHERE done = n) AS complete, count(*) FILTER (WHERE done > 0 AND done < n) AS part_way, count(*) FILTER (WHERE done = 0) AS not_started, round(sum(done) / sum(n), 6) AS coverage FROM ({PROGRESS})")
+def model_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    p = progress(spark, sf)
+    return p.agg(F.count_if(F.col("done") == F.col("n")).alias("complete"), F.count_if((F.col("done") > 0) & (F.col("done") < F.col("n"))).alias("part_way"), F.count_if(F.col("done") == 0).alias("not_started"), F.round(F.sum("done") / F.sum("n"), 6).alias("coverage"))
+
+
+@query(f"SELECT book_id, n - done AS backlog FROM ({PROGRESS}) WHERE done > 0 AND done < n ORDER BY n - done DESC, book_id LIMIT 1")
+def progress_inflight(spark: SparkSession, sf: str) -> DataFrame:
+    """The book at work: of the largest backlog, the earliest."""
+    return progress(spark, sf).filter("done > 0 and done < n").select("book_id", (F.col("n") - F.col("done")).alias("backlog")).orderBy(F.desc("backlog"), "book_id").limit(1)
+
+
+#: Runs from the journal: a user is a model, the value its seconds, the event's number what it embedded.
+RUNS = "SELECT event_id AS id, user_id AS model_id, value AS seconds, event_id % 500 AS embedded, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 0.5 WHEN 2 THEN 7.0 ELSE 1.0 END AS duty, value * 1.5 AS wall_seconds FROM events"
+
+
+def runs(spark: SparkSession, sf: str) -> DataFrame:
+    e, i = table(spark, sf, "events"), F.col("event_id")
+    duty = F.when(i % 4 == 1, 0.5).when(i % 4 == 2, 7.0).when(i % 4 == 3, 1.0)
+    return e.select(i.alias("id"), F.col("user_id").alias("model_id"), F.col("value").alias("seconds"), (i % 500).alias("embedded"), duty.alias("duty"), (F.col("value") * 1.5).alias("wall_seconds"))
+
+
+@query(f"""SELECT model_id, round(v[len(v) // 2 + 1], 6) AS rate FROM (SELECT model_id, list_sort(list(embedded / seconds / CASE WHEN duty > 0 AND duty <= 1 THEN duty::DOUBLE ELSE 1.0::DOUBLE END)) AS v
+  FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY id DESC) AS r FROM ({RUNS}) WHERE seconds > 30 AND embedded > 0) WHERE r <= 10 GROUP BY model_id)""")
+def observed_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return C.observed_rate(runs(spark, sf)).withColumn("rate", F.round("rate", 6))
+
+
+@query(f"SELECT model_id, count(*) AS runs, round(sum(seconds), 4) AS seconds, CAST(sum(embedded) AS BIGINT) AS embedded, round(sum(embedded) / nullif(sum(seconds), 0), 6) AS mean_rate FROM ({RUNS}) GROUP BY model_id")
+def history_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return runs(spark, sf).groupBy("model_id").agg(F.count(F.lit(1)).alias("runs"), F.round(F.sum("seconds"), 4).alias("seconds"), F.sum("embedded").alias("embedded"), F.round(F.try_divide(F.sum("embedded"), F.sum("seconds")), 6).alias("mean_rate"))
+
+
+@query(f"SELECT id, round(wall_seconds - seconds, 6) AS asleep FROM ({RUNS}) WHERE wall_seconds - seconds >= 60")
+def asleep(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs during which the machine slept for a minute or more."""
+    gap = F.col("wall_seconds") - F.col("seconds")
+    return runs(spark, sf).filter(gap >= 60).select("id", F.round(gap, 6).alias("asleep"))
+
+
+@query("SELECT conv_id, turn, json_extract_string(to_json({'role': role, 'turn': turn}), '$.role') AS role FROM conversations WHERE text ILIKE '%ering%' ORDER BY conv_id DESC, turn DESC LIMIT 20")
+def question_log_find(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest questions that hold a text, whatever its case."""
+    c = table(spark, sf, "conversations").filter(F.col("text").ilike("%ering%")).orderBy(F.desc("conv_id"), F.desc("turn")).limit(20)
+    return c.select("conv_id", "turn", F.get_json_object(F.to_json(F.struct("role", "turn")), "$.role").alias("role"))
+
+
+@query(f"SELECT doc_id, array_to_string([t for t in regexp_extract_all(lower(substr(text, 1, 200)), '[\\p{{L}}\\p{{N}}_]+') if length(t) > 1 OR regexp_full_match(t, '[0-9]')], ' ') AS terms, len({TOK}) > 1 AS has_phrase FROM documents")
+def query_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Beginnings of texts as questions: their terms."""
+    t = X.query_terms(F.substring("text", 1, 200))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(t, " ").alias("terms"), (F.size(X.tokens(F.col("text"))) > 1).alias("has_phrase"))
+
+
+TERMS = ("erblest", "haea", "schen", "queño", "idiot")
+
+
+@query(f"SELECT term, count(doc_id) AS chunks, count(DISTINCT source) AS books FROM (SELECT unnest({list(TERMS)!r}) AS term) LEFT JOIN documents ON contains(lower(text), term) AND regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || term) GROUP BY term")
+def locate_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """In how many chunks and books an answer's term starts a word. All terms in one pass."""
+    d = table(spark, sf, "documents")
+    hits = F.filter(F.array(*map(F.lit, TERMS)), lambda t: F.contains(F.lower(F.col("text")), t) & F.regexp_like(F.lower(F.col("text")), F.concat(F.lit(r"(^|[^\p{L}\p{N}_])"), t)))
+    found = d.select("source", F.explode(hits).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("source").alias("books"))
+    wanted = d.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, TERMS))).alias("term"))
+    return wanted.join(found, "term", "left").select("term", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("books", F.lit(0)).alias("books"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'eron') AND regexp_matches(lower(text), '(^|[^a-z0-9_])eron')")
+def contains_term(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").filter(F.contains(F.lower("text"), F.lit("eron")) & F.lower("text").rlike("(^|[^a-z0-9_])eron")).select("doc_id")
+
+
+STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+STEM = "CASE WHEN w LIKE '%ing' AND length(w) >= 7 THEN w[:-4] WHEN w LIKE '%ed' AND length(w) >= 6 THEN w[:-3] WHEN w LIKE '%es' AND length(w) >= 6 THEN w[:-3] WHEN w LIKE '%s' AND length(w) >= 5 THEN w[:-2] ELSE w END"
+QWORDS = f"list_distinct([w for w in regexp_extract_all(lower(substr(text, 1, 80)), '[a-z0-9]+') if length(w) >= 3 AND w NOT IN ({STOP})])"
+
+
+@query(f"SELECT item_id, round(share, 6) AS share, CASE WHEN share >= 0.5 THEN 'shares' ELSE 'little' END AS band FROM (SELECT item_id, CASE WHEN len(q) > 0 THEN len([w for w in q if contains(lower(substr(text, 81)), {STEM})]) / len(q) ELSE 0 END AS share FROM (SELECT *, {QWORDS} AS q FROM benchmark))")
+def overlap_band(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of a question's wording its passage shares: the first 80 characters of an item against the rest."""
+    share = X.overlap_share(F.substring("text", 1, 80), F.expr("substring(text, 81)"))
+    return table(spark, sf, "benchmark").select("item_id", share.alias("s")).select("item_id", F.round("s", 6).alias("share"), F.when(F.col("s") >= 0.5, "shares").otherwise("little").alias("band"))
+
+
+#: Questions of the evaluation: vectors with ids below 40; what is looked for is their own book.
+EVAL = """SELECT kind, query_id, max(CASE WHEN rank = 1 AND hit THEN 1 ELSE 0 END) AS at1, max(CASE WHEN hit THEN 1 ELSE 0 END) AS atk FROM (SELECT q.vec_id AS query_id, q.vec_id % 4 AS kind, e.label = q.label AS hit,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)) DESC, e.vec_id) AS rank
+  FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id < 40) WHERE rank <= 5 GROUP BY kind, query_id"""
+
+
+@query(f"SELECT kind, count(*) AS questions, CAST(sum(at1) AS BIGINT) AS recall_at_1, CAST(sum(atk) AS BIGINT) AS recall_at_k FROM ({EVAL}) GROUP BY kind")
+def eval_recall_by_kind(spark: SparkSession, sf: str) -> DataFrame:
+    """Forty questions in one batch: how many find their book first, or among five."""
+    v = vectors(spark, sf)
+    asked = v.filter("chunk_id < 40").select(F.col("chunk_id").alias("query_id"), F.col("book_id").alias("wanted"), F.col("embedding").alias("query"))
+    hits = R.flat_many(v, asked.drop("wanted"), 6).filter("query_id <> chunk_id")
+    again = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).filter("rank <= 5")
+    j = again.join(v.select("chunk_id", "book_id"), "chunk_id").join(F.broadcast(asked.select("query_id", "wanted")), "query_id")  # forty rows
+    per = j.groupBy("query_id").agg(F.max(((F.col("rank") == 1) & (F.col("book_id") == F.col("wanted"))).cast("int")).alias("at1"), F.max((F.col("book_id") == F.col("wanted")).cast("int")).alias("atk"))
+    return per.groupBy((F.col("query_id") % 4).alias("kind")).agg(F.count(F.lit(1)).alias("questions"), F.sum("at1").alias("recall_at_1"), F.sum("atk").alias("recall_at_k"))
+
+
+@query("SELECT h AS holding, b AS breadth, round(CASE WHEN b <= 0 OR n - h < b THEN 1 ELSE 1 - list_product([(n - h - i)::DOUBLE / (n - i) for i in range(0, b)]) END, 6) AS chance FROM (SELECT count(DISTINCT label) AS n FROM embeddings), (SELECT unnest(range(1, 11)) AS h), (SELECT unnest([1, 3, 5]) AS b)")
+def routing_chance(spark: SparkSession, sf: str) -> DataFrame:
+    """The chance that a random choice of books holds one of those wanted."""
+    n = vectors(spark, sf).agg(F.count_distinct("book_id").alias("n"))
+    g = n.select("n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(10).cast("bigint"))).alias("h")).select("n", "h", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))).alias("b"))
+    miss = F.aggregate(F.sequence(F.lit(0), F.greatest(F.col("b") - 1, F.lit(0))), F.lit(1.0), lambda a, i: a * (F.col("n") - F.col("h") - i) / (F.col("n") - i))
+    return g.select(F.col("h").alias("holding"), F.col("b").alias("breadth"), F.round(F.when((F.col("b") <= 0) | (F.col("n") - F.col("h") < F.col("b")), 1.0).otherwise(1 - miss), 6).alias("chance"))
+
+
+@query(f"""SELECT query_id, count(*) FILTER (WHERE book_id = wanted) AS kept FROM (SELECT q.vec_id AS query_id, q.label AS wanted, c.book_id,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY max(list_dot_product(list_transform(c.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE))) DESC, c.book_id) AS r
+  FROM (SELECT * FROM embeddings WHERE vec_id < 40) q, ({CENTROIDS}) c GROUP BY q.vec_id, q.label, c.book_id) WHERE r <= 5 GROUP BY query_id""")
+def routing_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a question's own book is among the five that it is routed to."""
+    q = vectors(spark, sf).filter("chunk_id < 40").select(F.col("chunk_id").alias("query_id"), F.col("book_id").alias("wanted"), F.col("embedding").alias("query"))
+    from lectern.functions import vectors as V
+
+    best = fixed_centroids(spark, sf).join(F.broadcast(q)).groupBy("query_id", "wanted", "book_id").agg(F.max(V.dot(F.col("direction"), F.col("query"))).alias("score"))  # forty rows
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "book_id"))
+    return best.withColumn("r", rank).filter("r <= 5").groupBy("query_id").agg(F.count_if(F.col("book_id") == F.col("wanted")).alias("kept"))
+
+
+@query(r"""SELECT doc_id, array_to_string(w[len(w) // 4 + 1 : len(w) // 4 + 9], ' ') AS phrase FROM (SELECT doc_id, [x for x in regexp_split_to_array(text, '\s+') if x <> ''] AS w FROM documents) WHERE len(w) >= 18""")
+def lexical_safety(spark: SparkSession, sf: str) -> DataFrame:
+    """Nine words of each text from a quarter in: the probes of lexical safety."""
+    return table(spark, sf, "documents").select("doc_id", X.distinctive_phrase(F.col("text")).alias("phrase")).filter("phrase is not null")
+
+
+CLAIMS = "(VALUES (1, 1, 'a “quoted”  text'), (2, 1, 'not there'), (3, 9, 'a \"quoted\" text'), (4, 2, 'fine')) t(claim_id, cited, quote)"
+PASSAGES = "(VALUES (1, 'It holds a \"quoted\" text.'), (2, 'All is ﬁne here')) t(rank, text)"
+
+
+def _plain_sql(c: str) -> str:
+    for a, b in X.TYPOGRAPHY.items():
+        c = f"replace({c}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT claim_id, c.cited, quote, coalesce(contains({_plain_sql('p.text')}, {_plain_sql('quote')}), false) AS verified FROM (SELECT * FROM {CLAIMS}) c LEFT JOIN (SELECT * FROM {PASSAGES}) p ON p.rank = c.cited")
+def verify_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    return A.verify(spark.sql(f"SELECT * FROM {CLAIMS}"), spark.sql(f"SELECT * FROM {PASSAGES}"))
+
+
+@query(f"SELECT doc_id, {_plain_sql('text')} AS plain FROM documents")
+def normalise_typography(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", X.plain_typography(F.col("text")).alias("plain"))
+
+
+@query("SELECT conv_id, turn, list_contains([trim(l) for l in string_split(text, chr(10))], 'NO ANSWER IN PASSAGES') AS refused FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text || chr(10) || ' NO ANSWER IN PASSAGES ' ELSE text END AS text FROM conversations)")
+def refused(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").withColumn("text", F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("\n NO ANSWER IN PASSAGES "))).otherwise(F.col("text")))
+    return c.select("conv_id", "turn", A.refused(F.col("text")).alias("refused"))
+
+
+@query()
+def find_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn as an answer that quotes its beginning: the claims found in it."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit('It says "'), F.regexp_replace(F.substring("text", 1, 40), '["“”\n]', " "), F.lit('" [1]. And so on [2].')).alias("answer"))
+    return c.select("conv_id", "turn", F.explode(A.claims(F.col("answer"))).alias("c")).select("conv_id", "turn", "c.*")
+
+
+@query("SELECT CASE WHEN books = 0 THEN 'add' WHEN chunks = 0 THEN 'check' WHEN pending > 0 THEN 'embed' WHEN unprofiled > 0 THEN 'route' WHEN dead > chunks / 4 THEN 'compact' ELSE 'ask' END AS step FROM (SELECT (SELECT count(*) FROM documents) AS books, (SELECT count(*) FROM conversations) AS chunks, (SELECT count(*) FROM embeddings WHERE label > 20) AS pending, (SELECT count(*) FROM embeddings WHERE label < 0) AS unprofiled, (SELECT count(*) FROM conversations WHERE turn > 1) AS dead)")
+def next_step_rule(spark: SparkSession, sf: str) -> DataFrame:
+    n = lambda t, cond="true": table(spark, sf, t).agg(F.count_if(F.expr(cond)).alias("n"))
+    parts = {"books": n("documents"), "chunks": n("conversations"), "pending": n("embeddings", "label > 20"), "unprofiled": n("embeddings", "label < 0"), "dead": n("conversations", "turn > 1")}
+    one = None
+    for name, df in parts.items():  # each is one row
+        df = df.withColumnRenamed("n", name)
+        one = df if one is None else one.join(F.broadcast(df))
+    return C.next_step(one).select("step")
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def events_tumbling(spark: SparkSession, sf: str) -> DataFrame:
+    """Extension: activity by the hour."""
+    return S.tumbling(table(spark, sf, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, g")
+def events_session(spark: SparkSession, sf: str) -> DataFrame:
+    """Extension: sessions of users."""
+    return S.sessions(table(spark, sf, "events"))
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS books, (SELECT count(DISTINCT source) FROM documents) AS shelves, (SELECT CAST(sum(strlen(text)) AS BIGINT) FROM documents) AS bytes, (SELECT count(*) FROM embeddings) AS vectors")
+def status_totals(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("books"), F.count_distinct("source").alias("shelves"), F.sum(F.octet_length("text")).alias("bytes"))
+    return d.join(F.broadcast(table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("vectors"))))  # one row each
+
+
+@query("SELECT name, CASE WHEN regexp_full_match(name, '[0-9]+[smh]?') THEN CAST(regexp_extract(name, '[0-9]+') AS BIGINT) * CASE right(name, 1) WHEN 'h' THEN 3600 WHEN 'm' THEN 60 ELSE 1 END END AS seconds FROM (VALUES ('90'), ('30m'), ('2h'), ('5s'), ('soon')) t(name)")
+def parse_duration(spark: SparkSession, sf: str) -> DataFrame:
+    names = spark.range(1).select(F.explode(F.array(*map(F.lit, ("90", "30m", "2h", "5s", "soon")))).alias("name"))
+    return names.select("name", X.duration_seconds(F.col("name")).alias("seconds"))
