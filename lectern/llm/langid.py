@@ -127,7 +127,10 @@ def fit(rows: list[tuple[str, str]], centroids: int = CENTROIDS) -> Model:
     parts = [_clustered(x[of == i], centroids) for i in range(len(languages))]
     c, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     best, size = (x @ c.T).max(axis=1), np.searchsorted(LENGTHS, [n for _, n, _ in taken])
-    floors = np.array([SLACK * np.quantile(best[size == i], QUANTILE) if (size == i).sum() >= 20 else 0.0 for i in range(len(LENGTHS) + 1)])
+    floors = np.zeros(len(LENGTHS) + 1)
+    for i in range(len(floors)):  # a class with few texts takes the floor of the next shorter one, which is lower
+        enough = (size == i).sum() >= 20
+        floors[i] = SLACK * np.quantile(best[size == i], QUANTILE) if enough else floors[i - 1] if i else 0.0
     return Model(idf, c, languages, owner, floors)
 
 

@@ -179,6 +179,10 @@ _TRIGGER = re.compile(rf"[\[({{<]\x20*(?:{_ATWORD}|@)\x20*[\])}}>]|\b(?:{_DOTWOR
 _REACH = 160
 
 
+# Words that follow "at" in plain prose and begin no domain.
+_ARTICLES = frozenset("the a an this that my your our his her its their each every one la le les un une el los las der die das dem den ein eine".split())
+
+
 def _disguised_mail(text: str) -> list[tuple[int, int, str]]:
     pieces: list[tuple[int, int, str]] = []
     done = 0
@@ -187,7 +191,7 @@ def _disguised_mail(text: str) -> list[tuple[int, int, str]]:
             continue
         dots = [(x.start() + d.start(), x.end() + d.start()) for x in _DOTS.finditer(d[0])]
         # a bare word "at" is taken for @ only if a dot is spelled too
-        if m["word"] and not dots or m["bar"] and not dots:
+        if (m["word"] or m["bar"]) and (not dots or d[0].split()[0].lower() in _ARTICLES):
             continue
         lo = max(done, m.start() - _REACH)
         if not (b := _BEFORE.search(text[lo : m.start()])) or not b[0].strip(".-_"):
