@@ -31,8 +31,12 @@ def chunk_spans(data: bytes, target: int = TARGET, overlap: int = 0) -> list[tup
             at, p = next(found, (ideal, b""))
             end = at + len(p)
             if not p:
-                while end > start + 1 and data[end] & 0xC0 == 0x80:
+                while end > start and data[end] & 0xC0 == 0x80:
                     end -= 1
+                if end == start:  # one character is longer than the target
+                    end = ideal
+                    while end < n and data[end] & 0xC0 == 0x80:
+                        end += 1
         a, b = start, end
         while a < b and data[a] in _BLANK:
             a += 1

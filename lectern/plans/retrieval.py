@@ -85,6 +85,13 @@ def bm25_or(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(R.top(R.bm25(chunks(spark, sf), [[t] for t in TERMS]), K))
 
 
+@query(f"SELECT chunk_id, round(score, 6) AS score FROM ({OR_SQL})")
+def bm25_index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The words of a question through the inverted index."""
+    c = chunks(spark, sf)
+    return _rounded(R.top(R.bm25_indexed(R.postings(c), R.lengths(c), TERMS), K))
+
+
 @query(f"SELECT chunk_id, round(score, 6) AS score FROM ({PHRASE_SQL})")
 def bm25_phrase(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(R.top(R.bm25(chunks(spark, sf), [TERMS]), K))
