@@ -31,7 +31,8 @@ Span = tuple[str, int, int]
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A leftmost match starts where a run of digits does; saying so keeps long runs linear.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -65,7 +66,7 @@ def base_spans(text: str) -> list[Span]:
         found += _emails(text)
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
                 found.append(("ip", m.start(), m.end()))
         for m in _CARD.finditer(text):
             if 12 <= len(d := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
@@ -169,7 +170,9 @@ _ATWORD = "at|arobase|arroba"
 _DIGITS_RUN = re.compile(rf"\b(?:plus[\s-]+)?(?:(?:double|triple)\s+)?(?:{_W})(?:(?:[\s,.()-]{{1,3}}|[\s,]+(?:{_DOTWORD})[\s,]+)(?:(?:double|triple)\s+)?(?:{_W}|[0-9]+)\b){{3,}}", re.I)
 _DIGITS_ITEM = re.compile(rf"plus|double|triple|{_DOTWORD}|{_W}|[0-9]+", re.I)
 _MIXED = re.compile(r"(?<=[0-9])[OolI](?=[OolI]{0,2}[0-9])|(?<=[0-9][OolI])[OolI](?=[0-9])")
-_AT = re.compile(rf"(?P<sure>[\x20]*[\[({{<][\x20]*(?:{_ATWORD}|@)[\x20]*[\])}}>][\x20]*)|(?P<word>[\x20]+(?:{_ATWORD})[\x20]+)|(?P<bar>[_-]+at[_-]+)|(?P<wide>[\x20]+@[\x20]*|@[\x20]+)", re.I)
+# All the spaces before a sign, from the first of them: a long run of spaces is then looked at once.
+_SPACE0, _SPACE1 = r"(?:(?<!\x20)[\x20]++)?+", r"(?<!\x20)[\x20]++"
+_AT = re.compile(rf"(?P<sure>{_SPACE0}[\[({{<][\x20]*+(?:{_ATWORD}|@)[\x20]*+[\])}}>][\x20]*+)|(?P<word>{_SPACE1}(?:{_ATWORD})[\x20]++)|(?P<bar>(?<![_-])[_-]++at[_-]++)|(?P<wide>{_SPACE1}@[\x20]*+|@[\x20]++)", re.I)
 _DOT_SURE = rf"[\x20]*[\[({{<][\x20]*(?:{_DOTWORD}|\.)[\x20]*[\])}}>][\x20]*|[\x20]+(?:{_DOTWORD})[\x20]+|[_-]+dot[_-]+"
 _LABELS = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9]|-(?!dot[-_]))*(?:(?:{_DOT_SURE}|\.|[\x20]\.[\x20])[A-Za-z0-9](?:[A-Za-z0-9]|-(?!dot[-_]))*)+", re.I)
 _DOTS = re.compile(rf"{_DOT_SURE}|[\x20]\.[\x20]", re.I)
@@ -257,7 +260,13 @@ def disguised_spans(text: str, base: list[Span]) -> list[Span]:
                 found.add((k, *source(*second.back(a, b))))
         cards = {(a, b) for k, a, b in found if k == "card"}
         found |= {("phone", *s) for r in runs if (s := source(*r)) not in cards}
-    return sorted((s for s in found if not any(s[0] == k and a <= s[1] and s[2] <= b for k, a, b in base)), key=lambda s: (s[1], _RANK[s[0]], s[2]))
+    of_kind = {kind: [(a, b) for k, a, b in base if k == kind] for kind in KINDS}
+
+    def covered(kind: str, start: int, end: int) -> bool:  # plain spans of a kind do not overlap: only the last that starts by then can
+        i = bisect_right(of_kind[kind], (start, len(text) + 1)) - 1
+        return i >= 0 and end <= of_kind[kind][i][1]
+
+    return sorted((s for s in found if not covered(*s)), key=lambda s: (s[1], _RANK[s[0]], s[2]))
 
 
 def spans_of(text: str | None) -> list[tuple[str, int, int, bool]]:

@@ -2,10 +2,12 @@
 
 For each credential format a prefix tree of labelled examples is folded into a probabilistic finite automaton:
 states whose outgoing frequencies the Hoeffding bound cannot tell apart are merged (the red-blue order of
-ALERGIA). One more automaton is inferred from labelled ordinary strings. A candidate, any run of 16 or more
+ALERGIA), each with the likeliest of those it is compatible with. One more automaton is inferred from labelled ordinary strings. A candidate, any run of 16 or more
 credential characters with a digit and a letter, is scored by the logarithm of its likelihood under its best
 format against that of ordinary strings, per character. What scores above ``THRESHOLD`` and has a length that the
-format's examples allow is added to what the plain patterns find; that always stays.
+format's examples allow is added to what the plain patterns find; that always stays. The parts of a
+run between its ``=``, then ``/``, then ``.`` are candidates too, and are taken instead where one scores higher: so
+keys in paths and assignments are seen, however long the run.
 
 Defined results: a null text is an empty text without spans; repeated rows each have a result; an added span never
 touches a plain one. All positions are code points, ends exclusive. Columns other than those named are not read.
@@ -17,9 +19,10 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Sequence
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,6 +46,8 @@ _ASSIGN = re.compile("(" + "|".join(map(_any_case, ("password", "passwd", "secre
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.-]{16,}")
+#: What a run is taken apart into, step by step; signs at the edges of a part do not belong to it.
+_PARTS, _EDGE = [re.compile(p) for p in (r".+", r"[^=]+", r"[^=/]+", r"[^=/.]+")], ".=-/+"
 _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 Span = tuple[str, int, int]
 
@@ -85,26 +90,25 @@ class Automaton:
     def _total(self, q: int) -> int:
         return sum(self.count[q].values())
 
-    def _gap(self, a: int, b: int) -> float | None:
-        """Mean difference of the outgoing frequencies; None where the Hoeffding bound tells the states apart."""
-        stack, worst, first = [(a, b)], 0.0, None
+    def _compatible(self, a: int, b: int) -> bool:
+        """Whether the Hoeffding bound cannot tell the outgoing frequencies apart, of two states and of those they lead to."""
+        stack = [(a, b)]
         while stack:
             p, q = stack.pop()
             n, m = self._total(p), self._total(q)
             if not n or not m:
                 continue
             limit = self._bound * (n**-0.5 + m**-0.5)
-            total = 0.0
-            for c in self.count[p].keys() | self.count[q].keys():
-                d = abs(self.count[p][c] / n - self.count[q][c] / m)
-                if d > limit:
-                    return None
-                total += d
-            worst = max(worst, total)
-            first = total if first is None else first
+            if any(abs(self.count[p][c] / n - self.count[q][c] / m) > limit for c in self.count[p].keys() | self.count[q].keys()):
+                return False
             if m > 4:  # below so few strings no difference can be told
                 stack += [(self.next[p][c], self.next[q][c]) for c in self.next[q] if c in self.next[p] and self.next[p][c] != p]
-        return first
+        return True
+
+    def _surprise(self, red: int, blue: int) -> float:
+        """Mean negative log likelihood of what follows ``blue`` where ``red`` stands: of few strings it tells more than the bound."""
+        t = self._total(red) + 1
+        return -sum(n * math.log((self.count[red][c] + 1 / self.alphabet) / t) for c, n in self.count[blue].items()) / self._total(blue)
 
     def _fold(self, red: int, blue: int) -> None:
         """Add the tree below ``blue`` to the automaton at ``red``."""
@@ -126,7 +130,7 @@ class Automaton:
             if not blue:
                 break
             q, c, to = max(blue, key=lambda x: (self._total(x[2]), -x[2]))
-            fits = [(g, r) for r in red if (g := self._gap(r, to)) is not None]
+            fits = [(self._surprise(r, to), r) for r in red if self._compatible(r, to)]
             if fits:
                 r = min(fits)[1]
                 self.next[q][c] = r
@@ -198,6 +202,7 @@ def models() -> tuple[dict[str, Automaton], Automaton]:
     return formats, Automaton([_ordinary(r) for _ in range(4 * EXAMPLES)])
 
 
+@lru_cache(maxsize=4096)
 def score(candidate: str) -> tuple[str, float]:
     """The likeliest format that allows this length, and the mean log likelihood ratio."""
     formats, ordinary = models()
@@ -206,6 +211,35 @@ def score(candidate: str) -> tuple[str, float]:
     return (best[1], (best[0] - plain) / len(candidate)) if best else ("", -math.inf)
 
 
+def _merged(spans: list[Span]) -> list[tuple[int, int]]:
+    """The stretches that spans, sorted by start, cover."""
+    out: list[tuple[int, int]] = []
+    for _, a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _inferred(run: str, at: int, taken: list[tuple[int, int]], step: int = 0) -> list[tuple[float, str, int, int]]:
+    """(score, format, start, end) of the secrets of a run that starts at ``at``: whole, or its parts if one scores higher; none in ``taken``."""
+    found: list[tuple[float, str, int, int]] = []
+    for m in _PARTS[step].finditer(run):
+        s = m[0].strip(_EDGE)
+        if len(s) < 16 or not _DIGIT.search(s) or not _LETTER.search(s):
+            continue
+        a = at + m.start() + m[0].index(s)
+        parts = _inferred(s, a, taken, step + 1) if step + 1 < len(_PARTS) else []
+        i = bisect_left(taken, (a + len(s),)) - 1
+        name, ratio = score(s) if i < 0 or taken[i][1] <= a else ("", -math.inf)
+        if ratio >= THRESHOLD and all(ratio >= p[0] for p in parts):
+            found.append((ratio, name, a, a + len(s)))
+        else:
+            found += parts
+    return found
+
+
 def spans_of(text: str | None) -> list[tuple[str, int, int, bool]]:
     """All spans of a text: kind (or format), start, end, and whether an automaton added it."""
     if not text:
@@ -213,15 +247,9 @@ def spans_of(text: str | None) -> list[tuple[str, int, int, bool]]:
     base = base_spans(text)
     found = [(*s, False) for s in base]
     if _DIGIT.search(text):
+        taken = _merged(base)
         for m in _CANDIDATE.finditer(text):
-            s = m[0].strip(".=-/+")
-            a = m.start() + m[0].index(s) if s else m.start()
-            if len(s) < 16 or not _DIGIT.search(s) or not _LETTER.search(s) or any(a < e and b < a + len(s) for _, b, e in base):
-                continue
-            for piece in [s] if not 250 < len(s) else []:  # no format is so long
-                name, ratio = score(piece)
-                if ratio >= THRESHOLD:
-                    found.append((name, a, a + len(piece), True))
+            found += [(name, a, b, True) for _, name, a, b in _inferred(m[0], m.start(), taken)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]) if s[0] in KINDS else len(KINDS), s[0], s[2]))
 
 

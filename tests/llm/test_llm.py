@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import string
 import zlib
 
@@ -185,6 +186,36 @@ def test_secret_spans():
 # partial matching
 
 
+@pytest.mark.parametrize(("before", "after"), [("", ""), ("x=", ""), ("https://h.io/v1/", "/x"), ("z/" * 150, ""), ("key.path.v2=", ".")])
+def test_secrets_in_runs_of_other_signs(before, after):
+    key = secrets.FORMATS["github"](random.Random(5))
+    assert secrets.spans_of(before + key + after) == [("github", len(before), len(before) + len(key), True)]
+
+
+def test_formats_are_named():
+    r = random.Random(12)
+    for name, draw in secrets.FORMATS.items():
+        assert sum(secrets.score(draw(r))[0] == name for _ in range(50)) >= 48
+    assert not secrets.spans_of("path/to/some12/long-file-name-2024.txt/chapter-12-section-3")
+
+
+@pytest.mark.parametrize("text", ["1" * 300_000, " " * 300_000 + "x dot y @ z", "one " * 50_000, "_" * 200_000 + "dot", "a1/" * 100_000, "a" * 300_000 + "@"])
+def test_long_runs_take_linear_time(text):
+    start = time.perf_counter()
+    pii.spans_of(text), secrets.spans_of(text)
+    assert time.perf_counter() - start < 20
+
+
+def test_long_zeros_in_an_address():
+    assert pii.base_spans("0" * 6000 + "1.2.3.4") == [("ip", 0, 6007)]
+
+
+@given(st.text("12.. a", max_size=40))
+def test_addresses_are_those_of_the_plain_pattern(text):
+    plain = re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
+    assert [(a, b) for k, a, b in pii.base_spans(text) if k == "ip"] == [m.span() for m in plain if all(int(p) <= 255 for p in m[0].split("."))]
+
+
 def test_probabilities_add_up():
     texts = [b"abracadabra", b"abacus and cadabra", b"the other one"] * 20
     keys, _ = ppm.grams(texts)
