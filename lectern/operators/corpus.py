@@ -52,8 +52,8 @@ def chunk_spans(data: bytes, target: int = TARGET, overlap: int = 0) -> list[tup
     return spans
 
 
-def chunk(docs: DataFrame, target: int = TARGET, overlap: int = 0) -> DataFrame:
-    """book_id, ordinal, byte_offset, byte_length, content_hash of the chunks of docs (book_id, text)."""
+def chunk(docs: DataFrame, target: int = TARGET, overlap: int = 0, with_text: bool = False) -> DataFrame:
+    """book_id, ordinal, byte_offset, byte_length, content_hash, and text if asked for, of the chunks of docs (book_id, text)."""
     kind = docs.schema["book_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,7 +62,8 @@ def chunk(docs: DataFrame, target: int = TARGET, overlap: int = 0) -> DataFrame:
             yield pd.DataFrame(rows, columns=["book_id", "ordinal", "byte_offset", "byte_length", "data"])
 
     spans = docs.select("book_id", "text").mapInPandas(run, f"book_id {kind}, ordinal int, byte_offset bigint, byte_length bigint, data binary")
-    return spans.withColumn("content_hash", X.content_hash(F.col("data"))).drop("data")
+    hashed = spans.withColumn("content_hash", X.content_hash(F.col("data")))
+    return hashed.withColumn("text", F.decode("data", "UTF-8")).drop("data") if with_text else hashed.drop("data")
 
 
 def before(totals: DataFrame, id_col: str, value: str) -> DataFrame:
@@ -93,10 +94,16 @@ def owners(points: DataFrame, segments: DataFrame, width: int = 64) -> DataFrame
 
 
 def merge_ids(ids: DataFrame, width: int = 65_536) -> DataFrame:
-    """Maximal runs of consecutive ids (chunk_id): start, stop. Runs are made within buckets, then what is left is merged."""
+    """Maximal runs of consecutive ids (chunk_id): start, stop.
+
+    Runs are made within buckets. Only those that touch an edge of their bucket, at most two a bucket, can go on in the
+    next, and only they come together in one window.
+    """
     b = ids.select("chunk_id", F.floor(F.col("chunk_id") / width).alias("b")).distinct()
     run = F.col("chunk_id") - F.row_number().over(W.partitionBy("b").orderBy("chunk_id"))
-    return merge_ranges(b.withColumn("g", run).groupBy("b", "g").agg(F.min("chunk_id").alias("start"), (F.max("chunk_id") + 1).alias("stop")).select("start", "stop"))
+    runs = b.withColumn("g", run).groupBy("b", "g").agg(F.min("chunk_id").alias("start"), (F.max("chunk_id") + 1).alias("stop"))
+    edge = (F.col("start") == F.col("b") * width) | (F.col("stop") == (F.col("b") + 1) * width)
+    return runs.filter(~edge).select("start", "stop").unionByName(merge_ranges(runs.filter(edge).select("start", "stop")))
 
 
 def merge_ranges(ranges: DataFrame) -> DataFrame:
@@ -148,10 +155,11 @@ def ingest_status(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("key", status.alias("status"))
 
 
-def carries(old: DataFrame, new: DataFrame) -> DataFrame:
+def carries(old: DataFrame, new: DataFrame, same_book: bool = False) -> DataFrame:
     """new_chunk, old_chunk: vectors that can be copied, as the content is the same; the last old chunk of a hash gives its own."""
-    last = old.groupBy("content_hash").agg(F.max("chunk_id").alias("old_chunk"))
-    return new.join(last, "content_hash").select(F.col("chunk_id").alias("new_chunk"), "old_chunk")
+    on = ["content_hash", "book_id"] if same_book else ["content_hash"]
+    last = old.groupBy(*on).agg(F.max("chunk_id").alias("old_chunk"))
+    return new.join(last, on).select(F.col("chunk_id").alias("new_chunk"), "old_chunk")
 
 
 def compaction_plan(segments: DataFrame) -> DataFrame:
