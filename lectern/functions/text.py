@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
 # Typographic characters and their plain forms.
-TYPOGRAPHY = {"“": '"', "”": '"', "‘": "'", "’": "'", "–": "-", "—": "-", "ﬁ": "fi", "ﬂ": "fl", " ": " "}
+TYPOGRAPHY = {"“": '"', "”": '"', "‘": "'", "’": "'", "—": "-", "–": "-", "…": "...", "ﬁ": "fi", "ﬂ": "fl", " ": " "}
 # Words that carry no content in a question.
-STOPWORDS = ["the", "and", "for", "that", "with", "what", "how", "does", "are", "was", "from", "this", "which", "when", "who", "why"]
+STOPWORDS = (
+    "the what which how why does did are and for that this with from into when where who was were has have "
+    "its his her their them they you not but can cannot some someone something one two call called make makes "
+    "made say said people mean means after before than then there here about over under through between part parts"
+).split()
+# Words that are not marked in a passage.
+UNMARKED = (
+    "a an and are as at be but by can could do does for from had has have how i if in is it its of on or that the "
+    "their there these they this to was were what when where which who why will with would you your"
+).split()
 
 
 def fold(text: Column) -> Column:
@@ -78,7 +87,7 @@ def stem(word: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """Distinct words of three letters or more that are no stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*STOPWORDS)))
 
 
@@ -108,5 +117,49 @@ def duration_seconds(text: Column) -> Column:
 
 
 def size_label(size: Column) -> Column:
-    """Bytes with a unit."""
-    return F.when(size < 1000, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1_000_000, F.concat(F.round(size / 1000, 1).cast("string"), F.lit(" kB"))).otherwise(F.concat(F.round(size / 1_000_000, 1).cast("string"), F.lit(" MB")))
+    """Bytes at the scale a person thinks in, to one decimal, halves upwards."""
+    out = F.concat(size.cast("string"), F.lit(" B"))
+    for unit, scale in (("KB", 10**3), ("MB", 10**6), ("GB", 10**9)):
+        tenths = F.floor((size + scale // 20) / (scale // 10)).cast("bigint")
+        out = F.when(size >= scale, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
+def age_label(seconds: Column) -> Column:
+    """How long ago, in the coarsest unit."""
+    ago = lambda size, unit: F.concat(F.floor(seconds / size).cast("string"), F.lit(f"{unit} ago"))
+    return F.when(seconds < 0, "just now").when(seconds >= 86400, ago(86400, "d")).when(seconds >= 3600, ago(3600, "h")).when(seconds >= 60, ago(60, "m")).otherwise(ago(1, "s"))
+
+
+def elide(text: Column, width: int, tail: int = 12) -> Column:
+    """At most ``width`` characters, cut in the middle: titles differ at their ends."""
+    end = min(tail, width - 2)
+    cut = F.concat(F.substring(text, 1, width - end - 1), F.lit("…"), F.right(text, F.lit(end))) if width > 3 else F.substring(text, 1, width)
+    return F.when(F.length(text) <= width, text).otherwise(cut)
+
+
+def marked_terms(question: Column) -> Column:
+    """Stems of a question's words that are worth marking in a passage: longest first, then by alphabet."""
+    words = F.filter(F.regexp_extract_all(F.lower(question), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~w.isin(*UNMARKED))
+
+    def cut(w: Column) -> Column:
+        out = w
+        for end in ("s", "ed", "es", "ies", "ing"):  # the last that fits stands outermost
+            out = F.when(w.endswith(end) & (F.length(w) > len(end) + 3), F.substring(w, F.lit(1), F.length(w) - len(end))).otherwise(out)
+        return out
+
+    sized = F.array_sort(F.array_distinct(F.transform(words, lambda w: F.struct((-F.length(cut(w))).alias("n"), cut(w).alias("w")))))
+    return F.transform(sized, lambda x: x["w"])
+
+
+def rendered(number: Column, text: Column, limit: int = 1600) -> Column:
+    """A numbered passage as a model reads it; null for a passage without text."""
+    return F.when(text != "", F.concat(F.lit("["), number.cast("string"), F.lit("] "), F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, limit)))
+
+
+def rephrasing(reply: Column) -> Column:
+    """The first line of a reply that is a question of 3 to 40 words and no preamble; empty without one."""
+    lines = F.transform(F.split(reply, "\n"), lambda x: F.regexp_replace(x, r'^[ "“”*-]+|[ "“”*-]+$', ""))
+    # How a preamble begins.
+    fits = F.filter(lines, lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")).between(3, 40) & ~F.lower(x).rlike("^(here|sure|one |a different|rephrase)"))
+    return F.coalesce(F.get(fits, 0), F.lit(""))

@@ -145,6 +145,37 @@ def locate(data: Column, offset: Column, length: Column, expected: Column, shift
     return F.when(data.isNull(), "missing").when(at(offset) == expected, "exact").when(at(offset + shift) == expected, "shifted").otherwise("changed")
 
 
+def read_span(data: Column, offset: Column, length: Column, expected: Column) -> Column:
+    """The bytes of a recorded span; null if they are not the bytes recorded."""
+    span = F.substring(data, offset.cast("int") + 1, length.cast("int"))
+    return F.when(X.content_hash(span) == expected, span)
+
+
+def stat_suspects(old: DataFrame, new: DataFrame) -> DataFrame:
+    """key, state of files (key, size_bytes, mtime): same by size and time, else suspect and to be hashed, or new."""
+    j = new.join(old.select("key", F.col("size_bytes").alias("was"), F.col("mtime").alias("then")), "key", "left")
+    same = (F.col("was") == F.col("size_bytes")) & F.col("then").eqNullSafe(F.col("mtime"))
+    return j.select("key", F.when(F.col("was").isNull(), "new").when(same, "same").otherwise("suspect").alias("state"))
+
+
+def find_models(wanted: DataFrame, names: DataFrame) -> DataFrame:
+    """wanted, model: the name that is ``wanted``, else the only one that holds it, else null. Names are a short list."""
+    held = names.agg(F.array_sort(F.collect_set("model")).alias("all"))  # one row
+    fits = F.filter("all", lambda n: F.contains(n, F.col("wanted")))
+    return wanted.join(F.broadcast(held)).select("wanted", F.when(F.array_contains("all", F.col("wanted")), F.col("wanted")).when(F.size(fits) == 1, F.get(fits, 0)).alias("model"))
+
+
+def registered(old: DataFrame, new: DataFrame) -> DataFrame:
+    """model, dim, source after registering anew: what is known stays, gaps are filled; ``clash`` if the dimension differs."""
+    j = old.alias("o").join(new.alias("n"), "model", "full")
+    return j.select("model", F.coalesce("o.dim", "n.dim").alias("dim"), F.coalesce("o.source", "n.source").alias("source"), F.coalesce(F.col("o.dim") != F.col("n.dim"), F.lit(False)).alias("clash"))
+
+
+def numbered(ids: DataFrame) -> DataFrame:
+    """chunk_id with its place ``n`` (from 1) in the order of ids, by two-level sums."""
+    return before(ids.select("chunk_id").withColumn("one", F.lit(1)), "chunk_id", "one").select("chunk_id", (F.col("before") + 1).alias("n"))
+
+
 def ingest_status(old: DataFrame, new: DataFrame) -> DataFrame:
     """key, status of each book found: old and new have key and hashes (the ordered hashes of its files)."""
     gone = old.join(new, "key", "left_anti").select(F.col("key").alias("was"), "hashes")
@@ -190,8 +221,9 @@ def observed_rate(runs: DataFrame, last: int = 10) -> DataFrame:
 
 
 def word_p90(text: Column, least: int = 50) -> Column:
-    """The 90th of a hundred word lengths of a text, by rank; null below ``least`` words."""
-    n = F.array_sort(F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), F.length))
+    """The 90th of a hundred word lengths of a text, by rank; null below ``least`` words. A word is at least half letters."""
+    letters = lambda w: F.length(F.regexp_replace(w, r"\P{L}+", ""))
+    n = F.array_sort(F.transform(F.filter(F.split(text, r"\s+"), lambda w: (letters(w) > 0) & (letters(w) * 2 >= F.length(w))), F.length))
     return F.when(F.size(n) >= least, F.element_at(n, (F.floor(F.size(n) * 0.9) + 1).cast("int")))
 
 

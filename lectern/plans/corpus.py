@@ -45,9 +45,8 @@ def chunk_hash_signed64(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query()
-def chunk_spans_ascii(spark: SparkSession, sf: str) -> DataFrame:
-    ascii_only = docs(spark, sf).filter(F.octet_length("text") == F.length("text"))
-    return C.chunk(ascii_only.select(F.col("doc_id").alias("book_id"), "text"), 600)
+def chunk_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return C.chunk(docs(spark, sf).select(F.col("doc_id").alias("book_id"), "text"))
 
 
 @query()
@@ -65,14 +64,14 @@ def book_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return allocated(spark, sf).groupBy("book_id").agg(F.min("chunk_start").alias("first_chunk"), F.sum("chunk_count").alias("chunks"))
 
 
-POINTS = f"SELECT unnest(range(1, (SELECT sum(n)::BIGINT + 1 FROM ({SEG})), 7)) AS chunk_id"
+POINTS = f"SELECT unnest(range(1, (SELECT sum(n)::BIGINT + 1 FROM ({SEG})))) AS chunk_id"
 
 
 @query(f"SELECT chunk_id, book_id, ordinal, chunk_id - chunk_start AS place FROM ({POINTS}) p JOIN ({ALLOC}) s ON chunk_id >= chunk_start AND chunk_id < chunk_start + chunk_count")
 def locate_range_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Every seventh chunk id looked up: its segment, and its place there."""
+    """Every chunk id looked up: its segment, and its place there."""
     s = allocated(spark, sf)
-    ids = s.select(F.explode(F.sequence(F.col("chunk_start"), F.col("chunk_start") + F.col("chunk_count") - 1)).alias("chunk_id")).filter("chunk_id % 7 = 1")
+    ids = s.select(F.explode(F.sequence(F.col("chunk_start"), F.col("chunk_start") + F.col("chunk_count") - 1)).alias("chunk_id"))
     return C.owners(ids, s).select("chunk_id", "book_id", "ordinal", (F.col("chunk_id") - F.col("chunk_start")).alias("place"))
 
 
@@ -235,7 +234,7 @@ def relocate_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", C.relocated(F.col("url"), "https:/", "https:/moved").alias("path"))
 
 
-@query(r"SELECT kind, id, p90, p90 > 30 AS garbled FROM (SELECT kind, id, CASE WHEN len(n) >= 50 THEN n[CAST(floor(len(n) * 0.9) AS INT) + 1] END AS p90 FROM (SELECT kind, id, list_sort([length(w) for w in regexp_split_to_array(text, '\s+') if w <> '']) AS n FROM (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages)))")
+@query(r"SELECT kind, id, p90, p90 > 30 AS garbled FROM (SELECT kind, id, CASE WHEN len(n) >= 50 THEN n[CAST(floor(len(n) * 0.9) AS INT) + 1] END AS p90 FROM (SELECT kind, id, list_sort([length(w) for w in regexp_split_to_array(text, '\s+') if length(regexp_replace(w, '[^\p{L}]+', '', 'g')) > 0 AND length(regexp_replace(w, '[^\p{L}]+', '', 'g')) * 2 >= length(w)]) AS n FROM (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages)))")
 def garbled_p90(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     p = table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))

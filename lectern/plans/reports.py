@@ -76,10 +76,10 @@ def question_log_find(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", F.get_json_object(F.to_json(F.struct("role", "turn")), "$.role").alias("role"))
 
 
-@query(f"SELECT doc_id, array_to_string([t for t in regexp_extract_all(lower(substr(text, 1, 200)), '[\\p{{L}}\\p{{N}}_]+') if length(t) > 1 OR regexp_full_match(t, '[0-9]')], ' ') AS terms, len({TOK}) > 1 AS has_phrase FROM documents")
+@query(f"SELECT doc_id, array_to_string([t for t in regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') if length(t) > 1 OR regexp_full_match(t, '[0-9]')], ' ') AS terms, len({TOK}) > 1 AS has_phrase FROM documents")
 def query_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """Beginnings of texts as questions: their terms."""
-    t = X.query_terms(F.substring("text", 1, 200))
+    """Texts as questions: their terms."""
+    t = X.query_terms(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", F.array_join(t, " ").alias("terms"), (F.size(X.tokens(F.col("text"))) > 1).alias("has_phrase"))
 
 
@@ -103,7 +103,7 @@ def contains_term(spark: SparkSession, sf: str) -> DataFrame:
 
 STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 STEM = "CASE WHEN w LIKE '%ing' AND length(w) >= 7 THEN w[:-4] WHEN w LIKE '%ed' AND length(w) >= 6 THEN w[:-3] WHEN w LIKE '%es' AND length(w) >= 6 THEN w[:-3] WHEN w LIKE '%s' AND length(w) >= 5 THEN w[:-2] ELSE w END"
-QWORDS = f"list_distinct([w for w in regexp_extract_all(lower(substr(text, 1, 80)), '[a-z0-9]+') if length(w) >= 3 AND w NOT IN ({STOP})])"
+QWORDS = f"list_distinct([w for w in regexp_extract_all(lower(substr(text, 1, 80)), '[\\p{{L}}\\p{{N}}_]+') if length(w) >= 3 AND w NOT IN ({STOP})])"
 
 
 @query(f"SELECT item_id, round(share, 6) AS share, CASE WHEN share >= 0.5 THEN 'shares' ELSE 'little' END AS band FROM (SELECT item_id, CASE WHEN len(q) > 0 THEN len([w for w in q if contains(lower(substr(text, 81)), {STEM})]) / len(q) ELSE 0 END AS share FROM (SELECT *, {QWORDS} AS q FROM benchmark))")
@@ -113,20 +113,20 @@ def overlap_band(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", share.alias("s")).select("item_id", F.round("s", 6).alias("share"), F.when(F.col("s") >= 0.5, "shares").otherwise("little").alias("band"))
 
 
-#: Questions of the evaluation: vectors with ids below 40; what is looked for is their own book.
+#: Questions of the evaluation: vectors with ids divisible by 20; what is looked for is their own book.
 EVAL = """SELECT kind, query_id, max(CASE WHEN rank = 1 AND hit THEN 1 ELSE 0 END) AS at1, max(CASE WHEN hit THEN 1 ELSE 0 END) AS atk FROM (SELECT q.vec_id AS query_id, q.vec_id % 4 AS kind, e.label = q.label AS hit,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)) DESC, e.vec_id) AS rank
-  FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id < 40) WHERE rank <= 5 GROUP BY kind, query_id"""
+  FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 5 GROUP BY kind, query_id"""
 
 
 @query(f"SELECT kind, count(*) AS questions, CAST(sum(at1) AS BIGINT) AS recall_at_1, CAST(sum(atk) AS BIGINT) AS recall_at_k FROM ({EVAL}) GROUP BY kind")
 def eval_recall_by_kind(spark: SparkSession, sf: str) -> DataFrame:
-    """Forty questions in one batch: how many find their book first, or among five."""
+    """All questions in one batch: how many find their book first, or among five."""
     v = vectors(spark, sf)
-    asked = v.filter("chunk_id < 40").select(F.col("chunk_id").alias("query_id"), F.col("book_id").alias("wanted"), F.col("embedding").alias("query"))
+    asked = v.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("book_id").alias("wanted"), F.col("embedding").alias("query"))
     hits = R.flat_many(v, asked.drop("wanted"), 6).filter("query_id <> chunk_id")
     again = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).filter("rank <= 5")
-    j = again.join(v.select("chunk_id", "book_id"), "chunk_id").join(F.broadcast(asked.select("query_id", "wanted")), "query_id")  # forty rows
+    j = again.join(v.select("chunk_id", "book_id"), "chunk_id").join(asked.select("query_id", "wanted"), "query_id")
     per = j.groupBy("query_id").agg(F.max(((F.col("rank") == 1) & (F.col("book_id") == F.col("wanted"))).cast("int")).alias("at1"), F.max((F.col("book_id") == F.col("wanted")).cast("int")).alias("atk"))
     return per.groupBy((F.col("query_id") % 4).alias("kind")).agg(F.count(F.lit(1)).alias("questions"), F.sum("at1").alias("recall_at_1"), F.sum("atk").alias("recall_at_k"))
 
@@ -142,15 +142,12 @@ def routing_chance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""SELECT query_id, count(*) FILTER (WHERE book_id = wanted) AS kept FROM (SELECT q.vec_id AS query_id, q.label AS wanted, c.book_id,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY max(list_dot_product(list_transform(c.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE))) DESC, c.book_id) AS r
-  FROM (SELECT * FROM embeddings WHERE vec_id < 40) q, ({CENTROIDS}) c GROUP BY q.vec_id, q.label, c.book_id) WHERE r <= 5 GROUP BY query_id""")
+  FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q, ({CENTROIDS}) c GROUP BY q.vec_id, q.label, c.book_id) WHERE r <= 5 GROUP BY query_id""")
 def routing_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a question's own book is among the five that it is routed to."""
-    q = vectors(spark, sf).filter("chunk_id < 40").select(F.col("chunk_id").alias("query_id"), F.col("book_id").alias("wanted"), F.col("embedding").alias("query"))
-    from lectern.functions import vectors as V
-
-    best = fixed_centroids(spark, sf).join(F.broadcast(q)).groupBy("query_id", "wanted", "book_id").agg(F.max(V.dot(F.col("direction"), F.col("query"))).alias("score"))  # forty rows
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "book_id"))
-    return best.withColumn("r", rank).filter("r <= 5").groupBy("query_id").agg(F.count_if(F.col("book_id") == F.col("wanted")).alias("kept"))
+    q = vectors(spark, sf).filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("book_id").alias("wanted"), F.col("embedding").alias("query"))
+    best = R.route_many(fixed_centroids(spark, sf), q.drop("wanted"), 5).join(q.select("query_id", "wanted"), "query_id")
+    return best.groupBy("query_id").agg(F.count_if(F.col("book_id") == F.col("wanted")).alias("kept"))
 
 
 @query(r"""SELECT doc_id, array_to_string(w[len(w) // 4 + 1 : len(w) // 4 + 9], ' ') AS phrase FROM (SELECT doc_id, [x for x in regexp_split_to_array(text, '\s+') if x <> ''] AS w FROM documents) WHERE len(w) >= 18""")
