@@ -13,19 +13,33 @@ from pyspark.sql import types as T
 from lectern.functions import text as X
 
 REFUSAL = "NO ANSWER IN PASSAGES"
-_CITED = re.compile(r'["“]([^"“”]+)["”]\s*\[(\d+)\]')
-_BARE = re.compile(r"([^.!?\n\"“”]+)\[(\d+)\]")
+# How a claim is cited, where a sentence begins, and what stands for a claim without proof.
+_CITED = re.compile(r'["“”](.{2,}?)["“”]\s*\[(\d+)\]', re.S)
+_BARE = re.compile(r'(?<!["“”])\s*\[(\d+)\]')
+_SENTENCE = re.compile(r"[.!?]\s+|\n")
+REMOVED = "[unverifiable quotation removed]"
+PARAPHRASE = "[paraphrase, not in the source]"
 CLAIMS = T.ArrayType(T.StructType([T.StructField("quote", T.StringType()), T.StructField("cited", T.IntegerType()), T.StructField("quoted", T.BooleanType())]))
 
 
 def find_claims(answer: str | None) -> list[tuple[str, int, bool]]:
-    """Quotations with the passage they cite, and citations without a quotation."""
+    """Quotations with the passage they cite; then citations without a quotation, with the sentence they stand in."""
     if not answer:
         return []
-    found = [(m.start(), m[1], int(m[2]), True, m.end()) for m in _CITED.finditer(answer)]
-    taken = {m[4] for m in found}
-    found += [(m.start(), m[1].strip(), int(m[2]), False, m.end()) for m in _BARE.finditer(answer) if m.end() not in taken]
-    return [(q, n, k) for _, q, n, k, _ in sorted(found)]
+    quoted = list(_CITED.finditer(answer))
+    found = [(m[1].strip(), int(m[2]), True) for m in quoted]
+    at, sentence, done = 0, 0, 0
+    for m in _BARE.finditer(answer):
+        while done < len(quoted) and quoted[done].end() <= m.start():
+            done += 1
+        if done < len(quoted) and quoted[done].start() <= m.start():
+            continue
+        for end in _SENTENCE.finditer(answer, at, m.start()):
+            sentence = end.end()
+        at = max(at, sentence)
+        if said := answer[sentence : m.start()].strip().strip('"“”'):
+            found.append((said, int(m[1]), False))
+    return found
 
 
 @F.pandas_udf(CLAIMS)
@@ -41,10 +55,13 @@ def verify(found: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def redact_claims(answer: str, rejected: list[tuple[str, int, bool]]) -> str:
-    """The answer without what could not be verified."""
-    for quote, n, quoted in rejected:
-        pattern = rf'["“]{re.escape(quote)}["”]\s*\[{n}\]' if quoted else rf"{re.escape(quote)}\s*\[{n}\]"
-        answer = re.sub(pattern, "[removed]" if quoted else "[paraphrase, not in the source]", answer)
+    """The answer with every quotation that could not be verified removed, and every such paraphrase marked as one."""
+    for said, n, quoted in rejected:
+        cite = rf"\s*\[{n}\]"
+        if quoted:
+            answer = re.sub(rf'["“”]\s*{re.escape(said)}\s*["“”]{cite}', REMOVED, answer)
+        else:
+            answer = re.sub(re.escape(said) + cite, lambda _, said=said: f"{said} {PARAPHRASE}", answer)
     return answer
 
 
@@ -53,18 +70,19 @@ def refused(answer: Column) -> Column:
     return F.exists(F.split(answer, "\n"), lambda line: F.trim(line) == REFUSAL)
 
 
-def parse_expansion(reply: str | None, question: str, most: int = 3) -> dict[str, list[str]]:
-    """Lines lex:, vec: and hyde: of a model's reply, without its thinking, echoes, repeats or single words."""
+def parse_expansion(reply: str | None, instruction: str = "", most: int = 3) -> dict[str, list[str]]:
+    """Lines lex:, vec: and hyde: of a model's reply, without its thinking, single words, what it was told, and beginnings of other lines."""
     out: dict[str, list[str]] = {"lex": [], "vec": [], "hyde": []}
-    asked = set(re.findall(r"\w+", question.lower()))
-    for line in re.sub(r"<think>.*?</think>", "", reply or "", flags=re.S).splitlines():
+    told = instruction.casefold()
+    for line in re.sub(r"</?think>", " ", re.sub(r"<think>.*?</think>", " ", reply or "", flags=re.S)).splitlines():
         if not (m := re.match(r"\s*[-*]?\s*(lex|vec|hyde)\s*:\s*(.+)", line, re.I)):
             continue
-        kind, said = m[1].lower(), m[2].strip().strip('"')
-        words = re.findall(r"\w+", said.lower())
-        if len(words) < 2 or set(words) == asked or len(out[kind]) >= most or any(said.lower().startswith(o.lower()) for o in out[kind]):
+        kind, said = m[1].lower(), m[2].strip()
+        low = said.casefold()
+        if len(said.split()) < 2 or low in told or len(out[kind]) >= most:
             continue
-        out[kind].append(said)
+        if not any(low.startswith(o) or o.startswith(low) for o in map(str.casefold, out[kind])):
+            out[kind].append(said)
     return out
 
 
@@ -86,10 +104,16 @@ def best_extract(text: str, terms: list[str], limit: int = 700) -> tuple[str, bo
     return text[where[0] : where[1]].strip(), where[0] > 0, where[1] < len(text)
 
 
+def _plain(text: str) -> str:
+    for fancy, simple in X.TYPOGRAPHY.items():
+        text = text.replace(fancy, simple)
+    return " ".join(text.split())
+
+
 def summarise(ask: Callable[[str], str], question: str, passages: list[str]) -> tuple[str, list[tuple[str, int, bool]]]:
     """An answer of an injected model, with what it could not prove removed, and its claims."""
     listed = "\n\n".join(f"[{i}] {p[:1600]}" for i, p in enumerate(passages, 1))
     answer = ask(f"Answer from the passages only, quoting and citing them as \"...\" [n]. If they hold no answer, say {REFUSAL}.\n\n{listed}\n\nQuestion: {question}")
     found = find_claims(answer)
-    bad = [c for c in found if not (1 <= c[1] <= len(passages) and c[2] and " ".join(c[0].split()) in " ".join(passages[c[1] - 1].split()))]
+    bad = [c for c in found if not (1 <= c[1] <= len(passages) and _plain(c[0]) in _plain(passages[c[1] - 1]))]
     return redact_claims(answer, bad), found

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import text as X
 
@@ -151,6 +153,35 @@ def read_span(data: Column, offset: Column, length: Column, expected: Column) ->
     return F.when(X.content_hash(span) == expected, span)
 
 
+_EDGE = re.compile("[.!?](?:[\"')]|”|’)?\\s+|\n\\s*".encode().replace(b"\xe2\x80\x9d|\xe2\x80\x99", b"\xe2\x80[\x9d\x99]"))
+
+
+def reading_window(data: bytes, offset: int, length: int, before: int = 500, after: int = 500) -> tuple[str, int]:
+    """A passage with up to so many bytes around it that it begins and ends with a sentence: text, and its byte offset.
+
+    What is around is trimmed to its first and last sentence edge; the passage itself is never cut.
+    """
+    low, high, stop = max(0, offset - before), min(len(data), offset + length + after), offset + length
+    while low < offset and data[low] & 0xC0 == 0x80:
+        low += 1
+    while stop < high < len(data) and data[high] & 0xC0 == 0x80:
+        high -= 1
+    if m := _EDGE.search(data, low, offset):
+        low = m.end()
+    last = None
+    for last in _EDGE.finditer(data, stop, high):
+        pass
+    if last:
+        high = last.start() + 1
+    text = data[low:high].decode("utf-8", "replace")
+    return text.strip(), low + len(text[: len(text) - len(text.lstrip())].encode())
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("offset", T.LongType())]))
+def reading_windows(data: pd.Series, offset: pd.Series, length: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([reading_window(d, int(o), int(n)) for d, o, n in zip(data, offset, length, strict=True)], columns=["text", "offset"])
+
+
 def stat_suspects(old: DataFrame, new: DataFrame) -> DataFrame:
     """key, state of files (key, size_bytes, mtime): same by size and time, else suspect and to be hashed, or new."""
     j = new.join(old.select("key", F.col("size_bytes").alias("was"), F.col("mtime").alias("then")), "key", "left")

@@ -43,6 +43,15 @@ def read_spans(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("doc_id", F.hex(C.read_span(F.col("data"), F.lit(10), F.lit(20), X.content_hash(F.substring("was", 11, 20)))).alias("span"))
 
 
+@query()
+def reading_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The first chunk of 600 bytes after the first of each book, with what is around it up to whole sentences."""
+    d = docs(spark, sf).select(F.col("doc_id").alias("book_id"), "text")
+    second = C.chunk(d, 600).filter("ordinal = 1")
+    j = second.join(d, "book_id").select("book_id", C.reading_windows(F.col("text").cast("binary"), "byte_offset", "byte_length").alias("w"))
+    return j.select("book_id", F.col("w.offset").alias("offset"), F.col("w.text").alias("text"))
+
+
 @query(f"""WITH o AS (SELECT key, strlen(text) AS size_bytes, doc_id % 4 AS mtime FROM ({OLD})), n AS (SELECT key, strlen(text) AS size_bytes, CASE WHEN doc_id % 10 = 1 THEN 9 ELSE doc_id % 4 END AS mtime FROM ({NEW}))
 SELECT n.key, CASE WHEN o.key IS NULL THEN 'new' WHEN o.size_bytes = n.size_bytes AND o.mtime = n.mtime THEN 'same' ELSE 'suspect' END AS state FROM n LEFT JOIN o USING (key)""")
 def stat_fast_path(spark: SparkSession, sf: str) -> DataFrame:

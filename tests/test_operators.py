@@ -56,15 +56,36 @@ def test_fusion_ties_go_to_the_earlier_list(spark):
 def test_claims_and_redaction():
     found = A.find_claims('It is "blue" [1]. Or red [2].')
     assert found == [("blue", 1, True), ("Or red", 2, False)]
-    assert A.redact_claims('It is "blue" [1].', [("blue", 1, True)]) == "It is [removed]."
-    assert A.parse_expansion("<think>lex: no no</think>lex: two words\nlex: one\nvec: what is it", "two words?") == {"lex": [], "vec": ["what is it"], "hyde": []}
+    assert A.redact_claims('It is "blue" [1]. Or red [2].', found) == f"It is {A.REMOVED}. Or red {A.PARAPHRASE}."
+    assert A.find_claims("One. Two [1] and [2].\n“a b”[3] [4]") == [("a b", 3, True), ("Two", 1, False), ("Two [1] and", 2, False), ("“a b”[3]".strip("“”"), 4, False)]
+    assert A.find_claims("[1]") == [] and A.find_claims(None) == []
+    assert A.parse_expansion("<think>lex: no no</think>lex: two words\nlex: one\nvec: what is it\nvec: What is\nvec: what is it now", "Give two words.") == {"lex": [], "vec": ["what is it"], "hyde": []}
     text, before, after = A.best_extract("Alpha. Beta gamma. Delta.", ["gamma"], 13)
     assert text == "Beta gamma." and before and after
 
 
 def test_summary_removes_what_it_cannot_prove():
-    answer, _ = A.summarise(lambda _: 'True: "b c" [1]. False: "x" [1].', "q", ["a b c d"])
-    assert '"b c" [1]' in answer and "[removed]" in answer
+    answer, _ = A.summarise(lambda _: 'True: "b c" [1]. False: "xy" [1].', "q", ["a b c d"])
+    assert '"b c" [1]' in answer and A.REMOVED in answer
+    assert A.summarise(lambda _: "It holds a “quote” and a ﬁne thing [1].", "q", ['so it  holds a "quote" and a fine thing'])[0].endswith("thing [1].")
+
+
+def test_reading_window_keeps_the_passage_and_ends_with_sentences():
+    data = "Cut off here. Önly then the passage stands. And more! Then a rest".encode()
+    at = data.index(b"the")
+    assert C.reading_window(data, at, 7) == ("Önly then the passage stands. And more!", data.index("Ö".encode()))
+    assert C.reading_window(data, at, 7, 0, 0) == ("then th", at)
+    assert C.reading_window(b"", 0, 0) == ("", 0)
+
+
+@given(st.text(max_size=200), st.integers(0, 60), st.integers(0, 60), st.integers(0, 30))
+@settings(max_examples=300, deadline=None)
+def test_reading_window_offsets_are_those_of_the_text(text, a, n, around):
+    data = text.encode()
+    start, stop = len(text[:a].encode()), len(text[: a + n].encode())
+    window, at = C.reading_window(data, start, stop - start, around, around)
+    assert data[at : at + len(window.encode())].decode() == window
+    assert text[a : a + n].strip() in window
 
 
 def test_upper_median_and_rates(spark):
