@@ -100,8 +100,13 @@ class Engine:
         edited = j.filter("status = 'updated'").select(F.col("old_id").alias("book_id"))
         kept = chunks.join(edited, "book_id", "left_anti")
         self._carry(chunks.join(edited, "book_id", "left_semi"), new, edited)
-        self.store.replace("chunks", kept.unionByName(new.select(*kept.columns)))
-        self._index()
+        if edited.head(1):
+            dead = self.store.keep(chunks.join(edited, "book_id", "left_semi").select("chunk_id"))
+            self.store.replace("chunks", kept.unionByName(new.select(*kept.columns)))
+            self._index(new, dead)
+        else:
+            self.store.append("chunks", new)
+            self._index(new)
         moved = j.filter("status = 'moved'").select(F.col("moved_id").alias("book_id"), F.col("key").alias("new_key"), F.col("title").alias("new_title"), F.col("shelf").alias("new_shelf"))
         stay = books.join(moved, "book_id", "left").withColumns({c: F.coalesce(f"new_{c}", c) for c in ("key", "title", "shelf")}).select(*books.columns)
         stay = stay.join(texts.select("book_id", F.col("content_sha256").alias("sha"), F.octet_length("text").cast("bigint").alias("bytes")), "book_id", "left")
@@ -127,10 +132,15 @@ class Engine:
         if self.store.versions("vectors"):
             self.store.replace("vectors", vectors.join(edited, "book_id", "left_anti").unionByName(moved.select(*vectors.columns)))
 
-    def _index(self) -> None:
-        chunks = self.table("chunks")
-        self.store.replace("postings", R.postings(chunks))
-        self.store.replace("lengths", R.lengths(chunks))
+    def _index(self, new: DataFrame | None = None, dead: DataFrame | None = None) -> None:
+        """Index words anew; or, given them, only those of ``new`` chunks, without those of ``dead`` ones."""
+        for name, made in (("postings", R.postings), ("lengths", R.lengths)):
+            if new is None:
+                self.store.replace(name, made(self.table("chunks")))
+            elif dead is None:
+                self.store.append(name, made(new))
+            else:
+                self.store.replace(name, self.table(name).join(dead, "chunk_id", "left_anti").unionByName(made(new)))
 
     # embedding and routing
 

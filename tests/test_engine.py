@@ -42,6 +42,10 @@ def test_add_edit_move(spark, engine):
     carried = engine.table("vectors").count()
     assert n - 2 <= carried < n
     assert 0 < engine.embed("m", vectors, 8) <= 4 and engine.embed("m", vectors, 8) == 0
+    from lectern.operators import retrieval as R
+
+    kept, anew = engine.table("postings"), R.postings(engine.table("chunks"))
+    assert kept.count() == anew.count() and kept.exceptAll(anew).count() == 0 and engine.table("lengths").count() == engine.table("chunks").count()
     assert engine.compact() > 0
     ids = sorted(r.chunk_id for r in engine.table("chunks").collect())
     assert ids == list(range(1, len(ids) + 1)) == sorted(r.chunk_id for r in engine.table("vectors").collect())
