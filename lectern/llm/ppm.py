@@ -2,14 +2,16 @@
 
 The byte model is a trie of contexts of up to ``ORDER`` bytes, with its counts taken over the whole training part. A
 byte is coded in the longest context that the trie holds; if it has not followed there, an escape is coded (method C: as
-often as there are distinct followers, and as often as followers came that the trie does not keep) and the next shorter context is asked, without the symbols that the longer one
+often as there are distinct followers) and the next shorter context is asked, without the symbols that the longer one
 has already ruled out. The end of a text is a symbol too (the byte 255, which UTF-8 never holds), so the
 probabilities of all texts add up to at most one. Followers of a context also follow its shorter contexts, so what is
 ruled out depends on the next longer context alone, and all denominators can be worked out beforehand.
 
-The trie keeps a node if at least one in 2^``NODE_BITS`` training symbols ends there: at most 2^``NODE_BITS`` nodes for
-each depth, whatever the corpus. That bounds what is broadcast. Words whose share is at least 1 in 2^``HEAD_BITS`` are
-likewise at most 2^``HEAD_BITS`` and are broadcast; all other words are joined by shuffle, so every count is exact.
+The trie keeps every node, as a table. What is broadcast is a head of it: the probabilities of the strings of full depth
+with the largest counts, at most 2^``NODE_BITS`` of them. All other strings of a text are joined by shuffle, with the same
+table or, where training has not seen them, with the counts of their shorter contexts; where the head ends changes no
+result. Words whose share is at least 1 in 2^``HEAD_BITS`` are likewise at most 2^``HEAD_BITS`` and are broadcast; all
+other words are joined by shuffle, so every count is exact.
 
 Defined results: a null text is an empty text, of its end alone; repeated rows each have a result; with no training
 documents every word has the probability 1 and every byte 1 in 256.
@@ -20,11 +22,12 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm._common import materialise, prepare, remainder, worker_state
@@ -59,7 +62,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Trie:
-    """The model: for each depth d the kept strings of d bytes with their counts, sorted."""
+    """The model in memory, as the joins of ``score_documents`` must give it: for each depth d the strings of d bytes with their counts, sorted."""
 
     def __init__(self, depths: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.nodes, self.contexts = depths, []
@@ -72,12 +75,7 @@ class Trie:
             else:
                 shared = n
             sums = [np.add.reduceat(x, first) if len(keys) else x for x in (n, np.ones_like(n), shared)]
-            pruned = np.zeros(len(first), dtype=np.int64)
-            if k and len(first) and len(depths[k - 1][0]):  # how often something followed that the trie does not keep
-                low, lower = depths[k - 1]
-                at = np.minimum(np.searchsorted(low, owner[first]), len(low) - 1)
-                pruned = np.where(low[at] == owner[first], np.maximum(lower[at] - sums[0], 0), 0)
-            self.contexts.append((owner[first], *sums, pruned))
+            self.contexts.append((owner[first], *sums))
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 of the probability of each key's last byte after the bytes before it."""
@@ -86,7 +84,7 @@ class Trie:
         ruled = np.zeros(len(keys), dtype=np.int64)
         known = np.zeros(len(keys), dtype=np.int64)
         for k in range(len(self.nodes) - 1, -1, -1):
-            owners, totals, kinds, shared, pruned = self.contexts[k]
+            owners, totals, kinds, shared = self.contexts[k]
             nodes, counts = self.nodes[k]
             if not len(owners):
                 continue
@@ -97,11 +95,10 @@ class Trie:
             node = keys & np.uint64((1 << (8 * (k + 1))) - 1)
             j = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
             hit = has & (nodes[j] == node)
-            escapes = kind + pruned[i]
-            whole = (total + escapes).astype(float)
+            whole = (total + kind).astype(float)
             out[hit] += np.log10(counts[j[hit]] / whole[hit])
             escape = has & ~hit & (whole > 0)
-            out[escape] += np.log10(escapes[escape] / whole[escape])
+            out[escape] += np.log10(kind[escape] / whole[escape])
             alive &= ~hit
             ruled, known = np.where(has, shared[i], ruled), np.where(has, kinds[i], known)
         out[alive] -= np.log10(256.0 - known[alive])
@@ -109,25 +106,35 @@ class Trie:
 
 
 class Scorer:
-    """A trie with a table of the strings last asked for, of fixed size."""
+    """The head of the trie, sorted, with a table of the strings last asked for, of fixed size; what is not in the head is NaN."""
 
-    def __init__(self, trie: Trie) -> None:
-        self.trie = trie
+    def __init__(self, grams: np.ndarray, logs: np.ndarray) -> None:
+        self.head, self.logs = grams, logs
         self.keys = np.full(1 << _SLOTS, 2**64 - 1, dtype=np.uint64)
         self.values = np.zeros(1 << _SLOTS)
 
-    def scores(self, texts: list[bytes], order: int) -> np.ndarray:
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.head):
+            return np.full(len(keys), np.nan)
+        i = np.minimum(np.searchsorted(self.head, keys), len(self.head) - 1)
+        return np.where(self.head[i] == keys, self.logs[i], np.nan)
+
+    def scores(self, texts: list[bytes], order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The sum of each text's strings of the head; and its other strings with how often they occur."""
         keys, starts = grams(texts, order)
         slot = (keys * _MULTIPLIER) >> np.uint64(64 - _SLOTS)
         values = self.values[slot]
         missed = np.flatnonzero(self.keys[slot] != keys)
         if len(missed):
             new, back = np.unique(keys[missed], return_inverse=True)
-            value = self.trie.log10(new)
+            value = self.log10(new)
             values[missed] = value[back]
             slot = (new * _MULTIPLIER) >> np.uint64(64 - _SLOTS)
             self.keys[slot], self.values[slot] = new, value
-        return np.add.reduceat(values, starts)
+        absent = np.flatnonzero(np.isnan(values))
+        values[absent] = 0.0
+        rest = np.split(keys[absent], np.searchsorted(absent, starts[1:]))
+        return np.add.reduceat(values, starts), [np.unique(r, return_counts=True) for r in rest]
 
 
 def _raw(texts: pd.Series) -> list[bytes]:
@@ -180,21 +187,61 @@ def counts(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> DataF
     return parts.groupBy("word", "depth", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit_trie(counted: DataFrame, order: int = ORDER, node_bits: int = NODE_BITS) -> Trie:
-    """The trie of the counted strings; what comes to the driver is bounded by 2^node_bits rows for each depth."""
-    nodes = counted.filter(F.col("depth") > 0)
-    total = nodes.filter(F.col("depth") == 1).agg(F.sum("n")).first()[0] or 0
-    table = nodes.filter(F.col("n") >= total / 2**node_bits).select("depth", "gram", "n").toArrow()
-    depth, gram, n = (table.column(c).to_numpy() for c in ("depth", "gram", "n"))
-    out = []
-    for d in range(1, order + 2):
-        keys, of = gram[depth == d].view(np.uint64), n[depth == d]
-        by = np.argsort(keys)
-        out.append((keys[by], of[by]))
-    return Trie(out)
+def leaves(nodes: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, n, log of each string of full depth: it followed its context, so this is its whole probability."""
+    of = W.partitionBy(F.shiftrightunsigned("gram", 8))
+    full = nodes.filter(F.col("depth") == order + 1)
+    return full.select("gram", "n", F.log10(F.col("n") / (F.sum("n").over(of) + F.count(F.lit(1)).over(of))).alias("log"))
+
 
+def head_count(leaf: DataFrame, head_bits: int = NODE_BITS) -> int:
+    """The least power of two such that at most 2^head_bits strings of full depth have that count or more."""
+    sizes = leaf.agg(*(F.count(F.when(F.col("n") >= 1 << i, 1)) for i in range(62))).first()
+    return 1 << next(i for i, size in enumerate(sizes) if size <= 1 << head_bits)
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, fold: int = 7, held_out: int = 2) -> DataFrame:
+
+def _looked_up(asked: DataFrame, table: DataFrame, by: str, short: int) -> DataFrame:
+    """``asked`` with its row of ``table``; up to depth ``short`` there are at most 2^16 keys a depth, all of them hot, and those are broadcast."""
+    low = asked.filter(F.col("depth") <= short).join(F.broadcast(table.filter(F.col("depth") <= short)), ["depth", by], "left")
+    return low.unionByName(asked.filter(F.col("depth") > short).join(table.filter(F.col("depth") > short), ["depth", by], "left"))
+
+
+def unseen_logs(unseen: DataFrame, nodes: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, log of distinct strings that no training text holds, by escapes through the counts of all their shorter contexts."""
+    gram = F.col("gram")
+    mask: Callable[[int], Column] = lambda d: F.lit((1 << (8 * d)) - 1)
+    depths = [F.struct(F.lit(d).alias("depth"), gram.bitwiseAND(mask(d)).alias("low"), F.shiftrightunsigned(gram, 8).bitwiseAND(mask(d - 1)).alias("context")) for d in range(1, order + 2)]
+    asked = unseen.select("gram", F.explode(F.array(*depths)).alias("a")).select("gram", "a.*")
+    below = F.when(F.col("depth") > 1, F.expr("gram & (shiftleft(1L, 8 * (depth - 1)) - 1)"))
+    followers = nodes.select("depth", "n", F.shiftrightunsigned("gram", 8).alias("context"), (F.col("depth") - 1).alias("up"), below.alias("suffix"))
+    followers = followers.join(asked.select("depth", "context").distinct(), ["depth", "context"], "left_semi")
+    shorter = nodes.select(F.col("depth").alias("up"), F.col("gram").alias("suffix"), F.col("n").alias("m"))
+    contexts = followers.join(shorter, ["up", "suffix"], "left").groupBy("depth", "context").agg(
+        F.sum("n").alias("total"),
+        F.count(F.lit(1)).alias("kinds"),
+        F.sum(F.coalesce("m", "n")).alias("shared"),  # what its followers count for in the next shorter context
+    )
+    asked = _looked_up(asked, nodes.withColumnRenamed("gram", "low"), "low", 2)
+    asked = _looked_up(asked, contexts, "context", 3)
+    names = ("n", "total", "kinds", "shared")
+    wide = asked.groupBy("gram").agg(*(F.max(F.when(F.col("depth") == d, F.col(c))).alias(f"{c}{d}") for d in range(1, order + 2) for c in names))
+    state = wide.select("*", F.lit(0.0).alias("log"), F.lit(True).alias("alive"), F.lit(0).cast("bigint").alias("ruled"), F.lit(0).cast("bigint").alias("known"))
+    for d in range(order + 1, 0, -1):
+        n, total, kinds, shared = (F.col(f"{c}{d}") for c in names)
+        has, kind = total.isNotNull(), kinds - F.col("known")
+        whole = total - F.col("ruled") + kind
+        step = F.when(F.col("alive") & has & n.isNotNull(), F.log10(n / whole)).when(F.col("alive") & has & (whole > 0), F.log10(kind / whole)).otherwise(0.0)
+        state = state.select(
+            "gram", *(f"{c}{e}" for e in range(1, d) for c in names),
+            (F.col("log") + step).alias("log"),
+            (F.col("alive") & ~(has & n.isNotNull())).alias("alive"),
+            F.when(has, shared).otherwise(F.col("ruled")).alias("ruled"),
+            F.when(has, kinds).otherwise(F.col("known")).alias("known"),
+        )
+    return state.select("gram", (F.col("log") - F.when(F.col("alive"), F.log10(F.lit(256.0) - F.col("known"))).otherwise(0.0)).alias("log"))
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, fold: int = 7, held_out: int = 2, head_bits: int = NODE_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Both models learn from the rows whose crc32 of the id, modulo ``fold``, is not ``held_out``.
@@ -212,11 +259,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share = total / 2**HEAD_BITS
     head = words.filter(F.col("n") >= share).select("word", "n").toArrow()
     common = {w.encode(): n for w, n in zip(head.column("word").to_pylist(), head.column("n").to_pylist(), strict=True)}
-    sent, key = spark.sparkContext.broadcast((fit_trie(counted, order), common)), uuid.uuid4().hex
+    nodes = counted.filter("depth > 0").select("depth", "gram", "n")
+    leaf = materialise(leaves(nodes, order))
+    least = head_count(leaf, head_bits)
+    known = leaf.filter(F.col("n") >= least).select("gram", "log").toArrow()
+    grams_of, logs = known.column("gram").to_numpy().view(np.uint64), known.column("log").to_numpy()
+    by = np.argsort(grams_of)
+    sent, key = spark.sparkContext.broadcast((grams_of[by], logs[by], common)), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie, common = sent.value
-        scorer, of_end = worker_state(key, lambda: Scorer(trie)), math.log10(ends + 1) - whole
+        *head, common = sent.value
+        scorer, of_end = worker_state(key, lambda: Scorer(*head)), math.log10(ends + 1) - whole
         log = {w: math.log10(n + 1) - whole for w, n in common.items()}
         for batch in batches:
             for i in range(0, len(batch), 250):
@@ -231,11 +284,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out = pd.DataFrame(rows, columns=["n_tokens", "n_head", "head_score", "rare"])
                 out.insert(0, "doc_id", part["doc_id"].array)
                 out.insert(1, "held_out", part["held_out"].array)
-                out["score"] = scorer.scores(texts, order)
+                out["score"], rest = scorer.scores(texts, order)
+                out["grams"], out["times"] = [g.view(np.int64) for g, _ in rest], [n for _, n in rest]
                 yield out
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.mapInPandas(run, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_head bigint, head_score double, rare string, score double")
+    scored = docs.mapInPandas(run, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_head bigint, head_score double, rare string, score double, grams array<bigint>, times array<bigint>")
     scored = materialise(scored.withColumn("rid", F.monotonically_increasing_id()))
     rare = scored.filter("rare <> ''").select("rid", F.explode(F.split("rare", " ")).alias("word")).groupBy("rid", "word").agg(F.count(F.lit(1)).alias("k"))
     tail = words.filter(F.col("n") < share).select("word", "n")
@@ -243,10 +297,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.sum(F.col("k") * (F.log10(F.coalesce("n", F.lit(0)) + 1.0) - whole)).alias("rare_score"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("n_rare"),
     )
-    return scored.drop("rare").join(of_rare, "rid", "left").select(
+    others: Callable[[DataFrame], DataFrame] = lambda d: d.select("rid", F.explode(F.arrays_zip("grams", "times")).alias("g")).select("rid", F.col("g.grams").alias("gram"), F.col("g.times").alias("k"))
+    # the training texts hold no string that the trie does not
+    unseen = materialise(others(scored.filter("held_out")).select("gram").distinct().join(leaf.select("gram"), "gram", "left_anti"))
+    rest = leaf.filter(F.col("n") < least).select("gram", "log").unionByName(unseen_logs(unseen, nodes, order))
+    of_grams = others(scored).join(rest, "gram").groupBy("rid").agg(F.sum(F.col("k") * F.col("log")).alias("gram_score"))
+    return scored.drop("rare", "grams", "times").join(of_rare, "rid", "left").join(of_grams, "rid", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("head_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("gram_score", F.lit(0.0))).alias("score"),
     )

@@ -233,6 +233,21 @@ def test_probabilities_add_up():
         assert math.isclose(p.sum(), 1, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("head_bits", [0, 8, ppm.NODE_BITS])
+def test_scores_are_those_of_the_whole_trie(spark, head_bits):
+    d = docs(spark).union(spark.createDataFrame([(10**6 + i, "zq\u00e9 " * i + "the q\u1234z", "en") for i in range(30)], "doc_id bigint, text string, lang string").select(*(F.col(c) if c in ("doc_id", "text", "lang") else F.lit(None).alias(c) for c in docs(spark).columns)))
+    got = {r.doc_id: r.score for r in ppm.score_documents(d, head_bits=head_bits).collect()}
+    rows = [(r.doc_id, (r.text or "").encode()) for r in d.select("doc_id", "text").collect()]
+    keys, n = np.unique(ppm.grams([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2])[0], return_counts=True)
+    depths = []
+    for k in range(ppm.ORDER + 1, 0, -1):
+        keys, n = ppm._summed(keys & np.uint64((1 << (8 * k)) - 1), n)
+        depths.append((keys, n))
+    trie = ppm.Trie(depths[::-1])
+    for i, t in rows:
+        assert math.isclose(got[i], trie.log10(ppm.grams([t])[0]).sum(), rel_tol=1e-9), i
+
+
 def test_unigram_base_by_hand(spark, awkward):
     d = docs(spark)
     got = {r.doc_id: r for r in ppm.score_documents(d).collect()}
