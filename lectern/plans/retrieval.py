@@ -184,14 +184,14 @@ def two_stage_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def kmeans_centroids(spark: SparkSession, sf: str) -> DataFrame:
-    c = R.build_centroids(vectors(spark, sf), 8)
+    c = R.build_centroids(vectors(spark, sf))
     return c.select("book_id", "ix", F.round(V.norm(F.col("direction")), 6).alias("norm"), "built_from")
 
 
 @query()
 def kmeans_objective(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf)
-    return R.kmeans_objective(v, R.build_centroids(v, 8)).withColumn("objective", F.round("objective", 6))
+    return R.kmeans_objective(v, R.build_centroids(v)).withColumn("objective", F.round("objective", 6))
 
 
 @query("""SELECT coalesce(p.b, e.b) AS book_id, coalesce(p.n, 0) AS was, coalesce(e.n, 0) AS now, CASE WHEN p.n IS NULL THEN 'unprofiled' WHEN coalesce(e.n, 0) <> p.n THEN 'drifted' ELSE 'current' END AS state

@@ -37,6 +37,23 @@ def test_chunks_prefer_paragraphs():
     assert C.chunk_spans(b"", 10) == [] and C.chunk_spans(b"   \n", 10) == []
 
 
+def test_a_large_book_is_fitted_on_all_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(R, "FIT_ROWS", 40)
+    ids = [r.id for r in spark.range(200).orderBy(F.xxhash64("id"), "id").collect()]
+    rng = np.random.default_rng(3)
+
+    def near(j):
+        x = np.eye(8)[j] + rng.normal(size=8) * 0.05
+        return (x / np.linalg.norm(x)).tolist()
+
+    rows = [(1, i, near(0 if at < 40 else 1 + at % 2)) for at, i in enumerate(ids)] + [(2, i, near(i % 3)) for i in range(9)]
+    v = spark.createDataFrame(rows, "book_id bigint, chunk_id bigint, embedding array<double>")
+    c = R.build_centroids(v, 3)
+    assert sorted(int(np.argmax(r.direction)) for r in c.filter("book_id = 1").collect()) == [0, 1, 2]
+    assert {(r.book_id, r.built_from) for r in c.collect()} == {(1, 200), (2, 9)}
+    assert R.kmeans_objective(v, c).filter("book_id = 1").first().objective > 195
+
+
 def test_kmeans_is_the_best_of_its_runs():
     r = np.random.default_rng(1)
     x = r.normal(size=(200, 8))
