@@ -4,8 +4,8 @@ For each credential format a prefix tree of labelled examples is folded into a p
 states whose outgoing frequencies the Hoeffding bound cannot tell apart are merged (the red-blue order of
 ALERGIA), each with the likeliest of those it is compatible with. One more automaton is inferred from labelled ordinary strings. A candidate, any run of 16 or more
 credential characters with a digit and a letter, is scored by the logarithm of its likelihood under its best
-format against that of ordinary strings, per character. What scores above ``THRESHOLD`` and has a length that the
-format's examples allow is added to what the plain patterns find; that always stays. The parts of a
+format against that of ordinary strings, per character. What scores above ``THRESHOLD`` and is not much
+shorter than the format's examples is added to what the plain patterns find; that always stays. The parts of a
 run between its ``=``, then ``/``, then ``.`` are candidates too, and are taken instead where one scores higher: so
 keys in paths and assignments are seen, however long the run.
 
@@ -82,7 +82,7 @@ class Automaton:
                 q = self.next[q][c]
             self.count[q][self.END] += 1
         lengths = sorted(map(len, examples))
-        self.shortest, self.longest = lengths[0], lengths[-1]
+        self.shortest = lengths[0]
         self.alphabet = alphabet
         self._bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_all()
@@ -150,7 +150,8 @@ class Automaton:
         return total
 
     def fits(self, n: int) -> bool:
-        return 0.8 * self.shortest <= n <= 1.25 * self.longest
+        """Whether ``n`` characters are not too few; likelihood, by character, judges all that are longer."""
+        return 0.8 * self.shortest <= n
 
 
 _LOWER_HEX, _ALNUM = "0123456789abcdef", string.ascii_letters + string.digits
@@ -171,7 +172,7 @@ FORMATS: dict[str, Callable[[random.Random], str]] = {
     "slack": lambda r: r.choice(("xoxb-", "xoxp-", "xoxa-")) + _drawn(r, string.digits, 11, 12) + "-" + _drawn(r, string.digits, 11, 12) + "-" + _drawn(r, _ALNUM, 24),
     "payment": lambda r: r.choice(("sk_live_", "sk_test_", "rk_live_", "pk_live_")) + _drawn(r, _ALNUM, 24, 32),
     "cloud_api": lambda r: "AIza" + _drawn(r, _URL64, 35),
-    "jwt": lambda r: "eyJhbGciOi" + _drawn(r, _ALNUM, 20, 26) + ".eyJ" + _drawn(r, _URL64, 30, 80) + "." + _drawn(r, _URL64, 43),
+    "jwt": lambda r: "eyJhbGciOi" + _drawn(r, _ALNUM, 20, 26) + ".eyJ" + _drawn(r, _URL64, 30, 600) + "." + _drawn(r, _URL64, r.choice((43, 86, 176, 342))),
     "npm": lambda r: "npm_" + _drawn(r, _ALNUM, 36),
     "sendgrid": lambda r: "SG." + _drawn(r, _URL64, 22) + "." + _drawn(r, _URL64, 43),
     "model_api": lambda r: "sk-" + _drawn(r, _ALNUM, 40, 48),
@@ -204,7 +205,7 @@ def models() -> tuple[dict[str, Automaton], Automaton]:
 
 @lru_cache(maxsize=4096)
 def score(candidate: str) -> tuple[str, float]:
-    """The likeliest format that allows this length, and the mean log likelihood ratio."""
+    """The likeliest format that is not too long for it, and the mean log likelihood ratio."""
     formats, ordinary = models()
     plain = ordinary.log_likelihood(candidate)
     best = max(((a.log_likelihood(candidate), name) for name, a in formats.items() if a.fits(len(candidate))), default=None)

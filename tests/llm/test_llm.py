@@ -192,6 +192,15 @@ def test_secrets_in_runs_of_other_signs(before, after):
     assert secrets.spans_of(before + key + after) == [("github", len(before), len(before) + len(key), True)]
 
 
+@pytest.mark.parametrize("signature", [43, 176, 342, 683])
+def test_long_web_tokens(signature):
+    r = random.Random(signature)
+    for n in (40, 300, 900):
+        token = "eyJhbGciOiJSUzI1NiIsInR5cCI6IkpXVCJ9.eyJ" + secrets._drawn(r, secrets._URL64, n) + "x." + secrets._drawn(r, secrets._URL64, signature - 1) + "x"
+        masked = secrets.redact(f"sent {token} here")
+        assert not re.search(r"[A-Za-z0-9_-]{16,}", masked.replace("<secret>", "")), masked
+
+
 def test_formats_are_named():
     r = random.Random(12)
     for name, draw in secrets.FORMATS.items():
