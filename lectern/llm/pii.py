@@ -172,12 +172,14 @@ _DIGITS_ITEM = re.compile(rf"plus|double|triple|{_DOTWORD}|{_W}|[0-9]+", re.I)
 _MIXED = re.compile(r"(?<=[0-9])[OolI](?=[OolI]{0,2}[0-9])|(?<=[0-9][OolI])[OolI](?=[0-9])")
 # All the spaces before a sign, from the first of them: a long run of spaces is then looked at once.
 _SPACE0, _SPACE1 = r"(?:(?<!\x20)[\x20]++)?+", r"(?<!\x20)[\x20]++"
-_AT = re.compile(rf"(?P<sure>{_SPACE0}[\[({{<][\x20]*+(?:{_ATWORD}|@)[\x20]*+[\])}}>][\x20]*+)|(?P<word>{_SPACE1}(?:{_ATWORD})[\x20]++)|(?P<bar>(?<![_-])[_-]++at[_-]++)|(?P<wide>{_SPACE1}@[\x20]*+|@[\x20]++)", re.I)
+_AT = re.compile(rf"(?P<sure>{_SPACE0}[\[({{<][\x20]*+(?:{_ATWORD}|@)[\x20]*+[\])}}>][\x20]*+)|(?P<word>{_SPACE1}(?:{_ATWORD})[\x20]++)|(?P<bar>(?<![_-])[_-]++at[_-]++)|(?P<wide>{_SPACE1}@[\x20]*+|@[\x20]++)|(?P<plain>@)", re.I)
 _DOT_SURE = rf"[\x20]*[\[({{<][\x20]*(?:{_DOTWORD}|\.)[\x20]*[\])}}>][\x20]*|[\x20]+(?:{_DOTWORD})[\x20]+|[_-]+dot[_-]+"
 _LABELS = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9]|-(?!dot[-_]))*(?:(?:{_DOT_SURE}|\.|[\x20]\.[\x20])[A-Za-z0-9](?:[A-Za-z0-9]|-(?!dot[-_]))*)+", re.I)
+# After a plain @ a dot between spaces ends a sentence: only what is spelled or in brackets is a disguise there.
+_LABELS_PLAIN = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9]|-(?!dot[-_]))*(?:(?:{_DOT_SURE}|\.)[A-Za-z0-9](?:[A-Za-z0-9]|-(?!dot[-_]))*)+", re.I)
 _DOTS = re.compile(rf"{_DOT_SURE}|[\x20]\.[\x20]", re.I)
 _BEFORE = re.compile(rf"(?:[A-Za-z0-9%+-]|_(?!at_|dot_)|\.)+(?:(?:{_DOT_SURE})[A-Za-z0-9._%+-]+)*$", re.I)
-_TRIGGER = re.compile(rf"[\[({{<]\x20*(?:{_ATWORD}|@)\x20*[\])}}>]|\b(?:{_DOTWORD})\b|_dot_|-dot-|\x20@|@\x20", re.I)
+_TRIGGER = re.compile(rf"[\[({{<]\x20*(?:{_ATWORD}|@)\x20*[\])}}>]|\b(?:{_DOTWORD})\b|_dot_|-dot-|\x20@|@\x20|[\[({{<]\x20*\.\x20*[\])}}>]", re.I)
 #: A local part in disguise is looked for in so many characters; the longest that RFC 5321 allows, with room for disguises.
 _REACH = 160
 
@@ -190,12 +192,14 @@ def _disguised_mail(text: str) -> list[tuple[int, int, str]]:
     pieces: list[tuple[int, int, str]] = []
     done = 0
     for m in _AT.finditer(text):
-        if m.start() < done or not (d := _LABELS.match(text, m.end())):
+        if m.start() < done or not (d := (_LABELS_PLAIN if m["plain"] else _LABELS).match(text, m.end())):
             continue
         dots = [(x.start() + d.start(), x.end() + d.start()) for x in _DOTS.finditer(d[0])]
         # a bare word "at" is taken for @ only if a dot is spelled too
         if (m["word"] or m["bar"]) and (not dots or d[0].split()[0].lower() in _ARTICLES):
             continue
+        if m["plain"] and not dots:
+            continue
         lo = max(done, m.start() - _REACH)
         if not (b := _BEFORE.search(text[lo : m.start()])) or not b[0].strip(".-_"):
             continue

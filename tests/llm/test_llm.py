@@ -43,6 +43,13 @@ def test_disguises(text, kind, value):
     assert (kind, value) in [(k, text[a:b]) for k, a, b, d in pii.spans_of(text) if d]
 
 
+@pytest.mark.parametrize("value", ["john@example[dot]com", "john@example dot com", "john@example [.] com", "john@mail(dot)example(dot)co"])
+def test_a_disguised_dot_alone(value):
+    text = f"mail {value}, or not"
+    assert pii.spans_of(text) == [("email", 5, 5 + len(value), True)] and pii.redact(text) == "mail <email>, or not"
+    assert [s[3] for s in pii.spans_of("to john@example.com . Then [.] more")] == [False]
+
+
 def test_plain_words_are_no_disguise():
     assert not pii.spans_of("look at the dot on this. Then one two three go at home. A point of view.")
 
