@@ -7,7 +7,8 @@ centroids. A text takes the language of the centroid with the largest cosine. It
 that centroid than all but a few training texts of about its length are from theirs, with room to spare.
 
 The fit sees at most ``SAMPLE`` rows of each language, those with the smallest hash of id and text, so that the
-sample is the same however the rows are spread. Every row is predicted, from its whole text.
+sample is the same however the rows are spread. Their whole texts are counted where they lie; the driver gets counts
+only. Every row is predicted, from its whole text.
 
 Defined results: texts without a letter, and null texts, are ``und`` with score 0, and rejected; with no training
 rows all texts are ``und``; repeated rows each have a result; ties go to the language first in the alphabet.
@@ -29,9 +30,7 @@ from pyspark.sql import functions as F
 from lectern.llm._common import prepare, remainder, worker_state
 
 BUCKETS = 1 << 12
-SAMPLE = 1000
-#: Characters of a training text that the fit looks at. Prediction always takes the whole text.
-FIT_CHARS = 4000
+SAMPLE = 1500
 CENTROIDS = 4
 #: A text is rejected below this share of the cosine that all but QUANTILE of training texts of its length reach.
 SLACK, QUANTILE = 0.6, 0.002
@@ -111,14 +110,32 @@ def _clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+#: The buckets that a text fills, how often, its number of letters, and its language.
+Counted = tuple[np.ndarray, np.ndarray, int, str]
+
+
+def sparse(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """The buckets that a whole text fills, how often, and its number of letters."""
+    c, n = counts(text)
+    filled = np.flatnonzero(c)
+    return filled.astype(np.uint16), c[filled].astype(np.float32), n
+
+
 def fit(rows: list[tuple[str, str]], centroids: int = CENTROIDS) -> Model:
     """The model of (text, language) rows."""
-    taken = [(c.astype(np.float32), n, lang) for t, lang in rows for c, n in [counts(t[:FIT_CHARS])] if n]
-    languages = sorted({lang for *_, lang in taken})
+    return fit_counts([(*sparse(t), lang) for t, lang in rows], centroids)
+
+
+def fit_counts(rows: list[Counted], centroids: int = CENTROIDS) -> Model:
+    """The model of counted texts."""
+    taken = [r for r in rows if r[2]]
+    languages = sorted({r[3] for r in taken})
     if not taken:
         return Model(np.ones(BUCKETS), np.zeros((0, BUCKETS)), [], np.zeros(0, dtype=int), np.zeros(len(LENGTHS) + 1))
-    x = np.array([c for c, *_ in taken])
-    taken = [(None, n, lang) for _, n, lang in taken]
+    x = np.zeros((len(taken), BUCKETS), dtype=np.float32)
+    for i, (filled, times, *_) in enumerate(taken):
+        x[i, filled] = times
+    taken = [(None, n, lang) for _, _, n, lang in taken]
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     np.sqrt(x, out=x)
     x *= idf
@@ -134,25 +151,34 @@ def fit(rows: list[tuple[str, str]], centroids: int = CENTROIDS) -> Model:
     return Model(idf, c, languages, owner, floors)
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fold: int, size: int) -> list[tuple[str, str]]:
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fold: int, size: int) -> list[Counted]:
     """At most ``size`` rows of each language from the training part: those of smallest hash of id and text.
 
-    A slice of the hash range that holds about twice as many rows is ranked; the driver gets ``size`` rows a language.
+    A slice of the hash range that holds about twice as many rows is counted and ranked; the driver gets the counts of
+    ``size`` rows a language.
     """
+    prepare(docs.sparkSession)
+
+    @F.pandas_udf("struct<filled:binary,times:binary,letters:bigint>")
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        found = [(f.tobytes(), k.tobytes(), n) for f, k, n in map(sparse, texts)]
+        return pd.DataFrame(found, columns=["filled", "times", "letters"])
+
     part = docs.filter((remainder(id_col, fold) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = {r["l"]: r["n"] for r in part.groupBy(F.col(lang_col).cast("string").alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(1000).collect()}
     share: Column = F.lit(0.0)
     for lang, count in n.items():
         share = F.when(F.col(lang_col).cast("string") == lang, F.lit(min(1.0, 2 * size / count + 0.001))).otherwise(share)
     thin = part.withColumn("__h", F.xxhash64(id_col, text_col)).filter((F.pmod("__h", F.lit(1_000_003)) / 1_000_003) < share)
-    thin = thin.select(F.col(lang_col).cast("string").alias("l"), F.substring(F.col(text_col), 1, FIT_CHARS).alias("t"), F.col("__h").alias("h"))
-    ranked = thin.withColumn("k", F.row_number().over(W.partitionBy("l").orderBy("h", "t"))).filter(F.col("k") <= size)
-    return [(r["t"], r["l"]) for r in ranked.select("l", "t", "k").orderBy("l", "k").collect()]
+    thin = thin.select(F.col(lang_col).cast("string").alias("l"), counted(F.col(text_col)).alias("c"), F.col("__h").alias("h"))
+    ranked = thin.withColumn("k", F.row_number().over(W.partitionBy("l").orderBy("h", "c"))).filter(F.col("k") <= size)
+    rows = ranked.select("l", "k", "c.*").orderBy("l", "k").collect()
+    return [(np.frombuffer(r["filled"], dtype=np.uint16), np.frombuffer(r["times"], dtype=np.float32), r["letters"], r["l"]) for r in rows]
 
 
 def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 5, size: int = SAMPLE) -> Model:
     """The model learned from the rows of ``docs`` whose crc32 of the id, modulo ``fold``, is not 0."""
-    return fit(sample(docs, id_col, text_col, lang_col, fold, size))
+    return fit_counts(sample(docs, id_col, text_col, lang_col, fold, size))
 
 
 def predictor(docs: DataFrame, model: Model):  # noqa: ANN201

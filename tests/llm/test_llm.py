@@ -153,6 +153,12 @@ def test_languages_of_held_out_documents(spark):
     assert got.filter("rejected").count() < 5
 
 
+def test_fit_sees_whole_texts(spark):
+    assert langid.SAMPLE == 1500
+    d = spark.createDataFrame([(i, "123 " * 2000 + text, lang) for i in range(40) for text, lang in [("the cat is on the mat", "en"), ("der hund ist im haus", "de")]], "doc_id bigint, text string, lang string")
+    assert langid.fitted(d).languages == ["de", "en"]
+
+
 def test_rejection():
     m = langid.fit([("the cat is on the mat and that is all of it for now", "en")] * 40 + [("der hund ist in dem haus und das ist nicht gut", "de")] * 40)
     assert m.predict(["the cat and the mat is that", None, "12 34 !!"]) [0][0] == "en"
