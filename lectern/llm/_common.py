@@ -6,26 +6,42 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch sent to Python. Texts may be long, so batches are kept short.
-ARROW_ROWS = 1000
+#: Rows and bytes in one Arrow batch sent to Python. Texts may be long, so batches are kept short.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Set what bounds the memory of Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def by_size(texts: Sequence[str | None], most: int) -> Iterator[slice]:
+    """Runs of texts of about ``most`` characters in all, one text at least in each."""
+    a, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t) if isinstance(t, str) else 0
+        if held >= most:
+            yield slice(a, i + 1)
+            a, held = i + 1, 0
+    if a < len(texts):
+        yield slice(a, len(texts))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, as in tests, one of our own on a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="lectern-")
@@ -73,6 +89,7 @@ def worker_state(key: str, build: Callable[[], Any]) -> Any:  # noqa: ANN401
     if key not in _STATE:
         _STATE.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
         except (OSError, AttributeError):  # another C library

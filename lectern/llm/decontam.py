@@ -9,7 +9,8 @@ piece to item holds at most m - 1 edits in each node of m pieces, so a false hit
 The items come to the tasks in blocks of at most ``BLOCK_CHARS`` characters; a larger benchmark takes more passes.
 
 Defined results: null and empty items, and items without letters or digits, are never found; a null text holds
-nothing; repeated rows each have a result; of several occurrences of an item in a text the one with the fewest
+nothing; an empty table gives an empty result; repeated documents each have a result, repeated items count once; a very
+long text is searched whole, in one pass; other columns than those named may have any names; of several occurrences of an item in a text the one with the fewest
 edits is given, the first among equals. Positions are code points of the source, ends exclusive.
 """
 
@@ -178,11 +179,11 @@ def _matcher(key: str, items: list[tuple[object, str]], edit_span: int) -> Match
 
 
 def _blocks(bench: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[object, str]]]:
-    bench = bench.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull())
+    bench = bench.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull()).distinct()
     total = bench.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
     for b in range(n):
-        yield [(r["i"], r["t"]) for r in bench.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == b).collect()]
+        yield [(r["i"], r["t"]) for r in bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()]
 
 
 def _found_type(bench: DataFrame, item_col: str) -> T.ArrayType:

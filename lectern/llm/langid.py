@@ -6,12 +6,14 @@ at unit length. The vectors of each language's training sample are clustered by
 centroids. A text takes the language of the centroid with the largest cosine. It is rejected if it is farther from
 that centroid than all but a few training texts of about its length are from theirs, with room to spare.
 
-The fit sees at most ``SAMPLE`` rows of each language, those with the smallest hash of id and text, so that the
-sample is the same however the rows are spread. Their whole texts are counted where they lie; the driver gets counts
+The fit sees at most ``SAMPLE`` rows of each language and ``FIT_ROWS`` in all, those with the smallest hash of id and
+text, so that the sample is the same however the rows are spread. Their whole texts are counted where they lie; the driver gets counts
 only. Every row is predicted, from its whole text.
 
 Defined results: texts without a letter, and null texts, are ``und`` with score 0, and rejected; with no training
-rows all texts are ``und``; repeated rows each have a result; ties go to the language first in the alphabet.
+rows all texts are ``und``; an empty table gives an empty result; repeated rows each have a result; ties go to the
+language first in the alphabet. Very long texts are counted in pieces. Columns other than those named are not read, so
+they may have any names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ from lectern.llm._common import prepare, remainder, worker_state
 
 BUCKETS = 1 << 12
 SAMPLE = 1500
+#: Rows that the fit sees at most in all; with more than FIT_ROWS / SAMPLE languages each has an even share of them.
+FIT_ROWS = 30_000
 CENTROIDS = 4
 #: A text is rejected below this share of the cosine that all but QUANTILE of training texts of its length reach.
 SLACK, QUANTILE = 0.6, 0.002
@@ -45,18 +49,18 @@ def _letters() -> np.ndarray:
 
 
 def _codes(text: str) -> np.ndarray:
-    """Lower-case code points, with a space for all that is no letter, and a space at either end."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return np.where(_letters()[codes], codes, 32)
+    """Code points, with a space for all that is no letter."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where(_letters()[codes], codes, np.uint32(32))
 
 
 def counts(text: str) -> tuple[np.ndarray, int]:
-    """Hashed n-gram counts of a whole text, and its number of letters."""
+    """Hashed n-gram counts of a whole text in lower case with a space at either end, and its number of letters."""
     out = np.zeros(BUCKETS)
-    c, letters = _codes(text), 0
-    for a in range(0, len(c), 1 << 20):  # long texts in overlapping pieces
-        part = c[a : a + (1 << 20) + 2]
-        own = len(part) if a + (1 << 20) >= len(c) else 1 << 20
+    text, letters = f" {text.lower()} ", 0
+    for a in range(0, len(text), 1 << 18):  # long texts in overlapping pieces
+        part = _codes(text[a : a + (1 << 18) + 2])
+        own = len(part) if a + (1 << 18) >= len(text) else 1 << 18
         word = part != 32
         letters += int(word[:own].sum())
         h1 = part * np.uint32(0x9E3779B1)
@@ -132,18 +136,22 @@ def fit_counts(rows: list[Counted], centroids: int = CENTROIDS) -> Model:
     languages = sorted({r[3] for r in taken})
     if not taken:
         return Model(np.ones(BUCKETS), np.zeros((0, BUCKETS)), [], np.zeros(0, dtype=int), np.zeros(len(LENGTHS) + 1))
-    x = np.zeros((len(taken), BUCKETS), dtype=np.float32)
-    for i, (filled, times, *_) in enumerate(taken):
-        x[i, filled] = times
-    taken = [(None, n, lang) for _, _, n, lang in taken]
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    np.sqrt(x, out=x)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    of = np.array([languages.index(lang) for *_, lang in taken])
-    parts = [_clustered(x[of == i], centroids) for i in range(len(languages))]
+    held = np.zeros(BUCKETS)
+    for filled, *_ in taken:
+        held[filled] += 1
+    idf = (np.log((1 + len(taken)) / (1 + held)) + 1).astype(np.float32)
+    of = {lang: [r for r in taken if r[3] == lang] for lang in languages}
+
+    def rows_of(lang: str) -> np.ndarray:
+        x = np.zeros((len(of[lang]), BUCKETS), dtype=np.float32)
+        for i, (filled, times, *_) in enumerate(of[lang]):
+            x[i, filled] = np.sqrt(times) * idf[filled]
+        return _unit(x)
+
+    parts = [_clustered(rows_of(lang), centroids) for lang in languages]  # the dense rows of one language at a time
     c, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    best, size = (x @ c.T).max(axis=1), np.searchsorted(LENGTHS, [n for _, n, _ in taken])
+    best = np.concatenate([(rows_of(lang) @ c.T).max(axis=1) for lang in languages])
+    size = np.searchsorted(LENGTHS, [r[2] for lang in languages for r in of[lang]])
     floors = np.zeros(len(LENGTHS) + 1)
     for i in range(len(floors)):  # a class with few texts takes the floor of the next shorter one, which is lower
         enough = (size == i).sum() >= 20
@@ -152,7 +160,7 @@ def fit_counts(rows: list[Counted], centroids: int = CENTROIDS) -> Model:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fold: int, size: int) -> list[Counted]:
-    """At most ``size`` rows of each language from the training part: those of smallest hash of id and text.
+    """At most ``size`` rows of each language from the training part, ``FIT_ROWS`` in all: those of smallest hash of id and text.
 
     A slice of the hash range that holds about twice as many rows is counted and ranked; the driver gets the counts of
     ``size`` rows a language.
@@ -165,12 +173,13 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fold: int
         return pd.DataFrame(found, columns=["filled", "times", "letters"])
 
     part = docs.filter((remainder(id_col, fold) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = {r["l"]: r["n"] for r in part.groupBy(F.col(lang_col).cast("string").alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(1000).collect()}
-    share: Column = F.lit(0.0)
-    for lang, count in n.items():
-        share = F.when(F.col(lang_col).cast("string") == lang, F.lit(min(1.0, 2 * size / count + 0.001))).otherwise(share)
-    thin = part.withColumn("__h", F.xxhash64(id_col, text_col)).filter((F.pmod("__h", F.lit(1_000_003)) / 1_000_003) < share)
-    thin = thin.select(F.col(lang_col).cast("string").alias("l"), counted(F.col(text_col)).alias("c"), F.col("__h").alias("h"))
+    part = part.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("h"))
+    each = part.groupBy("l").agg(F.count(F.lit(1)).alias("n")).persist()
+    languages = each.count()
+    size = max(1, min(size, FIT_ROWS // max(1, languages)))
+    each = each.select("l", F.least(F.lit(1.0), 2.0 * size / F.col("n") + 0.001).alias("share"))
+    each = F.broadcast(each) if languages <= FIT_ROWS else each  # a row a language
+    thin = part.join(each, "l").filter((F.pmod("h", F.lit(1_000_003)) / 1_000_003) < F.col("share")).select("l", counted(F.col("t")).alias("c"), "h")
     ranked = thin.withColumn("k", F.row_number().over(W.partitionBy("l").orderBy("h", "c"))).filter(F.col("k") <= size)
     rows = ranked.select("l", "k", "c.*").orderBy("l", "k").collect()
     return [(np.frombuffer(r["filled"], dtype=np.uint16), np.frombuffer(r["times"], dtype=np.float32), r["letters"], r["l"]) for r in rows]
@@ -190,7 +199,7 @@ def predictor(docs: DataFrame, model: Model):  # noqa: ANN201
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = worker_state(key, lambda: sent.value)
         for texts in batches:
-            found = [x for i in range(0, len(texts), 100) for x in model.predict(texts.iloc[i : i + 100].tolist())]
+            found = [x for i in range(0, len(texts), 64) for x in model.predict(texts.iloc[i : i + 64].tolist())]
             yield pd.DataFrame(found, columns=["lang", "score", "rejected"])
 
     return predict

@@ -24,24 +24,27 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm._common import materialise, prepare, worker_state
+from lectern.llm._common import by_size, materialise, prepare, worker_state
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 #: Ids of words that a Python worker keeps; beyond it the worker starts anew, so its memory is bounded.
-KEPT_IDS = 8_000_000
+KEPT_IDS = 4_000_000
 _SLOTS = 20
+#: Characters of texts that are cut and looked up at once; a longer text is taken apart at white space.
+AT_ONCE = 250_000
 #: Rows of one (length, salt) group that a task ranks.
-RANKED_TOGETHER = 50_000
+RANKED_TOGETHER = 1000
 #: Texts of code points below this, and without apostrophes or the one capital that two characters make in lower case, are plain.
 _PLAIN = 0x180
 _ODD = re.compile("['\u0130]|[^\x00-\u017f]")
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
+_BETWEEN = re.compile(r"[\t\n\r ]+(?=[A-Za-z0-9])")
 #: Pieces of so many characters go through the tokenizer each time.
 _LONGEST = 96
 
@@ -143,7 +146,14 @@ class WordTokenizer:
         return [ids[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist())]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """Little-endian 32-bit ids of each text, of a bounded number of characters at a time."""
+        out: list[bytes] = []
+        for part in by_size(texts, AT_ONCE):
+            some = texts[part]
+            out += [b"".join(chain.from_iterable(self._ids([p]) for p in _cut(t))) for t in some] if any(len(t) > 2 * AT_ONCE for t in some) else self._ids(some)
+        return out
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
         plain = list(texts)
         for i in odd:
@@ -154,6 +164,15 @@ class WordTokenizer:
         return out
 
 
+def _cut(text: str) -> Iterator[str]:
+    """Parts of a long text: each but the last ends before white space that a letter A-Z or a digit follows, so no piece is cut."""
+    a = 0
+    while len(text) - a > AT_ONCE and (m := _BETWEEN.search(text, a + AT_ONCE)):
+        yield text[a : m.start()]
+        a = m.end()
+    yield text[a:]
+
+
 def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, keep_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and (if kept) ids, binary little-endian, of each piece of each document."""
     prepare(docs.sparkSession)
@@ -168,7 +187,7 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             rows = []
             texts = [t if isinstance(t, str) else "" for t in batch["t"]]
-            for doc, ids in zip(batch["d"], chain.from_iterable(tok.encode(texts[i : i + 100]) for i in range(0, len(texts), 100)), strict=True):
+            for doc, ids in zip(batch["d"], tok.encode(texts), strict=True):
                 ids += end
                 for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[a : a + 4 * capacity]
@@ -267,14 +286,12 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = placements(plan(counts, capacity))
     runs = spark.sparkContext.broadcast(table)
-    salts = max(1, -(-max(counts.values(), default=1) // RANKED_TOGETHER))
-    salt: Column = F.pmod(F.xxhash64(*order), F.lit(salts))
-    salted = pieces.withColumn("__salt", salt)
+    sizes = spark.createDataFrame([(n, -(-c // RANKED_TOGETHER)) for n, c in counts.items()], "length bigint, __salts bigint")  # at most capacity rows
+    salted = pieces.join(F.broadcast(sizes), "length").withColumn("__salt", F.pmod(F.xxhash64(*order), F.col("__salts"))).drop("__salts")
     per = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = per.select("length", "__salt", (F.sum("__n").over(W.partitionBy("length").orderBy("__salt")) - F.col("__n")).alias("__before"))
     ranked = salted.withColumn("__rank", F.row_number().over(W.partitionBy("length", "__salt").orderBy(*order)).cast("bigint") - 1)
-    if salts > 1:
-        ranked = ranked.join(before, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before")).drop("__before")
+    ranked = ranked.join(before, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
     columns = [c for c in pieces.columns]
 
     @F.pandas_udf("struct<sequence_id:bigint,offset:bigint>")

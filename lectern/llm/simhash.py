@@ -2,24 +2,28 @@
 
 A fingerprint has 64 bits: bit i is set if more than half of a text's shingle hashes have it set. For each distinct
 fingerprint the Hamming distances to ``PIVOTS`` reference fingerprints are computed. Two fingerprints within r bits
-differ by at most r in every such coordinate, so pairs with a larger difference are discarded, and what survives is
-verified by the distance itself.
-
-So that not all pairs need comparing, the references are an anchor and, for each of 8 blocks of 8 bits, 8 patterns
-that differ from the anchor within that block only. The coordinates of a block's references less the anchor's
-depend on that block alone. Two differing bits lie in at most two blocks; so the coordinates of six blocks agree,
-and grouping by each choice of six blocks (28 keys) brings every pair within two bits together. A group shares 48
-bits, so it holds at most 2^16 distinct fingerprints: its size is bounded whatever the corpus. Within it links are
-kept only as a spanning forest, never as all pairs. Copies of a fingerprint collapse before anything is compared.
+differ by at most r in every such coordinate: pairs with a larger difference are discarded, and what survives is
+verified by the distance itself. ``pruning`` counts how many pairs go which way.
+
+Candidates come from the same table, so that not all pairs meet. The references are an anchor, for each of 8 blocks of
+8 bits 8 patterns that differ from the anchor within that block only, and a few that differ from it everywhere. The
+coordinates of a block's references less the anchor's depend on that block alone. Two differing bits lie in at most
+two of the four quarters of a fingerprint, so the coordinates of two quarters agree: grouping by each choice of two
+(6 keys) brings every pair within two bits together. Only groups of over ``GROUP`` fingerprints are dealt anew, by the
+coordinates of two more blocks (again 6 choices), and then hold at most 2^16: the size of a group is bounded whatever
+the corpus. Of a batch of groups only its classes are handed on, never all its pairs. Copies of a fingerprint
+collapse before anything is compared.
 
 Defined results: a null text is an empty text; texts without words have fingerprint zero and link like others;
-fewer words than a shingle make one shingle of the whole sequence; repeated rows each have a result; documents with
-a null id take part, and a component of such documents alone has a null id.
+fewer words than a shingle make one shingle of the whole sequence; a very long text is read in pieces; an empty table
+gives an empty result; repeated rows each have a result; documents with a null id take part, and a component of such
+documents alone has a null id. Other columns than those named are not read, and may have any names.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,34 +38,47 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 2
 BLOCKS = 8
+#: Fingerprints of one group from which it is dealt anew by more coordinates.
+GROUP = 1024
 
 #: The anchor, any fixed number.
 _ANCHOR = 0x9E3779B97F4A7C15
 #: Patterns within a block of 8 bits. As rows of a matrix over the whole numbers, less half their weight, they are independent, so their coordinates tell all blocks apart.
 _PATTERNS = (0x01, 0x03, 0x07, 0x0F, 0x1F, 0x3F, 0x7F, 0xFF)
-PIVOTS = np.array([_ANCHOR] + [_ANCHOR ^ (p << (8 * b)) for b in range(BLOCKS) for p in _PATTERNS], dtype=np.uint64)
+#: Patterns over all blocks: every second bit, every second pair of bits, and so on.
+_WIDE = tuple(sum(1 << i for i in range(64) if i >> j & 1) for j in range(6))
+PIVOTS = np.array([_ANCHOR] + [_ANCHOR ^ (p << (8 * b)) for b in range(BLOCKS) for p in _PATTERNS] + [_ANCHOR ^ w for w in _WIDE], dtype=np.uint64)
+#: For each choice of two quarters, their blocks and the blocks that are left.
+_CHOICES = [(tuple(b for q in two for b in (2 * q, 2 * q + 1)), tuple(b for b in range(BLOCKS) if b // 2 not in two)) for two in itertools.combinations(range(4), 2)]
+_SPACE, _PIECE = re.compile(rb"[\t-\r ]"), 1 << 20
+
+
+def _word_runs(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, of a piece of it at a time."""
+    a = 0
+    while a < len(data):
+        end = _SPACE.search(data, min(len(data), a + _PIECE))
+        z = end.start() if end else len(data)
+        yield data[a:z].split()
+        a = z
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The 64-bit fingerprint of one text."""
     import xxhash
 
-    words = text.encode().lower().split() if text else []  # of bytes: A-Z alone, and ASCII white space alone
-    if not words:
-        return 0
-    hashed = xxhash.xxh64_intdigest
-    if len(words) < shingle:
-        return hashed(b" ".join(words), seed)
-    joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    h = np.fromiter((hashed(s, seed) for s in joined), dtype=np.uint64, count=len(words) - shingle + 1)
-    return _majority(h)
-
-
-def _majority(h: np.ndarray) -> int:
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), 1 << 16):  # a very long text in pieces
-        ones += np.unpackbits(h[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    hashed, n, ones, held = xxhash.xxh64_intdigest, 0, np.zeros(64, dtype=np.int64), []
+    for words in _word_runs(text.encode().lower() if text else b""):  # of bytes: A-Z alone, and ASCII white space alone
+        words = held + words
+        joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+        h = np.fromiter((hashed(s, seed) for s in joined), dtype=np.uint64)
+        n += len(h)
+        for i in range(0, len(h), 1 << 14):
+            ones += np.unpackbits(h[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        held = words[len(words) - (shingle - 1) :] if len(words) >= shingle else words
+    if not n:
+        return hashed(b" ".join(held), seed) if held else 0
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 @F.pandas_udf(T.LongType())
@@ -72,86 +89,132 @@ def fingerprints(texts: pd.Series) -> pd.Series:
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
     """Distances of each fingerprint to each pivot."""
-    return np.bitwise_count(fps[:, None] ^ PIVOTS[None, :])
+    return np.stack([np.bitwise_count(fps ^ p) for p in PIVOTS], axis=1) if len(fps) else np.zeros((0, len(PIVOTS)), dtype=np.uint8)
 
 
-def _group_keys(fps: np.ndarray) -> Iterator[np.ndarray]:
-    """For each choice of six blocks, a 64-bit key of their coordinates."""
-    table = pivot_table(fps).astype(np.int64)
+def _marks(fps: np.ndarray) -> np.ndarray:
+    """For each block the coordinates of its pivots, less the anchor's, as one number."""
+    table = pivot_table(fps)[:, : 1 + BLOCKS * len(_PATTERNS)].astype(np.int64)
     rest = (table[:, 1:] - table[:, :1] + 8).reshape(-1, BLOCKS, len(_PATTERNS)).astype(np.uint64)
     mark = np.zeros((len(fps), BLOCKS), dtype=np.uint64)
     for j in range(len(_PATTERNS)):  # each coordinate lies in 0..16: five bits
         mark |= rest[:, :, j] << np.uint64(5 * j)
-    prime = np.uint64(0x9E3779B185EBCA87)
-    for n, chosen in enumerate(itertools.combinations(range(BLOCKS), BLOCKS - RADIUS)):
-        key = np.full(len(fps), (n + 1) * 0x5851F42D4C957F2D & (2**64 - 1), dtype=np.uint64)
-        for b in chosen:
-            key = (key ^ mark[:, b]) * prime
-            key ^= key >> np.uint64(29)
-        yield key
+    return mark
+
+
+def _key(mark: np.ndarray, blocks: tuple[int, ...], salt: int) -> np.ndarray:
+    """A 64-bit hash of the coordinates of some blocks."""
+    key = np.full(len(mark), salt * 0x5851F42D4C957F2D & (2**64 - 1), dtype=np.uint64)
+    for b in blocks:
+        key = (key ^ mark[:, b]) * np.uint64(0x9E3779B185EBCA87)
+        key ^= key >> np.uint64(29)
+    return key
 
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         fps = batch["fp"].to_numpy(np.int64).view(np.uint64)
-        for key in _group_keys(fps):
-            yield pd.DataFrame({"key": key.view(np.int64), "fp": fps.view(np.int64)})
+        mark = _marks(fps)
+        for n, (blocks, _) in enumerate(_CHOICES):
+            yield pd.DataFrame({"key": _key(mark, blocks, n + 1).view(np.int64), "choice": n, "fp": fps.view(np.int64)})
+
+
+def _keyed_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for n, part in batch.groupby("choice"):
+            fps = part["fp"].to_numpy(np.int64).view(np.uint64)
+            mark, (blocks, left) = _marks(fps), _CHOICES[n]
+            for m, more in enumerate(itertools.combinations(left, len(left) - RADIUS)):
+                yield pd.DataFrame({"key": _key(mark, (*blocks, *more), 7 + 6 * n + m).view(np.int64), "fp": fps.view(np.int64)})
+
 
+def near_classes(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, tuple[int, int, int]]:
+    """For each row the first row it is linked to, through rows of its group within ``radius`` bits; ``group`` is sorted.
 
-def near_links(fps: np.ndarray, radius: int = RADIUS, at_once: int = 1 << 22) -> list[tuple[int, int]]:
-    """A spanning forest (as indices) of the links within ``radius`` bits among distinct fingerprints."""
-    n = len(fps)
+    Also how many pairs the groups hold, how many of them the coordinates discard, and how many are verified as near.
+    """
     table = pivot_table(fps).astype(np.int16)
-    first = int(table.std(axis=0).argmax())
-    order = np.argsort(table[:, first], kind="stable")
-    table, sorted_fps = table[order], fps[order]
-    lead = table[:, first]
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links = []
-    upto = np.searchsorted(lead, lead + radius, side="right")
-    step = max(1, at_once // max(1, n))
-    for a in range(0, n, step):
-        z = min(n, a + step)
-        end = int(upto[z - 1])
-        i, j = np.nonzero(np.abs(lead[a:z, None] - lead[None, a:end]) <= radius)
-        keep = j > i
-        i, j = i[keep] + a, j[keep] + a
-        for p in range(0, table.shape[1], 8):  # discard by the largest coordinate difference, a few pivots at a time
-            if not len(i):
+    order = np.lexsort((table[:, 0], group))
+    table, fps, group = table[order], fps[order], group[order]
+    lead, root = table[:, 0], np.arange(len(fps))
+    sizes = np.unique(group, return_counts=True)[1].astype(np.int64)
+    compared = near = 0
+    i, step = np.arange(len(fps)), 0
+    while len(i):  # neighbours in the order of the anchor's coordinate, one place farther each time
+        step += 1
+        i = i[i + step < len(fps)]
+        i = i[(group[i] == group[i + step]) & (lead[i + step] - lead[i] <= radius)]
+        a, b = i, i + step
+        for p in range(1, table.shape[1], 10):  # discard by the largest coordinate difference, a few pivots at a time
+            if not len(a):
                 break
-            near = (np.abs(table[i, p : p + 8] - table[j, p : p + 8]) <= radius).all(axis=1)
-            i, j = i[near], j[near]
-        near = np.bitwise_count(sorted_fps[i] ^ sorted_fps[j]) <= radius
-        for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
-            if (u := root(x)) != (v := root(y)):
-                parent[u] = v
-                links.append((int(order[x]), int(order[y])))
-    return links
+            close = (np.abs(table[a, p : p + 10] - table[b, p : p + 10]) <= radius).all(axis=1)
+            a, b = a[close], b[close]
+        compared += len(a)
+        close = np.bitwise_count(fps[a] ^ fps[b]) <= radius
+        a, b = a[close], b[close]
+        near += len(a)
+        while len(a):  # join the classes of all pairs at once; until none is left that differs
+            x, y = root[a], root[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+    pairs = int((sizes * (sizes - 1) // 2).sum())
+    out = np.empty(len(fps), dtype=np.int64)
+    out[order] = order[root]
+    return out, (pairs, pairs - compared, near)
+
+
+def _groups(batches: Iterator[pd.DataFrame], at_once: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Fingerprints and their groups, of about ``at_once`` fingerprints or one group."""
+    for batch in batches:
+        held, size = [], 0
+        for fps in batch["fps"]:
+            held.append(np.asarray(fps, dtype=np.int64).view(np.uint64))
+            size += len(fps)
+            if size >= at_once:
+                yield np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
+                held, size = [], 0
+        if held:
+            yield np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
 
 
 def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        a, b = [], []
-        for group in batch["fps"]:
-            fps = np.unique(np.asarray(group, dtype=np.int64)).view(np.uint64)
-            for i, j in near_links(fps):
-                x, y = sorted((int(fps[i : i + 1].view(np.int64)[0]), int(fps[j : j + 1].view(np.int64)[0])))
-                a.append(x)
-                b.append(y)
-        yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+    for fps, group in _groups(batches):
+        first, _ = near_classes(fps, group)
+        other = np.flatnonzero(first != np.arange(len(fps)))
+        x, y = fps[other].view(np.int64), fps[first[other]].view(np.int64)
+        yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for fps, group in _groups(batches):
+        yield pd.DataFrame([near_classes(fps, group)[1]], columns=["pairs", "discarded", "near"])
+
 
+def groups(fps: DataFrame, most: int = GROUP) -> DataFrame:
+    """Arrays ``fps`` of at most 2^16 distinct fingerprints: every pair of ``fp`` within two bits is in one of them."""
+    keyed = materialise(fps.mapInPandas(_keyed, "key bigint, choice int, fp bigint"))
+    sizes = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    few = keyed.join(sizes.filter(F.col("n") <= most).select("key"), "key", "left_semi").select("key", "fp")
+    large = sizes.filter(F.col("n") > most).select("key")
+    if large.head(1):
+        again = keyed.join(large, "key", "left_semi").select("choice", "fp").mapInPandas(_keyed_again, "key bigint, fp bigint")
+        few = few.unionByName(again)
+    return few.groupBy("key").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
 
-def links(fps: DataFrame) -> DataFrame:
+
+def links(fps: DataFrame, most: int = GROUP) -> DataFrame:
     """Links (a, b), a < b, that connect the same distinct fingerprints ``fp`` as all links within two bits do."""
-    grouped = fps.mapInPandas(_keyed, "key bigint, fp bigint").groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    return grouped.filter(F.size("fps") > 1).select("fps").mapInPandas(_linked, "a bigint, b bigint").distinct()
+    return groups(fps, most).mapInPandas(_linked, "a bigint, b bigint").distinct()
+
+
+def pruning(fps: DataFrame, most: int = GROUP) -> DataFrame:
+    """One row: pairs that meet in groups, those that the pivot coordinates discard, and those verified as near."""
+    found = groups(fps, most).mapInPandas(_counted, "pairs bigint, discarded bigint, near bigint")
+    return found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", "discarded", "near")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,13 +241,17 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(here.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
+def rooted(fps: DataFrame) -> DataFrame:
+    """``fps`` (one row each distinct ``fp``) with ``root``, the same for all fingerprints of a component."""
+    roots = components(links(fps.select("fp")))
+    return fps.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fp")).drop("node", "component")
+
+
 def fingerprint_components(slim: DataFrame) -> DataFrame:
     """(fp, component_id) for each distinct ``fp`` of ``slim`` (doc_id, fp): the smallest document reachable."""
-    per = materialise(slim.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(per.select("fp")))
-    rooted = per.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(best, "root").select("fp", "component_id")
+    per = rooted(materialise(slim.groupBy("fp").agg(F.min("doc_id").alias("least"))))
+    best = per.groupBy("root").agg(F.min("least").alias("component_id"))
+    return per.join(best, "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,17 +262,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest id; among rows of that id, one.
+    """``docs`` with exactly one row of each component: of its rows with an id the one of the smallest, else one without.
 
-    The corpus is shuffled once. Exact repeats of a row collapse before that shuffle; other rows that share an id
-    are told apart by a hash of all their columns.
+    Of several such rows that of the smallest hash of all columns stays. The rows are written once with a number of
+    their own, slim keys of it decide, and the rows are shuffled once, by that number: no group of copies is hot.
     """
     prepare(docs.sparkSession)
-    tag = fresh(docs, "row_tag")
-    tagged = docs.withColumn(tag, F.xxhash64(*[F.col(c) for c in docs.columns]))
-    slim = materialise(tagged.select(F.col(id_col).alias("doc_id"), F.col(tag).alias("tag"), fingerprints(F.col(text_col)).alias("fp")))
-    keys = slim.join(fingerprint_components(slim.select("doc_id", "fp")), "fp")
-    chosen = keys.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.coalesce(F.col("doc_id"), F.col("fp")).alias("g"), F.col("doc_id").isNull().alias("none")).agg(F.min("tag").alias("tag"), F.first("doc_id").alias("id"))
-    once = tagged.dropDuplicates([id_col, tag])
-    chosen = chosen.select(F.col("tag").alias("chosen_tag"), F.col("id").alias("chosen_id"))
-    return once.join(chosen, (once[tag] == chosen["chosen_tag"]) & once[id_col].eqNullSafe(chosen["chosen_id"]), "left_semi").select(*docs.columns)
+    row, tag, fp = fresh(docs, "row_number"), fresh(docs, "row_tag"), fresh(docs, "row_fp")
+    whole = F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes])
+    held = materialise(docs.withColumns({tag: whole, fp: fingerprints(F.col(text_col))}).withColumn(row, F.monotonically_increasing_id()))
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(tag).alias("tag"), F.col(row).alias("row"))
+    per = materialise(held.groupBy(F.col(fp).alias("fp")).agg(F.min(place).alias("first")))
+    chosen = rooted(per).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return held.join(chosen.hint("shuffle_hash"), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
