@@ -78,6 +78,16 @@ def span_key(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def trim() -> None:
+    """Hand freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _STATE: dict[str, Any] = {}
 
 
@@ -88,11 +98,6 @@ def worker_state(key: str, build: Callable[[], Any]) -> Any:  # noqa: ANN401
     """
     if key not in _STATE:
         _STATE.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        trim()
         _STATE[key] = build()
     return _STATE[key]

@@ -2,15 +2,17 @@
 
 For each credential format a prefix tree of labelled examples is folded into a probabilistic finite automaton:
 states whose outgoing frequencies the Hoeffding bound cannot tell apart are merged (the red-blue order of
-ALERGIA), each with the likeliest of those it is compatible with. One more automaton is inferred from labelled ordinary strings. A candidate, any run of 16 or more
-credential characters with a digit and a letter, is scored by the logarithm of its likelihood under its best
-format against that of ordinary strings, per character. What scores above ``THRESHOLD`` and is not much
-shorter than the format's examples is added to what the plain patterns find; that always stays. The parts of a
-run between its ``=``, then ``/``, then ``.`` are candidates too, and are taken instead where one scores higher: so
-keys in paths and assignments are seen, however long the run.
-
-Defined results: a null text is an empty text without spans; repeated rows each have a result; an added span never
-touches a plain one. All positions are code points, ends exclusive. Columns other than those named are not read.
+ALERGIA), each with the likeliest of those it is compatible with. More automata are inferred from labelled ordinary
+strings: words, names, identifiers in groups, numbers and dates, paths of hashes, rules. Every candidate, a run of 16 or
+more credential characters, is scored by the logarithm of its likelihood under its best format against that under its
+best ordinary kind, per character. What scores above ``THRESHOLD`` and is not much shorter than the format's examples
+is added to what the plain patterns find; that always stays. The parts of a run between its ``=``, then ``/``, then
+``.`` are candidates too, and are taken instead where together they are likelier: so keys in paths and assignments are
+seen, however long the run.
+
+Defined results: a null text is an empty text without spans; an empty table gives an empty result; repeated rows each
+have a result; an added span never touches a plain one. All positions are code points, ends exclusive. A very long text
+is searched whole. Columns other than those named are not read, so they may have any names.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm._common import prepare
+from lectern.llm._common import prepare, trim
 
 KINDS = ("assign", "access", "hex")
 #: Labelled examples of each format that its automaton is inferred from.
 EXAMPLES = 240
+#: Of a state's likelihoods the share that follows the whole automaton's characters, and what counts for a character never seen.
+SHARED, FLOOR = 0.05, 0.01
 #: Mean natural logarithm of the likelihood ratio, per character, from which a candidate counts as a secret.
 THRESHOLD = 1.0
 
@@ -48,7 +52,6 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.-]{16,}")
 #: What a run is taken apart into, step by step; signs at the edges of a part do not belong to it.
 _PARTS, _EDGE = [re.compile(p) for p in (r".+", r"[^=]+", r"[^=/]+", r"[^=/.]+")], ".=-/+"
-_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 Span = tuple[str, int, int]
 
 
@@ -68,7 +71,12 @@ class Automaton:
 
     END = ""
 
-    def __init__(self, examples: Sequence[str], alpha: float = 0.05, alphabet: int = 66) -> None:
+    def __init__(self, examples: Sequence[str], alpha: float = 0.05, alphabet: int = 66, alike: str = "") -> None:
+        """``alike`` are characters that the automaton does not tell apart: each is as likely as any other of them."""
+        self.alike = str.maketrans(dict.fromkeys(alike, alike[:1])) if alike else None
+        self._share = math.log(len(alike)) if alike else 0.0
+        self._first = alike[:1]
+        examples = [s.translate(self.alike) for s in examples] if alike else examples
         self.count: list[Counter] = [Counter()]
         self.next: list[dict[str, int]] = [{}]
         for s in examples:
@@ -137,15 +145,24 @@ class Automaton:
                 self._fold(r, to)
             else:
                 red.append(to)
-        self._log = [{c: math.log((n + 0.01) / (t + 0.01 * self.alphabet)) for c, n in self.count[q].items()} if (t := self._total(q)) else {} for q in range(len(self.next))]
-        self._rare = [math.log(0.01 / (self._total(q) + 0.01 * self.alphabet)) for q in range(len(self.next))]
+        at = {q: i for i, q in enumerate(red)}  # states that were merged away go
+        self.next, self.count = [{c: at[to] for c, to in self.next[q].items()} for q in red], [self.count[q] for q in red]
+        whole: Counter = sum(self.count, Counter())
+        size = sum(whole.values()) + FLOOR * self.alphabet
+        rare = {c: SHARED * (n + FLOOR) / size for c, n in whole.items()}  # what any state shares with all others
+        self._never = math.log(SHARED * FLOOR / size)
+        self._rare = {c: math.log(p) for c, p in rare.items()}
+        self._log = [{c: math.log(p + (1 - SHARED) * self.count[q][c] / max(1, self._total(q))) for c, p in rare.items() if self.count[q][c]} for q in range(len(red))]
         self.states = len(red)
 
     def log_likelihood(self, s: str) -> float:
         """Of the characters of ``s``; its end is judged by length instead."""
         q, total = 0, 0.0
+        if self.alike:
+            s = s.translate(self.alike)
+            total -= self._share * s.count(self._first)
         for c in s:
-            total += self._log[q].get(c, self._rare[q])
+            total += self._log[q].get(c) or self._rare.get(c, self._never)
             q = self.next[q].get(c, q)
         return total
 
@@ -162,10 +179,9 @@ def _drawn(r: random.Random, alphabet: str, low: int, high: int | None = None) -
     return "".join(r.choices(alphabet, k=r.randint(low, high or low)))
 
 
-# Public formats of credentials, as a prefix (one of several) with its alphabet and length.
+# Public formats of credentials, as a prefix (one of several) with its alphabet and length. Bare digests need none: the plain pattern of hexadecimal runs finds them.
 FORMATS: dict[str, Callable[[random.Random], str]] = {
     "access_key": lambda r: r.choice(("AKIA", "ASIA")) + _drawn(r, string.ascii_uppercase + "234567", 16),
-    "hex_digest": lambda r: _drawn(r, _LOWER_HEX, r.choice((32, 40, 64))),
     "github": lambda r: r.choice(("ghp_", "gho_", "ghs_", "ghu_")) + _drawn(r, _ALNUM, 36),
     "github_pat": lambda r: "github_pat_" + _drawn(r, _ALNUM, 22) + "_" + _drawn(r, _ALNUM, 59),
     "gitlab": lambda r: "glpat-" + _drawn(r, _URL64, 20),
@@ -180,34 +196,73 @@ FORMATS: dict[str, Callable[[random.Random], str]] = {
 }
 
 
-def _ordinary(r: random.Random) -> str:
-    """A labelled ordinary string with digits: names with numbers, versions, paths, dates, measures."""
-    syllable = lambda: r.choice("bcdfghlmnprstvw") + r.choice("aeiou") + r.choice(("", "n", "r", "s", "t", "ll", "ng"))
-    word = lambda: "".join(syllable() for _ in range(r.randint(1, 4)))
-    number = lambda: str(r.randint(0, 10 ** r.randint(1, 5)))
-    part = lambda: r.choice((word, word, word, lambda: word().capitalize(), number))()
+# Sounds that ordinary names are put together from.
+_ONSETS = "b c d f g h j k l m n p qu r s t v w x y z bl br ch cl cr dr fl fr gl gr ph pl pr sc sch sh sk sl sp st str th tr tw wh".split()
+_VOWELS = "a e i o u a e i o u y ai au ea ee ei eu ie oa oo ou".split()
+_CODAS = ["", "", "", *"n r s t l ll ng ck st nd nt ss m p d x".split()]
+
+
+def _word(r: random.Random) -> str:
+    return "".join(r.choice(_ONSETS) + r.choice(_VOWELS) + r.choice(_CODAS) for _ in range(r.randint(1, 4)))
+
+
+def _grown(r: random.Random, part: Callable[[], str], between: Sequence[str]) -> str:
     s = part()
     while len(s) < 16 or (len(s) < 60 and r.random() < 0.6):
-        s += r.choice(("_", "-", ".", "/", "")) + part()
+        s += r.choice(between) + part()
     return s
 
 
+def _name(r: random.Random) -> str:
+    """Names with numbers, versions, paths."""
+    kinds = (lambda: _word(r), lambda: _word(r), lambda: _word(r), lambda: _word(r).capitalize(), lambda: str(r.randint(0, 10 ** r.randint(1, 5))))
+    return _grown(r, lambda: r.choice(kinds)(), ("_", "-", ".", "/", ""))
+
+
+def _id(r: random.Random) -> str:
+    """A random identifier in five groups."""
+    return "-".join(_drawn(r, _LOWER_HEX, n) for n in (8, 4, 4, 4, 12))
+
+
+# Labelled ordinary strings, by kind.
+ORDINARY: dict[str, Callable[[random.Random], str]] = {
+    "name": _name,
+    "word": lambda r: _grown(r, lambda: _word(r), ("", "", "", "-")),
+    "camel": lambda r: _grown(r, lambda: _word(r).capitalize(), ("",)),
+    "constant": lambda r: _grown(r, lambda: _word(r).upper(), ("_", "-", "")),
+    "number": lambda r: _grown(r, lambda: _drawn(r, string.digits, 1, 8), ("-", ".", "", "/", "T", "_", "+")),
+    "path_of_hashes": lambda r: _grown(r, lambda: r.choice((_word(r), _drawn(r, _LOWER_HEX, 2, 12))), ("/", "/", ".", "-", "_")),
+    "rule": lambda r: (r.choice(_URL64 + "+/=.") * r.randint(16, 60)),
+}
+#: Ordinary identifiers in groups of digits of which any is as likely as another, with those digits.
+IDS: dict[str, tuple[Callable[[random.Random], str], str]] = {"id": (_id, _LOWER_HEX), "upper_id": (lambda r: _id(r).upper(), _LOWER_HEX.upper())}
+
+
+def _ordinary(r: random.Random) -> str:
+    """A labelled ordinary string of any kind."""
+    return r.choice([*ORDINARY.values(), *(draw for draw, _ in IDS.values())])(r)
+
+
 @cache
-def models() -> tuple[dict[str, Automaton], Automaton]:
+def models() -> tuple[dict[str, Automaton], dict[str, Automaton]]:
     """The automata of the formats and of ordinary strings: inferred once in each process, always alike."""
-    formats = {}
-    for name, draw in FORMATS.items():
-        r = random.Random(f"format {name}")
-        formats[name] = Automaton([draw(r) for _ in range(EXAMPLES)])
-    r = random.Random("ordinary")
-    return formats, Automaton([_ordinary(r) for _ in range(4 * EXAMPLES)])
+
+    def inferred(title: str, draw: Callable[[random.Random], str], examples: int, alike: str = "") -> Automaton:
+        r = random.Random(title)
+        return Automaton([draw(r) for _ in range(examples)], alike=alike)
+
+    formats = {name: inferred(f"format {name}", draw, EXAMPLES) for name, draw in FORMATS.items()}
+    ordinary = {name: inferred(f"ordinary {name}", draw, 2 * EXAMPLES) for name, draw in ORDINARY.items()}
+    made = formats, ordinary | {name: inferred(f"ordinary {name}", draw, EXAMPLES, alike) for name, (draw, alike) in IDS.items()}
+    trim()
+    return made
 
 
 @lru_cache(maxsize=4096)
 def score(candidate: str) -> tuple[str, float]:
-    """The likeliest format that is not too long for it, and the mean log likelihood ratio."""
+    """The likeliest format that is not too long for it, and the mean log likelihood ratio against the likeliest ordinary kind."""
     formats, ordinary = models()
-    plain = ordinary.log_likelihood(candidate)
+    plain = max(a.log_likelihood(candidate) for a in ordinary.values())
     best = max(((a.log_likelihood(candidate), name) for name, a in formats.items() if a.fits(len(candidate))), default=None)
     return (best[1], (best[0] - plain) / len(candidate)) if best else ("", -math.inf)
 
@@ -224,18 +279,18 @@ def _merged(spans: list[Span]) -> list[tuple[int, int]]:
 
 
 def _inferred(run: str, at: int, taken: list[tuple[int, int]], step: int = 0) -> list[tuple[float, str, int, int]]:
-    """(score, format, start, end) of the secrets of a run that starts at ``at``: whole, or its parts if one scores higher; none in ``taken``."""
+    """(log likelihood ratio, format, start, end) of the secrets of a run that starts at ``at``: whole, or its parts if they are likelier; none in ``taken``."""
     found: list[tuple[float, str, int, int]] = []
     for m in _PARTS[step].finditer(run):
         s = m[0].strip(_EDGE)
-        if len(s) < 16 or not _DIGIT.search(s) or not _LETTER.search(s):
+        if len(s) < 16:
             continue
         a = at + m.start() + m[0].index(s)
         parts = _inferred(s, a, taken, step + 1) if step + 1 < len(_PARTS) else []
         i = bisect_left(taken, (a + len(s),)) - 1
         name, ratio = score(s) if i < 0 or taken[i][1] <= a else ("", -math.inf)
-        if ratio >= THRESHOLD and all(ratio >= p[0] for p in parts):
-            found.append((ratio, name, a, a + len(s)))
+        if ratio >= THRESHOLD and ratio * len(s) >= sum(p[0] for p in parts):
+            found.append((ratio * len(s), name, a, a + len(s)))
         else:
             found += parts
     return found
@@ -247,10 +302,9 @@ def spans_of(text: str | None) -> list[tuple[str, int, int, bool]]:
         return []
     base = base_spans(text)
     found = [(*s, False) for s in base]
-    if _DIGIT.search(text):
-        taken = _merged(base)
-        for m in _CANDIDATE.finditer(text):
-            found += [(name, a, b, True) for _, name, a, b in _inferred(m[0], m.start(), taken)]
+    taken = _merged(base)
+    for m in _CANDIDATE.finditer(text):
+        found += [(name, a, b, True) for _, name, a, b in _inferred(m[0], m.start(), taken)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]) if s[0] in KINDS else len(KINDS), s[0], s[2]))
 
 
