@@ -54,8 +54,11 @@ def materialise(df: DataFrame) -> DataFrame:
     Work behind it is done once, and a lost executor costs no more than reading the files again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    path = f"{own}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(own)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)  # when the application ends
     return spark.read.schema(df.schema).parquet(path)
 
 

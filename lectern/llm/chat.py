@@ -10,7 +10,8 @@ Rows of a conversation come in order to one task, which holds no more than ``PAR
 at a time: as marks are tokens of their own, parts that end with a turn have the tokens of the whole.
 
 Defined results: null texts and roles are empty; rows without a conversation id are one conversation; turns of one
-number follow each other by role and text; a null turn number comes first; repeated rows are turns of their own.
+number follow each other by role and text; a null turn number comes first; repeated rows are turns of their own; an
+empty table gives an empty result; a very long turn is a part of its own. Other columns may have any names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ by their rank within their length. Ranks are taken in salted groups, so that a l
 share is spread over many tasks.
 
 Defined results: a null text is an empty text and becomes the end id alone; repeated rows are packed each for
-itself; an empty table gives an empty result. Columns of the documents other than the two named ones are not read.
+itself; an empty table gives an empty result; a very long text is tokenised in parts cut at white space. Columns of the
+documents other than the two named ones are not read, so they may have any names.
 """
 
 from __future__ import annotations

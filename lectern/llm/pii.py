@@ -6,9 +6,10 @@ entities. The second turns spelled digits and at/dot disguises into digits, ``@`
 them stand together. The plain detectors then run over the rewritten text, and each hit that touches a
 rewritten piece is mapped back to source characters. Hits of the plain detectors on the source always stay.
 
-Defined results: a null text is an empty text and has no spans; repeated rows each have a result; spans of one
-kind from the plain detectors never overlap; a mapped-back span that a plain span of its kind covers is not
-added. All positions are code points, ends exclusive. Columns other than the two named ones are not read.
+Defined results: a null text is an empty text and has no spans; an empty table gives an empty result; repeated rows each
+have a result; spans of one kind from the plain detectors never overlap; a mapped-back span that a plain span of its
+kind covers is not added. All positions are code points, ends exclusive. A very long text is searched whole, in time that
+grows in proportion. Columns other than the two named ones are not read, so they may have any names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ result. Words whose share is at least 1 in 2^``HEAD_BITS`` are likewise at most
 other words are joined by shuffle, so every count is exact.
 
 Defined results: a null text is an empty text, of its end alone; repeated rows each have a result; with no training
-documents every word has the probability 1 and every byte 1 in 256.
+documents every word has the probability 1 and every byte 1 in 256; an empty table gives an empty result; a very long text is
+scored whole. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from lectern.llm._common import materialise, prepare, remainder, worker_state
 
 ORDER = 5
 NODE_BITS = 21
-HEAD_BITS = 20
+HEAD_BITS = 18
 _START, _END = 0xFE, 0xFF
 #: Entries that a worker gathers before it hands on partial counts.
 _HELD_WORDS, _HELD_GRAMS = 400_000, 3_000_000
@@ -269,8 +270,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         *head, common = sent.value
-        scorer, of_end = worker_state(key, lambda: Scorer(*head)), math.log10(ends + 1) - whole
-        log = {w: math.log10(n + 1) - whole for w, n in common.items()}
+        scorer, log = worker_state(key, lambda: (Scorer(*head), {w: math.log10(n + 1) - whole for w, n in common.items()}))
+        of_end = math.log10(ends + 1) - whole
         for batch in batches:
             for i in range(0, len(batch), 250):
                 part = batch.iloc[i : i + 250]

@@ -241,15 +241,15 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(here.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
-def rooted(fps: DataFrame) -> DataFrame:
+def rooted_by(fps: DataFrame, most: int = GROUP) -> DataFrame:
     """``fps`` (one row each distinct ``fp``) with ``root``, the same for all fingerprints of a component."""
-    roots = components(links(fps.select("fp")))
+    roots = components(links(fps.select("fp"), most))
     return fps.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fp")).drop("node", "component")
 
 
 def fingerprint_components(slim: DataFrame) -> DataFrame:
     """(fp, component_id) for each distinct ``fp`` of ``slim`` (doc_id, fp): the smallest document reachable."""
-    per = rooted(materialise(slim.groupBy("fp").agg(F.min("doc_id").alias("least"))))
+    per = rooted_by(materialise(slim.groupBy("fp").agg(F.min("doc_id").alias("least"))))
     best = per.groupBy("root").agg(F.min("least").alias("component_id"))
     return per.join(best, "root").select("fp", "component_id")
 
@@ -273,5 +273,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     held = materialise(docs.withColumns({tag: whole, fp: fingerprints(F.col(text_col))}).withColumn(row, F.monotonically_increasing_id()))
     place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(tag).alias("tag"), F.col(row).alias("row"))
     per = materialise(held.groupBy(F.col(fp).alias("fp")).agg(F.min(place).alias("first")))
-    chosen = rooted(per).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    chosen = rooted_by(per).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return held.join(chosen.hint("shuffle_hash"), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
