@@ -7,12 +7,14 @@ an estimate can be off follows from the second scalar. Within a block of candida
 computed exactly; then every candidate whose upper bound reaches the worst of those is computed exactly too. So codes
 decide what is read, and all scores are exact inner products in double precision.
 
-Work is dealt as pairs of a block of candidates and a block of queries, both of bounded size; each pair gives at most
-``k`` rows a query, and Spark keeps the best ``k`` of all pairs.
+Work is dealt as pairs of a block of candidates and a block of queries, both of bounded size and there as packed bytes;
+each pair gives at most ``k`` rows a query, and Spark keeps the best ``k`` of all pairs. A candidate is shipped once for
+``QUERIES`` queries, a query once for a block of candidates.
 
 Defined results: vectors that are null, all zero, or hold a null or non-finite component, rows with a null id,
-and vectors of another length than most take no part; repeated rows (same id, same vector) count once; a row is
-never its own neighbour; ties go to the smaller id.
+and vectors of another length than most take no part; repeated rows (same id, same vector) count once, before any
+block is dealt; of an id with several vectors each is a row of its own; a row is never its own neighbour; ties go to the
+smaller id; an empty table gives an empty result. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ K = 20
 SEED = 11
 #: How many standard deviations of the estimate its bounds allow for.
 CONFIDENCE = 3.0
-CANDIDATES, QUERIES = 8192, 1024
+#: Rows of one block at most. Blocks are smaller where there would be fewer than the tasks that can run.
+CANDIDATES, QUERIES = 16_384, 16_384
 _QUERY_BITS = 4
 _SLICE = 32
 
@@ -78,6 +81,8 @@ def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, size: np.nda
     q_size = np.linalg.norm(queries32, axis=1)
     scale = size32 / fit32 / np.float32(np.sqrt(dim))
     out: list[tuple[int, int, float]] = []
+    order = np.argsort(ids, kind="stable")
+    sorted_ids = ids[order]
     for a in range(0, len(queries), _SLICE):
         part = slice(a, a + _SLICE)
         hits = np.zeros((min(_SLICE, len(queries) - a), len(x)), dtype=small)
@@ -89,16 +94,16 @@ def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, size: np.nda
         off = CONFIDENCE * size32 * (q_size[part, None] * spread + step[part, None] / 3) + 1e-5 * q_size[part, None]
         for n in range(len(hits)):
             q, own = queries[a + n], query_ids[a + n]
-            other = np.flatnonzero((ids != own) | (x != q).any(axis=1)) if (ids == own).any() else None
-            est, slack = (estimate[n], off[n]) if other is None else (estimate[n][other], off[n][other])
-            if len(est) > k:
+            same = order[np.searchsorted(sorted_ids, own, "left") : np.searchsorted(sorted_ids, own, "right")]
+            itself = same[(x[same] == q).all(axis=1)]
+            est, slack = estimate[n], off[n]
+            est[itself] = -np.inf
+            if len(est) - len(itself) > k:
                 first = np.argpartition(-est, k)[:k]
-                rows = first if other is None else other[first]
-                worst = (x[rows] * q).sum(axis=1).min()
-                pick = np.flatnonzero(est + slack >= worst)
+                worst = (x[first] * q).sum(axis=1).min()
+                rows = np.flatnonzero(est + slack >= worst)
             else:
-                pick = np.arange(len(est))
-            rows = pick if other is None else other[pick]
+                rows = np.flatnonzero(est > -np.inf)
             exact = (x[rows] * q).sum(axis=1)
             best = np.lexsort((ids[rows], -exact))[:k]
             out += zip([own] * len(best), ids[rows][best].tolist(), exact[best].tolist(), strict=True)
@@ -111,7 +116,7 @@ def _usable(vector: Column, dim: int) -> Column:
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """The coded rows (vec_id, vector, code, size, fit), the mean and the rotation. All rows are coded."""
+    """The coded rows (vec_id, raw, code, size, fit; raw is the vector as doubles), the mean and the rotation. All rows are coded."""
     spark = vectors.sparkSession
     prepare(spark)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).filter("vec_id is not null and vector is not null")
@@ -123,44 +128,34 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            x = np.stack(batch["vector"].tolist()) if len(batch) else np.zeros((0, dim))
+            x = np.stack(batch["vector"].tolist()) + 0.0 if len(batch) else np.zeros((0, dim))  # no negative zeros
             codes, size, fit = encode(x, mean, turn)
-            yield pd.DataFrame({"vec_id": batch["vec_id"], "vector": batch["vector"], "code": [c.tobytes() for c in codes], "size": size, "fit": fit})
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "raw": [v.tobytes() for v in x], "code": [c.tobytes() for c in codes], "size": size, "fit": fit})
 
-    return materialise(rows.mapInPandas(run, "vec_id bigint, vector array<double>, code binary, size double, fit double")), mean, turn
+    coded = rows.mapInPandas(run, "vec_id bigint, raw binary, code binary, size double, fit double")
+    return materialise(coded.dropDuplicates(["vec_id", "raw"])), mean, turn
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = 20, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of every row whose id is divisible by ``every``."""
     index, mean, turn = build_index(vectors, id_col, vector_col)
+    dim, at_once = len(mean), vectors.sparkSession.sparkContext.defaultParallelism
     asked = F.col("vec_id") % every == 0
     n, m = index.agg(F.count(F.lit(1)), F.count(F.when(asked, 1))).first()
-    n_blocks, m_blocks = max(1, -(-n // candidates)), max(1, -(-m // queries))
-    block = lambda salt, of: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(of))
+    n_blocks, m_blocks = max(1, -(-n // candidates), min(2 * at_once, n // 1024)), max(1, -(-m // queries))
+    block = lambda salt, of: F.pmod(F.xxhash64("vec_id", "raw", F.lit(salt)), F.lit(of))
     deal = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)).cast("array<bigint>"))
     left = index.withColumn("vb", block(1, n_blocks)).withColumn("qb", deal(m_blocks))
-    right = index.filter(asked).select("vec_id", "vector").withColumn("qb", block(2, m_blocks)).withColumn("vb", deal(n_blocks))
+    right = index.filter(asked).select("vec_id", "raw").withColumn("qb", block(2, m_blocks)).withColumn("vb", deal(n_blocks))
+    vectors_of = lambda raw: np.frombuffer(b"".join(raw), dtype="<f8").reshape(-1, dim)
 
     def pair(_key, c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
         if not len(c) or not len(q):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        x, codes = np.stack(c["vector"].tolist()), np.frombuffer(b"".join(c["code"]), dtype="<u8").reshape(len(c), -1)
-        once = _once(c["vec_id"].to_numpy(), x)
-        asked_x = np.stack(q["vector"].tolist())
-        asked_once = _once(q["vec_id"].to_numpy(), asked_x)
-        found = search_block(c["vec_id"].to_numpy()[once], x[once], codes[once], c["size"].to_numpy()[once], c["fit"].to_numpy()[once], q["vec_id"].to_numpy()[asked_once], asked_x[asked_once], mean, turn, k)
+        codes = np.frombuffer(b"".join(c["code"]), dtype="<u8").reshape(len(c), -1)
+        found = search_block(c["vec_id"].to_numpy(), vectors_of(c["raw"]), codes, c["size"].to_numpy(), c["fit"].to_numpy(), q["vec_id"].to_numpy(), vectors_of(q["raw"]), mean, turn, k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     found = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(pair, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _once(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Positions of the rows without repeats of an id with its vector."""
-    if len(np.unique(ids)) == len(ids):
-        return np.arange(len(ids))
-    seen: dict[tuple[int, bytes], int] = {}
-    for i, (v, row) in enumerate(zip(ids.tolist(), x, strict=True)):
-        seen.setdefault((v, (row + 0.0).tobytes()), i)
-    return np.array(sorted(seen.values()))
