@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from lectern.functions import text as X
 
+# What a model says that finds no answer, how a claim is cited, where a sentence begins, and what stands for a claim without proof.
 REFUSAL = "NO ANSWER IN PASSAGES"
-# How a claim is cited, where a sentence begins, and what stands for a claim without proof.
 _CITED = re.compile(r'["“”](.{2,}?)["“”]\s*\[(\d+)\]', re.S)
 _BARE = re.compile(r'(?<!["“”])\s*\[(\d+)\]')
 _SENTENCE = re.compile(r"[.!?]\s+|\n")

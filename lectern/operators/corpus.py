@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,43 +15,62 @@ from pyspark.sql import types as T
 from lectern.functions import text as X
 
 TARGET = 3600
-_BREAKS = (b"\n\n", b"\n", b". ", b" ")
 _BLANK = b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 #: Books in one bucket of a running total; buckets are then few enough for one window.
 BUCKET = 4096
 
 
+def _ends_of_breaks(whole: np.ndarray) -> list[np.ndarray]:
+    """For each kind of break, best first, where it ends: blank lines, lines, sentences, words."""
+    line, space = whole == 10, whole == 32
+    pair = [np.flatnonzero(a[:-1] & b[1:]) + 2 for a, b in ((line, line), (whole == 46, space))]
+    return [pair[0], np.flatnonzero(line) + 1, pair[1], np.flatnonzero(space) + 1]
+
+
+def _stretches(data: bytes, target: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Where chunks begin and end, white space and all."""
+    whole = np.frombuffer(data, dtype=np.uint8)
+    size, breaks, first_bytes = len(whole), _ends_of_breaks(whole), (whole & 0xC0) != 0x80
+
+    def character(at: int, step: int) -> int:
+        """The nearest place at or beyond ``at``, in the direction of ``step``, where a character begins."""
+        ahead = first_bytes[at::step]
+        n = int(ahead.argmax()) if len(ahead) else 0
+        return at + step * n if len(ahead) and ahead[n] else (size if step > 0 else 0)
+
+    def cut(at: int) -> int:
+        ideal = at + target
+        if ideal >= size:
+            return size
+        for width, ends in zip((2, 1, 2, 1), breaks, strict=True):
+            i = int(np.searchsorted(ends, ideal + 1, "right"))  # the last that ends within one byte of the target
+            if i and ends[i - 1] >= ideal - max(1, target // 4) + width:
+                return int(ends[i - 1])
+        whole_characters = character(ideal, -1)
+        return whole_characters if whole_characters > at else character(ideal, 1)
+
+    at, end = 0, 0
+    while end < size:
+        end = cut(at)
+        yield at, end
+        at = character(max(at + 1, end - overlap), 1)
+        if at >= size:
+            return
+
+
 def chunk_spans(data: bytes, target: int = TARGET, overlap: int = 0) -> list[tuple[int, int]]:
-    """(offset, length) of chunks of about ``target`` bytes: cut after the best break near the target, never within a character."""
-    spans, start, n = [], 0, len(data)
-    while start < n:
-        ideal = start + target
-        if ideal >= n:
-            end = n
-        else:
-            low = ideal - max(1, target // 4)
-            found = ((at, p) for p in _BREAKS if (at := data.rfind(p, low, ideal + 1)) >= 0)
-            at, p = next(found, (ideal, b""))
-            end = at + len(p)
-            if not p:
-                while end > start and data[end] & 0xC0 == 0x80:
-                    end -= 1
-                if end == start:  # one character is longer than the target
-                    end = ideal
-                    while end < n and data[end] & 0xC0 == 0x80:
-                        end += 1
-        a, b = start, end
-        while a < b and data[a] in _BLANK:
-            a += 1
-        while b > a and data[b - 1] in _BLANK:
-            b -= 1
-        if a < b:
-            spans.append((a, b - a))
-        if end >= n:
-            break
-        start = max(start + 1, end - overlap)
-        while start < n and data[start] & 0xC0 == 0x80:
-            start += 1
+    """(offset, length) of chunks of about ``target`` bytes, without the white space at their ends.
+
+    A chunk ends after the last blank line of the quarter before its target; without one after the last line, else
+    sentence, else word; else at the target, but never within a character. The next begins there, less ``overlap``.
+    """
+    if target < 1 or not 0 <= overlap < target:
+        raise ValueError("a target is at least 1, and an overlap less than it")
+    spans = []
+    for a, b in _stretches(data, target, overlap):
+        text = data[a:b].lstrip(_BLANK)
+        if kept := text.rstrip(_BLANK):
+            spans.append((b - len(text), len(kept)))
     return spans
 
 
@@ -153,7 +173,8 @@ def read_span(data: Column, offset: Column, length: Column, expected: Column) ->
     return F.when(X.content_hash(span) == expected, span)
 
 
-_EDGE = re.compile("[.!?](?:[\"')]|”|’)?\\s+|\n\\s*".encode().replace(b"\xe2\x80\x9d|\xe2\x80\x99", b"\xe2\x80[\x9d\x99]"))
+# Fixed value: where a sentence ends, with a closing quote or without, or a line; quotes as UTF-8.
+_EDGE = re.compile(rb"[.!?](?:[\"')]|\xe2\x80\x9d|\xe2\x80\x99)?\s+|\n\s*")
 
 
 def reading_window(data: bytes, offset: int, length: int, before: int = 500, after: int = 500) -> tuple[str, int]:
