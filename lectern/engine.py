@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lectern import errors as E
 from lectern.functions import text as X
+from lectern.functions import vectors as V
 from lectern.operators import corpus as C
 from lectern.operators import retrieval as R
 from lectern.sources import readers
@@ -73,7 +74,8 @@ class Engine:
         """Take in books (key, title, shelf, text); key, status of each: added, unchanged, moved or updated.
 
         With ``whole``, ``found`` is all there is: a book that it lacks has moved to a new key with the same text, if
-        there is one. A key that comes twice is taken once.
+        there is one. A key that comes twice is taken once. Chunks, words, vectors and books change at once or not at
+        all, so a call that failed can be repeated.
         """
         sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
         found = self.store.keep(found.select("key", "title", "shelf", F.coalesce("text", F.lit("")).alias("text"), sha.alias("content_sha256")).dropDuplicates(["key"]))
@@ -97,23 +99,24 @@ class Engine:
         sizes = spans.groupBy("book_id").agg(F.count(F.lit(1)).alias("n")).withColumn("ordinal", F.lit(0))
         start = C.allocate(sizes).select("book_id", (F.col("chunk_start") + F.lit(chunks.agg(F.max("chunk_id")).first()[0] or 0)).alias("start"))
         new = self.store.keep(spans.join(start, "book_id").withColumn("chunk_id", F.col("start") + F.col("ordinal")))
-        edited = j.filter("status = 'updated'").select(F.col("old_id").alias("book_id"))
-        kept = chunks.join(edited, "book_id", "left_anti")
-        self._carry(chunks.join(edited, "book_id", "left_semi"), new, edited)
-        if edited.head(1):
-            dead = self.store.keep(chunks.join(edited, "book_id", "left_semi").select("chunk_id"))
-            self.store.replace("chunks", kept.unionByName(new.select(*kept.columns)))
-            self._index(new, dead)
-        else:
-            self.store.append("chunks", new)
-            self._index(new)
-        moved = j.filter("status = 'moved'").select(F.col("moved_id").alias("book_id"), F.col("key").alias("new_key"), F.col("title").alias("new_title"), F.col("shelf").alias("new_shelf"))
-        stay = books.join(moved, "book_id", "left").withColumns({c: F.coalesce(f"new_{c}", c) for c in ("key", "title", "shelf")}).select(*books.columns)
-        stay = stay.join(texts.select("book_id", F.col("content_sha256").alias("sha"), F.octet_length("text").cast("bigint").alias("bytes")), "book_id", "left")
-        stay = stay.withColumn("content_sha256", F.coalesce("sha", "content_sha256")).withColumn("size_bytes", F.coalesce("bytes", "size_bytes")).select(*books.columns)
-        none = F.lit(None).cast("string")
-        added = texts.join(books.select("book_id"), "book_id", "left_anti").select("book_id", "key", "title", "shelf", none.alias("label"), none.alias("note"), F.lit(False).alias("excluded"), "content_sha256", F.octet_length("text").cast("bigint").alias("size_bytes"))
-        self.store.replace("books", stay.unionByName(added))
+        with self.store.change():
+            edited = j.filter("status = 'updated'").select(F.col("old_id").alias("book_id"))
+            kept = chunks.join(edited, "book_id", "left_anti")
+            self._carry(chunks.join(edited, "book_id", "left_semi"), new, edited)
+            if edited.head(1):
+                dead = self.store.keep(chunks.join(edited, "book_id", "left_semi").select("chunk_id"))
+                self.store.replace("chunks", kept.unionByName(new.select(*kept.columns)))
+                self._index(new, dead)
+            else:
+                self.store.append("chunks", new)
+                self._index(new)
+            moved = j.filter("status = 'moved'").select(F.col("moved_id").alias("book_id"), F.col("key").alias("new_key"), F.col("title").alias("new_title"), F.col("shelf").alias("new_shelf"))
+            stay = books.join(moved, "book_id", "left").withColumns({c: F.coalesce(f"new_{c}", c) for c in ("key", "title", "shelf")}).select(*books.columns)
+            stay = stay.join(texts.select("book_id", F.col("content_sha256").alias("sha"), F.octet_length("text").cast("bigint").alias("bytes")), "book_id", "left")
+            stay = stay.withColumn("content_sha256", F.coalesce("sha", "content_sha256")).withColumn("size_bytes", F.coalesce("bytes", "size_bytes")).select(*books.columns)
+            none = F.lit(None).cast("string")
+            added = texts.join(books.select("book_id"), "book_id", "left_anti").select("book_id", "key", "title", "shelf", none.alias("label"), none.alias("note"), F.lit(False).alias("excluded"), "content_sha256", F.octet_length("text").cast("bigint").alias("size_bytes"))
+            self.store.replace("books", stay.unionByName(added))
         return j.select("key", "status")
 
     def _numbered(self, keys: DataFrame, after: int) -> DataFrame:
@@ -126,10 +129,10 @@ class Engine:
 
     def _carry(self, old: DataFrame, new: DataFrame, edited: DataFrame) -> None:
         """Vectors of chunks that an edit left alone go with the text to its new id; the others of edited books go."""
-        vectors = self.table("vectors")
+        vectors = self.table("vectors").drop("bucket")
         pairs = C.carries(old.select("chunk_id", "content_hash", "book_id"), new.join(edited, "book_id", "left_semi").select("chunk_id", "content_hash", "book_id"), same_book=True)
         moved = vectors.withColumnRenamed("chunk_id", "old_chunk").join(pairs, "old_chunk").withColumn("chunk_id", F.col("new_chunk"))
-        if self.store.versions("vectors"):
+        if self.store.has("vectors"):
             self.store.replace("vectors", vectors.join(edited, "book_id", "left_anti").unionByName(moved.select(*vectors.columns)))
 
     def _index(self, new: DataFrame | None = None, dead: DataFrame | None = None) -> None:
@@ -140,23 +143,72 @@ class Engine:
             elif dead is None:
                 self.store.append(name, made(new))
             else:
-                self.store.replace(name, self.table(name).join(dead, "chunk_id", "left_anti").unionByName(made(new)))
+                self.store.replace(name, self.table(name).drop("bucket").join(dead, "chunk_id", "left_anti").unionByName(made(new).select(*self.table(name).drop("bucket").columns)))
+
+    def index_words(self) -> None:
+        """Index the words of all chunks anew, where an index has none or an old one."""
+        with self.store.change():
+            self._index()
 
     # embedding and routing
 
-    def embed(self, model: str, embed_fn: EmbedFn, dim: int, limit: int | None = None) -> int:
-        """Vectors for chunks that have none, in order of their ids, at most ``limit``; how many were made."""
-        begun = time.time()
-        vectors = self.table("vectors").filter(F.col("model") == model)
-        todo = self.table("chunks").select("chunk_id", "book_id", "text").join(vectors.select("chunk_id"), "chunk_id", "left_anti")
-        todo = todo.orderBy("chunk_id").limit(limit) if limit else todo
-        made = self.store.keep(readers.embed(todo, embed_fn, dim).join(todo.select("chunk_id", "book_id"), "chunk_id"))
-        self.store.append("vectors", made.withColumn("model", F.lit(model)))
-        bad = made.filter("failed IS NOT NULL").select(F.lit(model).alias("model"), "chunk_id", F.col("failed").alias("reason"))
-        self.store.append("failures", bad)
-        n, failed = made.agg(F.count(F.lit(1)), F.count("failed")).first()
-        self._log("runs", model=model, seconds=time.time() - begun, embedded=n - failed, copied=0, failed=failed, duty=1.0)
-        return n
+    def embed(self, model: str, embed_fn: EmbedFn, dim: int, limit: int | None = None, seconds: float | None = None, step: int = 100_000, stop: Callable[[], bool] | None = None, duty: float = 1.0) -> int:
+        """Vectors for chunks that have none, in order of their ids; how many were made.
+
+        Made in steps of ``step`` chunks. Each step's vectors, failures and the books' progress count at once, so a run that
+        is cut short loses one step and the next goes on from there. It ends after ``limit`` chunks, after ``seconds``,
+        or when ``stop`` says so; with a ``duty`` below 1 it rests between steps.
+        """
+        if not 0 < duty <= 1 or step < 1 or (limit is not None and limit < 0):
+            raise E.BadOption("duty is in (0, 1], step at least 1, limit at least 0")
+        begun, total, bad = time.time(), 0, 0
+        while (limit is None or total < limit) and not (stop and stop()) and (seconds is None or time.time() - begun < seconds):
+            at = time.time()
+            done = self.table("vectors").filter(F.col("model") == model).select("chunk_id")
+            todo = self.table("chunks").select("chunk_id", "book_id", "text").join(done, "chunk_id", "left_anti")
+            todo = todo.orderBy("chunk_id").limit(step if limit is None else min(step, limit - total))
+            made = self.store.keep(readers.embed(todo, embed_fn, dim).join(todo.select("chunk_id", "book_id"), "chunk_id"))
+            n, failed = made.agg(F.count(F.lit(1)), F.count("failed")).first()
+            if not n:
+                break
+            with self.store.change():
+                self.store.append("vectors", made.withColumn("model", F.lit(model)))
+                self.store.append("failures", made.filter("failed IS NOT NULL").select(F.lit(model).alias("model"), "chunk_id", F.col("failed").alias("reason")))
+                self._progress(model)
+            total, bad = total + n, bad + failed
+            if duty < 1:
+                time.sleep((time.time() - at) * (1 / duty - 1))
+        self._log("runs", model=model, seconds=time.time() - begun, embedded=total - bad, copied=0, failed=bad, duty=duty)
+        return total
+
+    def _progress(self, model: str) -> None:
+        """How many chunks of each book the model has done."""
+        done = self.table("vectors").filter(F.col("model") == model).groupBy("book_id").agg(F.count_distinct("chunk_id").alias("done"))
+        rest = self.table("progress").filter(F.col("model") != model)
+        self.store.replace("progress", rest.unionByName(done.select(F.lit(model).alias("model"), "book_id", "done")))
+
+    def outstanding(self, model: str, scope: tuple[str, ...] = ()) -> DataFrame:
+        """One row: live, done, to_embed, and the book at work (the largest backlog begun; the earliest of several)."""
+        live = self.table("chunks").groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
+        if (chosen := self._scope(scope)) is not None:
+            live = live.join(chosen, "book_id", "left_semi")
+        return C.outstanding(live, self.table("progress").filter(F.col("model") == model))
+
+    def quantise(self, model: str) -> None:
+        """Round a model's vectors to whole numbers of eight bits times a scale, as they would be stored."""
+        e = F.col("embedding")
+        self._rewritten(model, V.dequantise(V.quantise(e), V.scale_of(e)), keep_profile=True)
+
+    def truncate(self, model: str, dim: int) -> None:
+        """Keep the first ``dim`` components of a model's vectors, at unit length; its profile goes, as it no longer fits."""
+        self._rewritten(model, V.truncate(F.col("embedding"), dim), keep_profile=False)
+
+    def _rewritten(self, model: str, made: Column, keep_profile: bool) -> None:
+        name, vectors = self.model(model), self.table("vectors")
+        with self.store.change():
+            self.store.replace("vectors", vectors.withColumn("embedding", F.when(F.col("model") == name, made.cast("array<float>")).otherwise(F.col("embedding"))))
+            if not keep_profile:
+                self.store.replace("centroids", self.table("centroids").filter(F.col("model") != name))
 
     def _log(self, name: str, **row: object) -> None:
         at = self.spark.range(1).select(F.current_timestamp().alias("at"), F.lit(time.time_ns()).alias("id"), *[F.lit(v).alias(c) for c, v in row.items()])
@@ -244,16 +296,12 @@ class Engine:
         terms = self.spark.range(1).select(F.filter(X.tokens(F.lit(question)), lambda t: (F.length(t) > 1) | t.rlike(r"^\d$"))).first()[0]
         if not terms:
             return self.spark.createDataFrame([], "chunk_id bigint, rank int")
-        index, sizes = self.table("postings"), self.table("lengths")
+        index, size = self.table("postings"), R.size_of(self.table("lengths"))
         ids = chunks.select("chunk_id", "book_id")
-        words = R.bm25_indexed(index, sizes, terms).join(C.searchable(ids, books, scope), "chunk_id", "left_semi")
-        both = R.top(words, want).withColumn("attempt", F.lit(1))
-        if len(terms) > 1:
-            phrase = R.phrase_indexed(index, sizes, C.searchable(chunks, books), terms)
-            both = both.unionByName(R.top(phrase, want).withColumn("attempt", F.lit(0)))
-        first = both.groupBy("chunk_id").agg(F.min_by(F.struct("attempt", "score"), "attempt").alias("s")).select("chunk_id", "s.*")
-        order = W.orderBy("attempt", F.desc("score"), "chunk_id")  # at most twice ``want`` rows
-        return first.select("chunk_id", (F.row_number().over(order) - 1).alias("rank")).filter(F.col("rank") < want)
+        scoped, seen = C.searchable(ids, books, scope).select("chunk_id"), C.searchable(ids, books).select("chunk_id")
+        found = R.two_attempts_indexed(index, size, terms, want, scoped, seen)
+        order = W.orderBy("attempt", F.desc("score"), "chunk_id")  # at most ``want`` rows
+        return found.select("chunk_id", (F.row_number().over(order) - 1).alias("rank"))
 
     # reports
 
@@ -283,12 +331,16 @@ class Engine:
     def check(self) -> DataFrame:
         """One row of counts, and the next step."""
         chunks, v = self.table("chunks"), self.table("vectors")
-        c = chunks.agg(F.count(F.lit(1)).alias("chunks"), (F.coalesce(F.max("chunk_id"), F.lit(0)) - F.count(F.lit(1))).alias("dead"))
-        b = self.table("books").agg(F.count(F.lit(1)).alias("books"))
-        p = chunks.join(v.select("chunk_id"), "chunk_id", "left_anti").agg(F.count(F.lit(1)).alias("pending"))
-        gap = R.profile_gap(self.table("centroids").groupBy("book_id").agg(F.max("built_from").alias("n")), v.groupBy("book_id").agg(F.count_distinct("chunk_id").alias("n")))
-        u = gap.agg(F.count_if(F.col("state") != "current").alias("unprofiled"))
-        return C.next_step(b.join(F.broadcast(c)).join(F.broadcast(p)).join(F.broadcast(u)))  # one row each
+        c = chunks.agg(F.count(F.lit(1)).alias("live"), (F.coalesce(F.max("chunk_id"), F.lit(0)) - F.count(F.lit(1))).alias("dead"))
+        made = v.groupBy("model").agg(F.count_distinct("chunk_id").alias("done"))  # a row a model
+        m = made.agg(F.count(F.lit(1)).alias("models"), F.coalesce(F.sum("done"), F.lit(0)).alias("done"))
+        profiled = self.table("centroids").groupBy("model", "book_id").agg(F.max("built_from").alias("was"))
+        embedded = v.groupBy("model", "book_id").agg(F.count_distinct("chunk_id").alias("now"))
+        gap = embedded.join(profiled, ["model", "book_id"], "full")
+        u = gap.agg(F.count_if(~F.col("was").eqNullSafe(F.col("now"))).alias("unprofiled"))
+        x = self.table("lengths").agg(F.count(F.lit(1)).alias("lexical"))
+        one = c.join(F.broadcast(m)).join(F.broadcast(u)).join(F.broadcast(x))  # one row each
+        return C.next_step(one.withColumn("pending", F.greatest(F.lit(0), F.col("models") * F.col("live") - F.col("done"))))
 
     def garbled(self, over: int = 30) -> DataFrame:
         """Books with chunks whose longest tenth of words is over ``over`` characters."""
@@ -330,29 +382,41 @@ class Engine:
     def remove(self, keys: list[str] | None = None, shelf: str | None = None) -> int:
         """Forget books; their ids stay dead until ``compact``."""
         gone = self.store.keep(self.table("books").filter(self._named(keys, shelf)).select("book_id"))
-        for name in ("chunks", "vectors", "centroids", "books"):
-            self.store.replace(name, self.table(name).join(gone, "book_id", "left_anti"))
-        self._index()
+        dead = self.store.keep(self.table("chunks").join(gone, "book_id", "left_semi").select("chunk_id"))
+        with self.store.change():
+            for name in ("chunks", "vectors", "centroids", "progress", "books"):
+                self.store.replace(name, self.table(name).join(gone, "book_id", "left_anti"))
+            for name in ("postings", "lengths", "failures"):
+                self.store.replace(name, self.table(name).join(dead, "chunk_id", "left_anti"))
         return gone.count()
 
+    def removal(self, keys: list[str] | None = None, shelf: str | None = None) -> DataFrame:
+        """What ``remove`` would take: one row of books, chunks, bytes, vectors."""
+        gone = self.table("books").filter(self._named(keys, shelf))
+        b = gone.agg(F.count(F.lit(1)).alias("books"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+        one = [self.table(t).join(gone, "book_id", "left_semi").agg(F.count(F.lit(1)).alias(t)) for t in ("chunks", "vectors")]
+        return b.join(F.broadcast(one[0])).join(F.broadcast(one[1]))  # one row each
+
     def relocate(self, old: str, new: str) -> None:
         books = self.table("books")
         self.store.replace("books", books.withColumns({c: C.relocated(F.col(c), old, new) for c in ("key", "shelf")}))
 
     def compact(self) -> int:
         """Close up dead ids in all tables; how many ids were dead."""
-        chunks, vectors = self.table("chunks"), self.table("vectors")
+        chunks = self.table("chunks")
         live, last = chunks.agg(F.count(F.lit(1)), F.coalesce(F.max("chunk_id"), F.lit(0))).first()
         one = chunks.select(F.col("chunk_id").alias("chunk_start"), F.lit(1).alias("chunk_count"), F.col("chunk_id").alias("segment_id"))
         ids = self.store.keep(C.compaction_plan(one).select(F.col("chunk_start").alias("chunk_id"), F.col("new_start").alias("new_id")))
-        for name, rows in (("chunks", chunks), ("vectors", vectors), ("failures", self.table("failures"))):
-            self.store.replace(name, rows.join(ids, "chunk_id").drop("chunk_id").withColumnRenamed("new_id", "chunk_id"))
-        self._index()
+        with self.store.change():
+            for name in ("chunks", "vectors", "failures", "postings", "lengths"):
+                rows = self.table(name).join(ids, "chunk_id").drop("chunk_id").withColumnRenamed("new_id", "chunk_id")
+                self.store.replace(name, rows)
         return last - live
 
     def drop_model(self, model: str) -> None:
-        for name in ("vectors", "centroids", "failures"):
-            self.store.replace(name, self.table(name).filter(F.col("model") != model))
+        with self.store.change():
+            for name in ("vectors", "centroids", "failures", "progress"):
+                self.store.replace(name, self.table(name).filter(F.col("model") != model))
 
     def forget_questions(self, before: int | None = None) -> None:
         """Forget what was asked: all, or what has a smaller id than ``before``."""
@@ -366,10 +430,11 @@ class Engine:
     def restore(cls, spark: SparkSession, saved: str, path: str) -> Engine:
         """An index from a backup, at a path that holds none."""
         engine = cls(spark, path)
-        if any(engine.store.versions(t) for t in SCHEMAS):
+        if any(engine.store.has(t) for t in SCHEMAS):
             raise E.BadOption("an index is there already")
-        for name, rows in readers.restore(spark, saved).items():
-            engine.store.replace(name, rows)
+        with engine.store.change():
+            for name, rows in readers.restore(spark, saved).items():
+                engine.store.replace(name, rows)
         return engine
 
 

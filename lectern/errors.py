@@ -45,3 +45,9 @@ class AmbiguousModel(LecternError):
     def __init__(self, choices: list[str]) -> None:
         super().__init__(f"several models fit: {', '.join(choices)}" if choices else "no model fits")
         self.choices = choices
+
+
+class Busy(LecternError):
+    """Another writer changed the index meanwhile."""
+
+    kind = "busy"

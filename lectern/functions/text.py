@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters of the test languages and their plain letters.
-FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _folding() -> tuple[str, str]:
+    """Lower-case letters that are one of a-z with marks, those letters, and after them the marks alone, which go."""
+    parts = ((chr(i), unicodedata.normalize("NFD", chr(i))) for i in range(0xC0, 0x2000))
+    marked = [(c, d[0]) for c, d in parts if len(d) > 1 and "a" <= d[0] <= "z" and all(map(unicodedata.combining, d[1:]))]
+    return "".join(c for c, _ in marked) + "".join(map(chr, range(0x300, 0x370))), "".join(plain for _, plain in marked)
+
+
+FOLD_FROM, FOLD_TO = _folding()
 # Typographic characters and their plain forms.
 TYPOGRAPHY = {"“": '"', "”": '"', "‘": "'", "’": "'", "—": "-", "–": "-", "…": "...", "ﬁ": "fi", "ﬂ": "fl", " ": " "}
 # Words that carry no content in a question.

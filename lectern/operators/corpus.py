@@ -280,6 +280,18 @@ def word_p90(text: Column, least: int = 50) -> Column:
 
 
 def next_step(survey: DataFrame) -> DataFrame:
-    """The first thing to do, from one row of counts: books, chunks, pending, carries, unprofiled, dead."""
-    rule = F.when(F.col("books") == 0, "add").when(F.col("chunks") == 0, "check").when(F.col("pending") > 0, "embed").when(F.col("unprofiled") > 0, "route").when(F.col("dead") > F.col("chunks") / 4, "compact").otherwise("ask")
+    """The first thing to do, from one row of counts: live chunks, models, pending, unprofiled, lexical chunks; ``ask`` if all is done."""
+    rule = F.when(F.col("live") == 0, "add").when(F.col("models") == 0, "embed").when(F.col("pending") > 0, "embed the rest").when(F.col("unprofiled") > 0, "route").when(F.col("lexical") < F.col("live"), "index words").otherwise("ask")
     return survey.select("*", rule.alias("step"))
+
+
+def outstanding(live: DataFrame, progress: DataFrame) -> DataFrame:
+    """One row of live (book_id, n) against progress (book_id, done): live, done, to_embed, complete, part_way, not_started, at_work, backlog.
+
+    The book at work is, of those begun and not ended, that of the largest backlog; of several the earliest.
+    """
+    j = live.join(progress.select("book_id", "done"), "book_id", "left").select("book_id", "n", F.least(F.coalesce("done", F.lit(0)), F.col("n")).alias("done"))
+    begun = (F.col("done") > 0) & (F.col("done") < F.col("n"))
+    most = F.max(F.when(begun, F.struct((F.col("n") - F.col("done")).alias("backlog"), (-F.col("book_id")).alias("b"))))
+    one = j.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("live"), F.coalesce(F.sum("done"), F.lit(0)).alias("done"), F.count_if(F.col("done") == F.col("n")).alias("complete"), F.count_if(begun).alias("part_way"), F.count_if((F.col("done") == 0) & (F.col("n") > 0)).alias("not_started"), most.alias("m"))
+    return one.select("live", "done", F.greatest(F.lit(0), F.col("live") - F.col("done")).alias("to_embed"), "complete", "part_way", "not_started", (-F.col("m.b")).alias("at_work"), F.col("m.backlog").alias("backlog"))

@@ -86,10 +86,10 @@ def merge_ranges_islands(spark: SparkSession, sf: str) -> DataFrame:
     return C.merge_ids(table(spark, sf, "embeddings").filter("vec_id % 7 <> 0").select(F.col("vec_id").alias("chunk_id")), 100)
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_full_match(lower(source), 'src1.?')")
+@query("SELECT doc_id FROM documents WHERE regexp_full_match(lower(source), 'src1.')")
 def scope_glob(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf)
-    return d.filter(C.matches("SRC1?", F.col("source")) | C.matches("src1", F.col("source")) & (F.length("source") == 4)).select("doc_id")
+    return d.filter(C.matches("SRC1?", F.col("source"))).select("doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(source), 'rc1') OR contains(lower(lang), 'rc1')")
@@ -132,10 +132,12 @@ def books_detail(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy(F.col("conv_id").alias("book_id")).agg(F.count(F.lit(1)).alias("sources"), F.sum(F.ceil(F.octet_length("text") / 300.0)).cast("bigint").alias("chunks"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])).alias("roles"))
 
 
-@query("SELECT c_custkey AS book_id FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey HAVING count(o_orderkey) = 0")
+@query("SELECT doc_id AS book_id FROM documents WHERE length(regexp_replace(text, '[ \\t\\n\\r\\x0b\\x0c\\x1c-\\x1f]+', '', 'g')) = 0 OR text IS NULL UNION ALL SELECT -1")
 def empty_books(spark: SparkSession, sf: str) -> DataFrame:
-    """Books without chunks: customers without orders."""
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select(F.col("c_custkey").alias("book_id"))
+    """Books of which no chunk comes: texts of white space alone, and one more (-1) that is such."""
+    d = docs(spark, sf).select(F.col("doc_id").alias("book_id"), "text")
+    d = d.unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("book_id"), F.lit(" \n\t ").alias("text")))
+    return d.select("book_id").join(C.chunk(d).select("book_id").distinct(), "book_id", "left_anti")
 
 
 @query("SELECT title, n FROM (SELECT substr(text, 1, 80) AS title, count(*) AS n FROM documents GROUP BY 1) WHERE n > 1 ORDER BY n DESC, title LIMIT 20")

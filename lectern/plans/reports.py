@@ -11,34 +11,42 @@ from lectern.operators import answers as A
 from lectern.operators import corpus as C
 from lectern.operators import retrieval as R
 from lectern.plans._registry import query, table
-from lectern.plans.retrieval import CENTROIDS, TOK, fixed_centroids, vectors
+from lectern.plans.retrieval import TOK
+from lectern.plans.stored import stored, vectors
 from lectern.streaming import incremental as S
 
-#: How much of each book is embedded: a prefix that goes with the book's number.
-DONE = "least(n, (book_id * 3) % (n + 2))"
-PROGRESS = f"SELECT conv_id AS book_id, n, {DONE.replace('book_id', 'conv_id')} AS done FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)"
+#: Books are languages and sources of documents; a chunk is embedded if there is a vector of its number.
+BOOKS = "SELECT doc_id AS chunk_id, source AS book FROM documents"
+PROGRESS = f"SELECT dense_rank() OVER (ORDER BY book) AS book_id, book, count(*) AS n, count(vec_id) AS done FROM ({BOOKS}) LEFT JOIN embeddings ON vec_id = chunk_id GROUP BY book"
 
 
 def progress(spark: SparkSession, sf: str) -> DataFrame:
-    books = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("book_id")).agg(F.count(F.lit(1)).alias("n"))
-    return books.withColumn("done", F.expr(DONE))
+    """book, n, done: every source with its documents, and how many of them have a vector."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("book"))
+    have = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit(1).alias("one"))
+    return d.join(have, "chunk_id", "left").groupBy("book").agg(F.count(F.lit(1)).alias("n"), F.count("one").alias("done"))
+
+
+def _outstanding(spark: SparkSession, sf: str) -> DataFrame:
+    """One row by the operator; a book's number is its place by name. There is a row a source."""
+    p = progress(spark, sf).withColumn("book_id", F.row_number().over(W.orderBy("book")).cast("bigint"))
+    return C.outstanding(p.select("book_id", "n"), p.select("book_id", "done"))
 
 
 @query(f"SELECT CAST(sum(n) AS BIGINT) AS live, CAST(sum(done) AS BIGINT) AS done, CAST(greatest(0, sum(n) - sum(done)) AS BIGINT) AS to_embed FROM ({PROGRESS})")
 def outstanding_work(spark: SparkSession, sf: str) -> DataFrame:
-    return progress(spark, sf).agg(F.sum("n").alias("live"), F.sum("done").alias("done"), F.greatest(F.lit(0), F.sum("n") - F.sum("done")).alias("to_embed"))
+    return _outstanding(spark, sf).select("live", "done", "to_embed")
 
 
 @query(f"SELECT count(*) FILTER (WHERE done = n) AS complete, count(*) FILTER (WHERE done > 0 AND done < n) AS part_way, count(*) FILTER (WHERE done = 0) AS not_started, round(sum(done) / sum(n), 6) AS coverage FROM ({PROGRESS})")
 def model_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    p = progress(spark, sf)
-    return p.agg(F.count_if(F.col("done") == F.col("n")).alias("complete"), F.count_if((F.col("done") > 0) & (F.col("done") < F.col("n"))).alias("part_way"), F.count_if(F.col("done") == 0).alias("not_started"), F.round(F.sum("done") / F.sum("n"), 6).alias("coverage"))
+    return _outstanding(spark, sf).select("complete", "part_way", "not_started", F.round(F.try_divide("done", "live"), 6).alias("coverage"))
 
 
 @query(f"SELECT book_id, n - done AS backlog FROM ({PROGRESS}) WHERE done > 0 AND done < n ORDER BY n - done DESC, book_id LIMIT 1")
 def progress_inflight(spark: SparkSession, sf: str) -> DataFrame:
     """The book at work: of the largest backlog, the earliest."""
-    return progress(spark, sf).filter("done > 0 and done < n").select("book_id", (F.col("n") - F.col("done")).alias("backlog")).orderBy(F.desc("backlog"), "book_id").limit(1)
+    return _outstanding(spark, sf).select(F.col("at_work").alias("book_id"), "backlog")
 
 
 #: Runs from the journal: a user is a model, the value its seconds, the event's number what it embedded.
@@ -98,7 +106,7 @@ def locate_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'eron') AND regexp_matches(lower(text), '(^|[^a-z0-9_])eron')")
 def contains_term(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").filter(F.contains(F.lower("text"), F.lit("eron")) & F.lower("text").rlike("(^|[^a-z0-9_])eron")).select("doc_id")
+    return table(spark, sf, "documents").filter(X.contains_term(F.col("text"), F.lit("eron"))).select("doc_id")
 
 
 STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
@@ -113,24 +121,6 @@ def overlap_band(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", share.alias("s")).select("item_id", F.round("s", 6).alias("share"), F.when(F.col("s") >= 0.5, "shares").otherwise("little").alias("band"))
 
 
-#: Questions of the evaluation: vectors with ids divisible by 20; what is looked for is their own book.
-EVAL = """SELECT kind, query_id, max(CASE WHEN rank = 1 AND hit THEN 1 ELSE 0 END) AS at1, max(CASE WHEN hit THEN 1 ELSE 0 END) AS atk FROM (SELECT q.vec_id AS query_id, q.vec_id % 4 AS kind, e.label = q.label AS hit,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)) DESC, e.vec_id) AS rank
-  FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 5 GROUP BY kind, query_id"""
-
-
-@query(f"SELECT kind, count(*) AS questions, CAST(sum(at1) AS BIGINT) AS recall_at_1, CAST(sum(atk) AS BIGINT) AS recall_at_k FROM ({EVAL}) GROUP BY kind")
-def eval_recall_by_kind(spark: SparkSession, sf: str) -> DataFrame:
-    """All questions in one batch: how many find their book first, or among five."""
-    v = vectors(spark, sf)
-    asked = v.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("book_id").alias("wanted"), F.col("embedding").alias("query"))
-    hits = R.flat_many(v, asked.drop("wanted"), 6).filter("query_id <> chunk_id")
-    again = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).filter("rank <= 5")
-    j = again.join(v.select("chunk_id", "book_id"), "chunk_id").join(asked.select("query_id", "wanted"), "query_id")
-    per = j.groupBy("query_id").agg(F.max(((F.col("rank") == 1) & (F.col("book_id") == F.col("wanted"))).cast("int")).alias("at1"), F.max((F.col("book_id") == F.col("wanted")).cast("int")).alias("atk"))
-    return per.groupBy((F.col("query_id") % 4).alias("kind")).agg(F.count(F.lit(1)).alias("questions"), F.sum("at1").alias("recall_at_1"), F.sum("atk").alias("recall_at_k"))
-
-
 @query("SELECT h AS holding, b AS breadth, round(CASE WHEN b <= 0 OR n - h < b THEN 1 ELSE 1 - list_product([(n - h - i)::DOUBLE / (n - i) for i in range(0, b)]) END, 6) AS chance FROM (SELECT count(DISTINCT label) AS n FROM embeddings), (SELECT unnest(range(1, 11)) AS h), (SELECT unnest([1, 3, 5]) AS b)")
 def routing_chance(spark: SparkSession, sf: str) -> DataFrame:
     """The chance that a random choice of books holds one of those wanted."""
@@ -140,20 +130,15 @@ def routing_chance(spark: SparkSession, sf: str) -> DataFrame:
     return g.select(F.col("h").alias("holding"), F.col("b").alias("breadth"), F.round(F.when((F.col("b") <= 0) | (F.col("n") - F.col("h") < F.col("b")), 1.0).otherwise(1 - miss), 6).alias("chance"))
 
 
-@query(f"""SELECT query_id, count(*) FILTER (WHERE book_id = wanted) AS kept FROM (SELECT q.vec_id AS query_id, q.label AS wanted, c.book_id,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY max(list_dot_product(list_transform(c.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE))) DESC, c.book_id) AS r
-  FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q, ({CENTROIDS}) c GROUP BY q.vec_id, q.label, c.book_id) WHERE r <= 5 GROUP BY query_id""")
+@query()
 def routing_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether a question's own book is among the five that it is routed to."""
-    q = vectors(spark, sf).filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("book_id").alias("wanted"), F.col("embedding").alias("query"))
-    best = R.route_many(fixed_centroids(spark, sf), q.drop("wanted"), 5).join(q.select("query_id", "wanted"), "query_id")
-    return best.groupBy("query_id").agg(F.count_if(F.col("book_id") == F.col("wanted")).alias("kept"))
-
-
-@query(r"""SELECT doc_id, array_to_string(w[len(w) // 4 + 1 : len(w) // 4 + 9], ' ') AS phrase FROM (SELECT doc_id, [x for x in regexp_split_to_array(text, '\s+') if x <> ''] AS w FROM documents) WHERE len(w) >= 18""")
-def lexical_safety(spark: SparkSession, sf: str) -> DataFrame:
-    """Nine words of each text from a quarter in: the probes of lexical safety."""
-    return table(spark, sf, "documents").select("doc_id", X.distinctive_phrase(F.col("text")).alias("phrase")).filter("phrase is not null")
+    """Whether a question's own book, and the book of its flat best hit, are among the five that it is routed to by whole profiles."""
+    v = vectors(spark, sf)
+    q = v.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("book_id").alias("wanted"), F.col("embedding").alias("query"))
+    routed = R.route_many(stored(spark, sf, "centroids"), q.drop("wanted"), 5).select("query_id", "book_id")
+    best = R.flat_many(v, q.drop("wanted"), 1).join(v.select("chunk_id", F.col("book_id").alias("top_book")), "chunk_id").select("query_id", "top_book")
+    j = routed.join(q.select("query_id", "wanted"), "query_id").join(best, "query_id")
+    return j.groupBy("query_id").agg(F.count_if(F.col("book_id") == F.col("wanted")).alias("kept"), F.count_if(F.col("book_id") == F.col("top_book")).alias("kept_flat_top"))
 
 
 CLAIMS = "(VALUES (1, 1, 'a “quoted”  text'), (2, 1, 'not there'), (3, 9, 'a \"quoted\" text'), (4, 2, 'fine')) t(claim_id, cited, quote)"
@@ -184,19 +169,26 @@ def refused(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def find_claims(spark: SparkSession, sf: str) -> DataFrame:
-    """Every turn as an answer that quotes its beginning: the claims found in it."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit('It says "'), F.regexp_replace(F.substring("text", 1, 40), '["“”\n]', " "), F.lit('" [1]. And so on [2].')).alias("answer"))
+    """Every whole turn as an answer that quotes it: the claims found in it."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit('It says "'), F.regexp_replace("text", '["“”\n]', " "), F.lit('" [1]. And so on [2].')).alias("answer"))
     return c.select("conv_id", "turn", F.explode(A.claims(F.col("answer"))).alias("c")).select("conv_id", "turn", "c.*")
 
 
-@query("SELECT CASE WHEN books = 0 THEN 'add' WHEN chunks = 0 THEN 'check' WHEN pending > 0 THEN 'embed' WHEN unprofiled > 0 THEN 'route' WHEN dead > chunks / 4 THEN 'compact' ELSE 'ask' END AS step FROM (SELECT (SELECT count(*) FROM documents) AS books, (SELECT count(*) FROM conversations) AS chunks, (SELECT count(*) FROM embeddings WHERE label > 20) AS pending, (SELECT count(*) FROM embeddings WHERE label < 0) AS unprofiled, (SELECT count(*) FROM conversations WHERE turn > 1) AS dead)")
+@query("SELECT CASE WHEN live = 0 THEN 'add' WHEN models = 0 THEN 'embed' WHEN pending > 0 THEN 'embed the rest' WHEN unprofiled > 0 THEN 'route' WHEN lexical < live THEN 'index words' ELSE 'ask' END AS step FROM (SELECT (SELECT count(*) FROM documents) AS live, least(1, (SELECT count(*) FROM embeddings)) AS models, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS pending, 0 AS unprofiled, (SELECT count(*) FROM documents) AS lexical)")
 def next_step_rule(spark: SparkSession, sf: str) -> DataFrame:
-    n = lambda t, cond="true": table(spark, sf, t).agg(F.count_if(F.expr(cond)).alias("n"))
-    parts = {"books": n("documents"), "chunks": n("conversations"), "pending": n("embeddings", "label > 20"), "unprofiled": n("embeddings", "label < 0"), "dead": n("conversations", "turn > 1")}
-    one = None
-    for name, df in parts.items():  # each is one row
-        df = df.withColumnRenamed("n", name)
-        one = df if one is None else one.join(F.broadcast(df))
+    """What comes next for the stored index."""
+    d, v = table(spark, sf, "documents"), table(spark, sf, "embeddings")
+    gap = R.profile_gap(stored(spark, sf, "centroids").groupBy("book_id").agg(F.max("built_from").alias("n")), vectors(spark, sf).groupBy("book_id").agg(F.count(F.lit(1)).alias("n")))
+    parts = [
+        d.agg(F.count(F.lit(1)).alias("live")),
+        v.agg(F.least(F.lit(1), F.count(F.lit(1))).alias("models")),
+        d.join(v, F.col("vec_id") == F.col("doc_id"), "left_anti").agg(F.count(F.lit(1)).alias("pending")),
+        gap.agg(F.count_if(F.col("state") != "current").alias("unprofiled")),
+        stored(spark, sf, "lengths").agg(F.count(F.lit(1)).alias("lexical")),
+    ]
+    one = parts[0]
+    for p in parts[1:]:  # each is one row
+        one = one.join(F.broadcast(p))
     return C.next_step(one).select("step")
 
 

@@ -11,6 +11,7 @@ from lectern.functions import vectors as V
 from lectern.operators import corpus as C
 from lectern.operators import retrieval as R
 from lectern.plans._registry import query, table
+from lectern.plans.stored import chunks, size, stored, vectors
 
 #: The question of the lexical queries, and its terms.
 QUESTION = "the ering"
@@ -23,14 +24,6 @@ QV = "(SELECT list_transform(embedding, lambda x: x::DOUBLE) FROM embeddings WHE
 DOT = f"list_dot_product({VEC}, q.v)"
 
 
-def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source")
-
-
-def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("book_id"), "embedding")
-
-
 def query_vector(spark: SparkSession, sf: str) -> list[float]:
     row = vectors(spark, sf).filter("chunk_id = 0").first()
     return [float(x) for x in row["embedding"]] if row else []
@@ -82,24 +75,25 @@ def _rounded(hits: DataFrame) -> DataFrame:
 
 @query(f"SELECT chunk_id, round(score, 6) AS score FROM ({OR_SQL})")
 def bm25_or(spark: SparkSession, sf: str) -> DataFrame:
+    """The words of a question by a pass over all texts, without an index."""
     return _rounded(R.top(R.bm25(chunks(spark, sf), [[t] for t in TERMS]), K))
 
 
 @query(f"SELECT chunk_id, round(score, 6) AS score FROM ({OR_SQL})")
 def bm25_index_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The words of a question through the inverted index."""
-    c = chunks(spark, sf)
-    return _rounded(R.top(R.bm25_indexed(R.postings(c), R.lengths(c), TERMS), K))
+    """The words of a question through the stored index."""
+    return _rounded(R.top(R.bm25_indexed(stored(spark, sf, "postings"), size(spark, sf), TERMS), K))
 
 
 @query(f"SELECT chunk_id, round(score, 6) AS score FROM ({PHRASE_SQL})")
 def bm25_phrase(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.top(R.bm25(chunks(spark, sf), [TERMS]), K))
+    """The phrase, by the places of its words in the stored index."""
+    return _rounded(R.top(R.phrase_indexed(stored(spark, sf, "postings"), size(spark, sf), TERMS), K))
 
 
 @query(f"SELECT chunk_id, round(score, 6) AS score, attempt FROM ({TWO_SQL})")
 def bm25_two_attempt(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.two_attempts(chunks(spark, sf), TERMS, K))
+    return _rounded(R.two_attempts_indexed(stored(spark, sf, "postings"), size(spark, sf), TERMS, K))
 
 
 FLAT = f"SELECT vec_id AS chunk_id, label AS book_id, {DOT} AS score FROM embeddings, (SELECT {QV} AS v) q"
@@ -162,30 +156,23 @@ def truncate_renorm(spark: SparkSession, sf: str) -> DataFrame:
     return vectors(spark, sf).select("chunk_id", F.concat_ws(",", F.transform(t, lambda x: F.round(x * 1000, 0).cast("int").cast("string"))).alias("head"))
 
 
-def fixed_centroids(spark: SparkSession, sf: str) -> DataFrame:
-    """The first 16 vectors of each book as its directions."""
-    first = F.row_number().over(W.partitionBy("book_id").orderBy("chunk_id"))
-    return vectors(spark, sf).withColumn("ix", first).filter("ix <= 16").select("book_id", "ix", F.col("embedding").alias("direction"))
-
-
-CENTROIDS = "SELECT * FROM (SELECT label AS book_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS ix FROM embeddings) WHERE ix <= 16"
-ROUTE = f"SELECT book_id, max({DOT}) AS score FROM ({CENTROIDS}), (SELECT {QV} AS v) q GROUP BY book_id ORDER BY max({DOT}) DESC, book_id LIMIT 3"
-
-
-@query(f"SELECT book_id, round(score, 6) AS score FROM ({ROUTE})")
+@query()
 def route_best_centroid(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.route(fixed_centroids(spark, sf), query_vector(spark, sf), 3))
+    """The three books whose profile is nearest; tested against the same by numpy."""
+    return _rounded(R.route(stored(spark, sf, "centroids"), query_vector(spark, sf), 3))
 
 
-@query(f"SELECT chunk_id, round(score, 6) AS score FROM ({FLAT}) WHERE book_id IN (SELECT book_id FROM ({ROUTE})) ORDER BY 2 DESC, chunk_id LIMIT {K}")
+@query()
 def two_stage_search(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.two_stage(vectors(spark, sf), fixed_centroids(spark, sf), query_vector(spark, sf), 3, K))
+    """Routed by whole profiles, searched within three books; tested against the same by numpy."""
+    return _rounded(R.two_stage(stored(spark, sf, "vectors"), stored(spark, sf, "centroids"), query_vector(spark, sf), 3, K))
 
 
 @query()
 def kmeans_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """The directions of each book, in thousandths."""
     c = R.build_centroids(vectors(spark, sf))
-    return c.select("book_id", "ix", F.round(V.norm(F.col("direction")), 6).alias("norm"), "built_from")
+    return c.select("book_id", "ix", F.transform("direction", lambda x: F.round(x * 1000, 0).cast("int")).alias("direction"), "built_from")
 
 
 @query()
@@ -234,46 +221,31 @@ def provenance_labels(spark: SparkSession, sf: str) -> DataFrame:
     return R.fuse(lists, K).select("chunk_id", R.provenance(F.col("s"), ["vec", "words"]).alias("why"))
 
 
-#: A bag of hashed tokens as a vector: how many tokens of a chunk have each first hex digit of their SHA-256.
-HEX = "0123456789abcdef"
-BAG = f"SELECT doc_id AS chunk_id, list_transform(range(0, 16), lambda i: len([t for t in {TOK} if substr(sha256(t), 1, 1) = substr('{HEX}', i + 1, 1)])::DOUBLE) AS bag FROM documents"
-
-
-def bag_scores(c: DataFrame, question: str) -> DataFrame:
-    """Cosine of each chunk's bag with that of a question. Each step is a projection of its own, so none is worked out twice."""
-    digits = lambda text: F.array_join(F.transform(X.tokens(text), lambda t: F.substring(F.sha2(t.cast("binary"), 256), 1, 1)), "")
-    counted = lambda first: F.array(*[F.regexp_count(first, F.lit(h)).cast("double") for h in HEX])
-    q = V.normalise(counted(digits(F.lit(question))))
-    bags = c.select("chunk_id", digits(F.col("text")).alias("first")).select("chunk_id", counted(F.col("first")).alias("bag"))
-    n = V.norm(F.col("bag"))
-    return bags.select("chunk_id", F.round(F.when(n > 0, V.dot(F.col("bag"), q) / n).otherwise(0.0), 9).alias("score"))
-
-
-_QBAG = f"(SELECT list_transform(range(0, 16), lambda i: len([t for t in {TERMS!r} if substr(sha256(t), 1, 1) = substr('{HEX}', i + 1, 1)])::DOUBLE))"
-BAG_SQL = f"""SELECT chunk_id, round(CASE WHEN n > 0 THEN list_dot_product(bag, qb) / n / sqrt(list_dot_product(qb, qb)) ELSE 0 END, 9) AS score
-  FROM (SELECT chunk_id, bag, sqrt(list_dot_product(bag, bag)) AS n, {_QBAG} AS qb FROM ({BAG})) ORDER BY 2 DESC, 1 LIMIT {K}"""
+NEAR = f"SELECT chunk_id, score FROM ({FLAT}) ORDER BY 2 DESC, 1 LIMIT {K}"
 
 
-@query(f"SELECT f.chunk_id, round(f.score, 6) AS score, f.why, d.source, substr(d.text, 1, 60) AS head FROM ({_fuse_sql([BAG_SQL, TWO_SQL.replace('SELECT chunk_id, score, attempt', 'SELECT chunk_id, -attempt * 1000 + score AS score')], [1.0, 1.0])}) f JOIN documents d ON d.doc_id = f.chunk_id")
+@query(f"SELECT f.chunk_id, round(f.score, 6) AS score, f.why, d.source, substr(d.text, 1, 60) AS head FROM ({_fuse_sql([NEAR, TWO_SQL.replace('SELECT chunk_id, score, attempt', 'SELECT chunk_id, -attempt * 1000 + score AS score')], [1.0, 1.0])}) f JOIN documents d ON d.doc_id = f.chunk_id")
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole of a search: hashed vectors and two lexical attempts, fused, and resolved to text."""
-    c = chunks(spark, sf)
-    near = R.top(bag_scores(c, QUESTION), K)
-    words = R.two_attempts(c, TERMS, K).withColumn("score", F.col("score") - F.col("attempt") * 1000)
+    """The whole of a search: the nearest vectors and two lexical attempts through the stored index, fused, and resolved to text."""
+    near = R.flat(vectors(spark, sf), query_vector(spark, sf), K)
+    words = R.two_attempts_indexed(stored(spark, sf, "postings"), size(spark, sf), TERMS, K).withColumn("score", F.col("score") - F.col("attempt") * 1000)
     hits = R.fuse([R.ranked(near), R.ranked(words.drop("attempt"))], K)
     found = hits.select("chunk_id", F.round("score", 6).alias("score"), R.provenance(F.col("s"), ["vec", "words"]).alias("why"))
-    return c.join(F.broadcast(found), "chunk_id").select("chunk_id", "score", "why", "source", F.substring("text", 1, 60).alias("head"))  # K rows
+    rows = found.collect()  # at most K
+    texts = chunks(spark, sf).filter(F.col("chunk_id").isin([r["chunk_id"] for r in rows]))  # pushed to the scan
+    return texts.join(F.broadcast(spark.createDataFrame(rows, found.schema)), "chunk_id").select("chunk_id", "score", "why", "source", F.substring("text", 1, 60).alias("head"))
 
 
-SHINGLED = "SELECT doc_id, list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] for i in range(1, len(w) - 1)]) AS s FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents ORDER BY n_chars DESC, doc_id LIMIT 40)"
+SHINGLED = f"SELECT doc_id, list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] for i in range(1, len(w) - 1)]) AS s FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents JOIN ({OR_SQL}) ON chunk_id = doc_id)"
 
 
 @query(f"SELECT a.doc_id AS a, b.doc_id AS b, round(CASE WHEN len(list_distinct(a.s || b.s)) > 0 THEN len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)) ELSE 0 END, 6) AS overlap FROM ({SHINGLED}) a JOIN ({SHINGLED}) b ON a.doc_id < b.doc_id")
 def shingles_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Overlap of the forty longest documents, as of the hits of one search."""
-    d = table(spark, sf, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(40).select("doc_id", X.shingles(F.col("text")).alias("s"))
+    """How much the whole texts of the hits of one search overlap."""
+    hits = R.top(R.bm25_indexed(stored(spark, sf, "postings"), size(spark, sf), TERMS), K)
+    d = chunks(spark, sf).join(F.broadcast(hits), "chunk_id").select(F.col("chunk_id").alias("doc_id"), X.shingles(F.col("text")).alias("s"))  # K rows
     a, b = d.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), d.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(X.jaccard(F.col("sa"), F.col("sb")), 6).alias("overlap"))  # 40 rows
+    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(X.jaccard(F.col("sa"), F.col("sb")), 6).alias("overlap"))  # K rows
 
 
 @query()

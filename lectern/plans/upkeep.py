@@ -11,7 +11,7 @@ from lectern.operators import retrieval as R
 from lectern.plans._registry import query, table
 from lectern.plans.corpus import NEW, OLD, SIGNED, docs, snapshots
 from lectern.plans.reports import TERMS
-from lectern.plans.retrieval import vectors
+from lectern.plans.stored import vectors
 from lectern.sources import readers
 
 #: Documents as files: a folder for each source, the language as suffix.
@@ -45,11 +45,10 @@ def read_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def reading_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """The first chunk of 600 bytes after the first of each book, with what is around it up to whole sentences."""
+    """Every chunk of 600 bytes of every book, with what is around it up to whole sentences."""
     d = docs(spark, sf).select(F.col("doc_id").alias("book_id"), "text")
-    second = C.chunk(d, 600).filter("ordinal = 1")
-    j = second.join(d, "book_id").select("book_id", C.reading_windows(F.col("text").cast("binary"), "byte_offset", "byte_length").alias("w"))
-    return j.select("book_id", F.col("w.offset").alias("offset"), F.col("w.text").alias("text"))
+    j = C.chunk(d, 600).join(d, "book_id").select("book_id", "ordinal", C.reading_windows(F.col("text").cast("binary"), "byte_offset", "byte_length").alias("w"))
+    return j.select("book_id", "ordinal", F.col("w.offset").alias("offset"), F.col("w.text").alias("text"))
 
 
 @query(f"""WITH o AS (SELECT key, strlen(text) AS size_bytes, doc_id % 4 AS mtime FROM ({OLD})), n AS (SELECT key, strlen(text) AS size_bytes, CASE WHEN doc_id % 10 = 1 THEN 9 ELSE doc_id % 4 END AS mtime FROM ({NEW}))
@@ -99,10 +98,12 @@ def stored_widths(spark: SparkSession, sf: str) -> DataFrame:
     return v.agg(F.sum(F.size("embedding") * 4).alias("full_bytes"), F.sum(F.size("embedding") + 4).alias("int8_bytes"))
 
 
-@query("SELECT user_id AS model_id, count(*) FILTER (WHERE event_type = 'error') AS failures, max(ts) FILTER (WHERE event_type = 'error') AS last_at FROM events GROUP BY user_id")
+@query("SELECT label AS book_id, count(*) AS failures, count(*) FILTER (WHERE text IS NOT NULL) AS carries FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE text IS NULL OR length(trim(text)) < 40 GROUP BY label")
 def failures_per_model(spark: SparkSession, sf: str) -> DataFrame:
-    e, bad = table(spark, sf, "events"), F.col("event_type") == "error"
-    return e.groupBy(F.col("user_id").alias("model_id")).agg(F.count_if(bad).alias("failures"), F.max(F.when(bad, F.col("ts"))).alias("last_at"))
+    """By label of its vectors: chunks that an embedding could not be trusted for, and how many of them still have a text to be done again."""
+    v = vectors(spark, sf).select("chunk_id", "book_id").join(docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id", "left")
+    bad = v.filter(F.col("text").isNull() | (F.length(F.trim("text")) < 40))
+    return bad.groupBy("book_id").agg(F.count(F.lit(1)).alias("failures"), F.count("text").alias("carries"))
 
 
 @query("SELECT source AS shelf, count(*) FILTER (WHERE lang <> 'fr') AS newly_set_aside, count(*) AS set_aside FROM documents GROUP BY source")
@@ -171,22 +172,3 @@ def answerable(spark: SparkSession, sf: str) -> DataFrame:
     wanted = [*TERMS, "qqqqqq"]
     found = docs(spark, sf).agg(*[F.bool_or(F.contains(low, F.lit(t)) & low.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){t}")).alias(t) for t in wanted])  # one row
     return found.select(F.explode(F.filter(F.array(*[F.when(F.col(t), F.lit(t)) for t in wanted]), lambda x: x.isNotNull())).alias("term"))
-
-
-def _hits_sql(mode: str, n: int) -> str:
-    e, q = (f"list_transform({t}.embedding[1:{n}], lambda x: x::DOUBLE)" for t in "eq")
-    return f"""SELECT '{mode}' AS mode, q.vec_id AS query_id, e.label = q.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product({e}, {q}) DESC, e.vec_id) AS rank
-  FROM embeddings q JOIN embeddings e ON true WHERE q.vec_id % 20 = 0"""
-
-
-@query(f"SELECT mode, CAST(sum(hit::INT) AS BIGINT) AS hits, count(DISTINCT query_id) AS questions FROM (({_hits_sql('whole', 64)}) UNION ALL ({_hits_sql('half', 32)})) WHERE rank <= 5 GROUP BY mode")
-def mode_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    """The same questions asked of whole vectors and of their first half: hits of the own book among five."""
-    out = None
-    for mode, n in (("whole", 64), ("half", 32)):
-        v = vectors(spark, sf).withColumn("embedding", F.slice("embedding", 1, n))
-        asked = v.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("book_id").alias("wanted"), F.col("embedding").alias("query"))
-        hits = R.flat_many(v.select("chunk_id", "embedding"), asked.drop("wanted"), 5).join(asked.select("query_id", "wanted"), "query_id").join(v.select("chunk_id", "book_id"), "chunk_id")
-        one = hits.select(F.lit(mode).alias("mode"), "query_id", (F.col("book_id") == F.col("wanted")).alias("hit"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("mode").agg(F.count_if("hit").alias("hits"), F.count_distinct("query_id").alias("questions"))

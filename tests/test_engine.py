@@ -44,9 +44,11 @@ def test_add_edit_move(spark, engine):
     assert 0 < engine.embed("m", vectors, 8) <= 4 and engine.embed("m", vectors, 8) == 0
     from lectern.operators import retrieval as R
 
-    kept, anew = engine.table("postings"), R.postings(engine.table("chunks"))
+    kept, anew = engine.table("postings").drop("bucket"), R.postings(engine.table("chunks"))
     assert kept.count() == anew.count() and kept.exceptAll(anew).count() == 0 and engine.table("lengths").count() == engine.table("chunks").count()
     assert engine.compact() > 0
+    kept, anew = engine.table("postings").drop("bucket"), R.postings(engine.table("chunks"))
+    assert kept.count() == anew.count() and kept.exceptAll(anew).count() == 0
     ids = sorted(r.chunk_id for r in engine.table("chunks").collect())
     assert ids == list(range(1, len(ids) + 1)) == sorted(r.chunk_id for r in engine.table("vectors").collect())
     texts = {r.chunk_id: r.text for r in engine.table("chunks").collect()}
@@ -121,3 +123,71 @@ def test_add_files(spark, tmp_path):
     assert [r.status for r in e.add_files(str(tmp_path / "in")).collect()] == ["added"]
     assert [r.status for r in e.add_files(str(tmp_path / "in")).collect()] == ["unchanged"]
     assert e.books().first().title == "one"
+
+
+def test_add_is_safe_to_repeat(spark, engine, monkeypatch):
+    """Each write fails in turn; what was there stays, and after a repeat every span is there once."""
+    from lectern.store import Store
+
+    engine.embed("m", vectors, 8)
+    was = {t: engine.table(t).count() for t in ("books", "chunks", "postings", "lengths", "vectors")}
+    again = [rows(2, " EDIT")[1], ("s/new", "New", "x", "brand new")]
+    write = Store._write
+    for n in range(20):
+        calls = []
+
+        def failing(self, name, df, n=n, calls=calls):
+            calls.append(name)
+            if len(calls) > n:
+                raise OSError("no space")
+            return write(self, name, df)
+
+        monkeypatch.setattr(Store, "_write", failing)
+        try:
+            engine.add(spark.createDataFrame(again, COLUMNS))
+        except OSError:
+            assert was == {t: engine.table(t).count() for t in was}
+        else:
+            break
+    monkeypatch.undo()
+    assert n >= 4
+    spans = [(r.book_id, r.byte_offset) for r in engine.table("chunks").collect()]
+    assert len(spans) == len(set(spans)) == engine.table("lengths").count() and engine.table("books").count() == was["books"] + 1
+    one = Engine(spark, engine.store.path, target=120)
+    with pytest.raises(E.Busy), engine.store.change():  # two writers: the second to end is told so
+        engine.store.replace("asked", engine.table("asked"))
+        one.describe("s/0.txt", note="x")
+    assert one.table("books").filter("note = 'x'").count() == 1
+
+
+def test_searches_open_only_their_folders(spark, engine):
+    from lectern.operators import retrieval as R
+
+    found = R.of_terms(engine.table("postings"), ["neurons"])
+    assert found.count() > 0
+    files = lambda df: {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+    assert len({r.bucket for r in found.select("bucket").distinct().collect()}) == 1 < len(files(engine.table("postings")))
+    assert "PartitionFilters: [" in found._jdf.queryExecution().toString() and "bucket" in found._jdf.queryExecution().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_embed_goes_on_where_it_stopped(spark, engine):
+    n = engine.table("chunks").count()
+    asked = []
+    assert engine.embed("m", vectors, 8, step=3, stop=lambda: len(asked) >= 2 or asked.append(1)) == 6
+    assert engine.table("vectors").agg({"chunk_id": "max"}).first()[0] == 6
+    row = engine.outstanding("m").first()
+    assert (row.live, row.done, row.to_embed, row.complete, row.part_way) == (n, 6, n - 6, 0, 1)
+    assert row.at_work == engine.table("chunks").filter("chunk_id = 1").first().book_id
+    assert engine.outstanding("m", ("Book 2",)).first().done == 0 and engine.check().first().step == "embed the rest"
+    assert engine.embed("m", vectors, 8, seconds=0) == 0 and engine.embed("m", vectors, 8, step=100) == n - 6
+    with pytest.raises(E.BadOption):
+        engine.embed("m", vectors, 8, duty=0)
+    before = {r.chunk_id: r.embedding for r in engine.table("vectors").collect()}
+    engine.quantise("m")
+    for r in engine.table("vectors").collect():
+        assert r.embedding == pytest.approx(before[r.chunk_id], abs=max(before[r.chunk_id]) / 254 + 1e-6)
+    engine.route()
+    engine.truncate("m", 4)
+    v = engine.table("vectors").first().embedding
+    assert len(v) == 4 and sum(x * x for x in v) == pytest.approx(1, abs=1e-5) and engine.table("centroids").count() == 0
+    assert engine.removal(shelf="shelf1").first().books == 1
