@@ -6,9 +6,10 @@ edited or removed books die and are closed up by ``compact``.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, fields
+from dataclasses import asdict, dataclass, fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +19,15 @@ from pyspark.sql import functions as F
 from lectern import errors as E
 from lectern.functions import text as X
 from lectern.functions import vectors as V
+from lectern.operators import answers as A
 from lectern.operators import corpus as C
 from lectern.operators import retrieval as R
-from lectern.sources import readers
+from lectern.sources import models, readers
 from lectern.store import SCHEMAS, Store
 
 EmbedFn = Callable[[list[str]], list[list[float]]]
 ScoreFn = Callable[[str, list[str]], list[float]]
+TalkFn = Callable[[str], str]
 MODES = ("hybrid", "vector", "lexical")
 
 
@@ -55,6 +58,62 @@ class SearchOptions:
                 raise E.BadOption(f"{name} is at least 1")
 
 
+@dataclass(frozen=True)
+class SearchResult:
+    """``hits`` with what a reader should know of them. ``routed`` holds the books that the question was routed to, if it was."""
+
+    question: str
+    options: SearchOptions
+    hits: DataFrame
+    warnings: tuple[str, ...]
+    routed: tuple[int, ...] | None
+    population: DataFrame | None
+    elapsed_ms: float
+
+    def scanned_fraction(self) -> float:
+        """Vectors read of all that may be seen; 0 if there are none, or if no vector was read."""
+        if self.population is None:
+            return 0.0
+        read = F.lit(True) if self.routed is None else F.col("book_id").isin(*self.routed) if self.routed else F.lit(False)
+        n, touched = self.population.agg(F.count(F.lit(1)), F.count_if(read)).first()
+        return touched / n if n else 0.0
+
+    def payload(self) -> str:
+        """One JSON object for a program: query, mode, routed, reranked, scanned_fraction, elapsed_ms, warnings, results."""
+        results = [json.loads(r["json"]) for r in readers.results_json(self.hits).collect()]  # at most k rows
+        head = {"query": self.question, "mode": self.options.mode, "routed": None if self.routed is None else len(self.routed), "reranked": self.options.rerank or 0}
+        return json.dumps({**head, "scanned_fraction": round(self.scanned_fraction(), 4), "elapsed_ms": round(self.elapsed_ms, 1), "warnings": list(self.warnings), "results": results}, ensure_ascii=False)
+
+
+@dataclass(frozen=True)
+class Passage:
+    """A hit with whole sentences around it; ``text[at:upto]`` is what the search found."""
+
+    rank: int
+    chunk_id: int
+    key: str
+    title: str | None
+    byte_offset: int
+    text: str
+    at: int
+    upto: int
+
+    @property
+    def found(self) -> str:
+        return self.text[self.at : self.upto]
+
+
+@dataclass(frozen=True)
+class Summary:
+    """An answer with the passages it cites. ``retried`` are the words that found them; ``failed`` words that found no answer either."""
+
+    question: str
+    answer: A.Answer
+    passages: tuple[Passage, ...]
+    retried: str | None = None
+    failed: str | None = None
+
+
 class Engine:
     def __init__(self, spark: SparkSession, path: str, target: int = C.TARGET, overlap: int = 0) -> None:
         self.spark, self.store, self.target, self.overlap = spark, Store(spark, path), target, overlap
@@ -215,11 +274,40 @@ class Engine:
         kinds = self.spark.createDataFrame([], SCHEMAS[name]).schema
         self.store.append(name, at.select(*[F.col(f.name).cast(f.dataType) for f in kinds]))
 
+    def know(self, model: str, role: str = "embed", alias: str | None = None, preferred: bool = False, source: str | None = None, path: str | None = None) -> None:
+        """Remember a model: its other name, whether it is the preferred one of its role, and where its weights are, with their digest."""
+        if role not in models.ROLES:
+            raise E.BadOption(f"role is one of {', '.join(models.ROLES)}")
+        known = self.table("known")
+        if alias and known.filter((F.col("alias") == alias) & ~((F.col("model") == model) & (F.col("role") == role))).head(1):
+            raise E.BadOption(f"{alias} is the name of another model")
+        digest = models.digest_of(self.spark, path) if path else None
+        if path and digest is None:
+            raise E.BadOption(f"{path} is not there")
+        others = known.filter(~((F.col("model") == model) & (F.col("role") == role)))
+        if preferred:  # one for each role
+            others = others.withColumn("preferred", F.when(F.col("role") == role, F.lit(False)).otherwise(F.col("preferred")))
+        row = self.spark.createDataFrame([(model, role, alias, preferred, source, path, digest)], SCHEMAS["known"])
+        self.store.replace("known", others.unionByName(row))
+
+    def preferred(self, role: str) -> str | None:
+        row = self.table("known").filter((F.col("role") == role) & F.col("preferred")).first()
+        return row["model"] if row else None
+
+    def verify_weights(self) -> dict[str, str]:
+        """same, changed or missing for each model whose weights are recorded."""
+        rows = self.table("known").filter("path IS NOT NULL").collect()  # a row a model
+        now = {r["model"]: (models.digest_of(self.spark, r["path"]), r["digest"]) for r in rows}
+        return {m: "missing" if a is None else "same" if a == b else "changed" for m, (a, b) in now.items()}
+
     def model(self, wanted: str | None = None) -> str:
-        """The model of that name, or the only one whose name holds it."""
+        """The model of that name or alias, or the only one whose name holds it; without a name the preferred one."""
         names = sorted(r[0] for r in self.table("vectors").select("model").distinct().collect())  # a row a model
         if not names:
             raise E.NotEmbedded("nothing is embedded")
+        named = self.table("known").filter("role = 'embed'").filter(F.col("preferred") if wanted is None else F.col("alias") == wanted).first()
+        if named and named["model"] in names:
+            return named["model"]
         fit = [n for n in names if n == wanted] or [n for n in names if wanted is None or wanted in n]
         if len(fit) != 1:
             raise E.AmbiguousModel(fit)
@@ -249,8 +337,17 @@ class Engine:
             raise E.SetAside("all books of this scope are set aside")
         return chosen.select("book_id")
 
-    def ask(self, question: str, embed_query: EmbedFn | None = None, score: ScoreFn | None = None, record: bool = True, **options: object) -> DataFrame:
+    def ask(self, question: str, embed_query: EmbedFn | None = None, score: ScoreFn | None = None, record: bool = True, **more: object) -> DataFrame:
         """The best passages: rank, chunk_id, score, why, key, title, shelf, byte_offset, byte_length, text."""
+        return self.search(question, embed_query, score, record, **more).hits
+
+    def search(self, question: str, embed_query: EmbedFn | None = None, score: ScoreFn | None = None, record: bool = True, expand: TalkFn | None = None, embed_documents: EmbedFn | None = None, **options: object) -> SearchResult:
+        """The best passages with warnings.
+
+        ``expand`` is a model that is asked for other words: its vec: lines are searched as questions, its hyde: lines as
+        passages (by ``embed_documents``, else ``embed_query``). The vector lists become one ranking before they meet
+        that of words, so the balance of the two does not hang on how many lines there are.
+        """
         o, begun = SearchOptions.of(**options), time.time()
         o.check()
         books, chunks = self.table("books"), self.table("chunks")
@@ -258,20 +355,28 @@ class Engine:
             raise E.NothingIndexed("nothing is indexed")
         scope = self._scope(o.scope)
         want = max(o.k, o.rerank or 0) * (4 if o.dedupe else 1)
-        lists, names = [], []
+        lists, names, routed, seen, name = [], [], None, None, None
         if o.mode != "lexical":
             if embed_query is None:
                 raise E.BadOption("a vector search needs embed_query")
-            name, query = self.model(o.model), embed_query([question])[0]
+            name = self.model(o.model)
             seen = C.searchable(self.table("vectors").filter(F.col("model") == name), books, scope)
+            centroids = None
             if o.route:
                 centroids = self.table("centroids").filter(F.col("model") == name)
                 if not centroids.head(1):
                     raise E.NotRouted("no book is profiled")
-                hits = R.two_stage(seen, C.searchable(centroids, books, scope), query, o.route, want)
-            else:
-                hits = R.flat(seen, query, want)
-            lists, names = [R.ranked(hits)], ["vec"]
+                centroids = C.searchable(centroids, books, scope)
+            queries = [embed_query([question])[0]]
+            if expand is not None:
+                other = A.parse_expansion(expand(A.EXPAND.format(question=question)), A.EXPAND.format(question=""))
+                queries += [embed_query([q])[0] for q in other["vec"]] + [(embed_documents or embed_query)([d])[0] for d in other["hyde"]]
+            near, routed = [], set() if o.route else None
+            for query in queries:  # the question and at most six lines more
+                chosen = [r["book_id"] for r in R.route(centroids, query, o.route).collect()] if o.route else None  # at most ``route`` rows
+                near.append(R.ranked(R.flat(seen if chosen is None else R.of_books(seen, chosen), query, want)))
+                routed = routed if chosen is None else routed | set(chosen)
+            lists, names = [near[0] if len(near) == 1 else _one_ranking(near, want)], ["vec"]
         if o.mode != "vector":
             lists.append(self._lexical(question, chunks, books, scope, want))
             names.append("lex")
@@ -287,9 +392,75 @@ class Engine:
         if o.dedupe:
             found = found.join(F.broadcast(R.drop_near(found).select("chunk_id")), "chunk_id", "left_semi")
         found = found.withColumn("rank", F.row_number().over(W.orderBy("rank"))).filter(F.col("rank") <= o.k)
+        took = 1000 * (time.time() - begun)
         if record:
-            self._log("asked", question=question, mode=o.mode, ms=1000 * (time.time() - begun))
-        return found.select("rank", "chunk_id", "score", "why", "key", "title", "shelf", "byte_offset", "byte_length", "text").orderBy("rank")
+            self._log("asked", question=question, mode=o.mode, ms=took)
+        hits = found.select("rank", "chunk_id", "score", "why", "key", "title", "shelf", "byte_offset", "byte_length", "text").orderBy("rank")
+        return SearchResult(question, o, hits, self._warnings(scope, name if o.route else None), None if routed is None else tuple(sorted(routed)), seen, took)
+
+    def _warnings(self, scope: DataFrame | None, routed_by: str | None) -> tuple[str, ...]:
+        """Books that a search of this scope leaves out without having been told to; six are named."""
+        books, said = self.table("books"), []
+        left_out = []
+        if scope is not None:
+            left_out.append(("set aside", books.filter("excluded").join(scope, "book_id", "left_semi")))
+        if routed_by is not None:
+            begun = self.table("progress").filter((F.col("model") == routed_by) & (F.col("done") > 0))
+            bare = begun.join(self.table("centroids").filter(F.col("model") == routed_by), "book_id", "left_anti")
+            bare = C.searchable(books.join(bare, "book_id", "left_semi"), books, scope)
+            left_out.append(("not profiled", bare))
+        for why, them in left_out:
+            six = [r[0] for r in them.select(F.coalesce("title", "key").alias("t")).orderBy("t").limit(7).collect()]
+            if six:
+                said.append(f"{why}: {', '.join(six[:6])}{' and others' if len(six) > 6 else ''}")
+        return tuple(said)
+
+    def widened(self, hits: DataFrame, before: int = 500, after: int = 500) -> list[Passage]:
+        """Each of k hits with whole sentences around it, out of the chunks next to it in its book."""
+        rows = hits.orderBy("rank").collect()  # k rows
+        around = {r["chunk_id"] + d for r in rows for d in (-1, 0, 1)}
+        near = {c["chunk_id"]: c for c in self.table("chunks").filter(F.col("chunk_id").isin(*around)).collect()} if rows else {}  # three a hit
+        out = []
+        for r in rows:
+            own = near[r["chunk_id"]]
+            three = [c for d in (-1, 0, 1) if (c := near.get(r["chunk_id"] + d)) is not None and c["book_id"] == own["book_id"]]
+            start, data = three[0]["byte_offset"], bytearray()
+            for c in three:  # chunks may overlap, and leave blanks between them out
+                place = c["byte_offset"] - start
+                data.extend(b" " * (place - len(data)))
+                data[place : place + c["byte_length"]] = c["text"].encode()
+            text, low = C.reading_window(bytes(data), own["byte_offset"] - start, own["byte_length"], before, after)
+            at = len(bytes(data[low : own["byte_offset"] - start]).decode("utf-8", "ignore"))
+            out.append(Passage(r["rank"], r["chunk_id"], r["key"], r["title"], start + low, text, at, at + len(own["text"].rstrip())))
+        return out
+
+    def summarise(self, question: str, talk: TalkFn, embed_query: EmbedFn | None = None, record: bool = True, **more: object) -> Summary:
+        """An answer drawn from what a search finds, with its proof.
+
+        If the model finds none, it is asked once for other words and reads what these find. If that holds no answer
+        either, the first passages stay, as they are what the reader sees.
+        """
+
+        def attempt(words: str) -> tuple[A.Answer, tuple[Passage, ...]]:
+            read = tuple(self.widened(self.ask(words, embed_query, record=record, **more)))
+            return A.summarise(talk, question if words == question else words, [p.text for p in read], [p.found for p in read]), read
+
+        answer, read = attempt(question)
+        retried = failed = None
+        if answer.refused:
+            reply = talk(A.REPHRASE.format(question=question))
+            other = self.spark.range(1).select(X.rephrasing(F.lit(reply or ""))).first()[0]
+            if other:
+                again, found = attempt(other)
+                if again.refused:
+                    failed = other
+                else:
+                    answer, read, retried = again, found, other
+        made = Summary(question, answer, read, retried, failed)
+        if record:
+            said = {"answer": answer.prose, "claims": [asdict(c) for c in answer.claims], "passages": [p.chunk_id for p in read], "retried": retried, "failed": failed}
+            self._log("summaries", question=question, record=json.dumps(said, ensure_ascii=False))
+        return made
 
     def _lexical(self, question: str, chunks: DataFrame, books: DataFrame, scope: DataFrame | None, want: int) -> DataFrame:
         """The phrase over all books that are not set aside, then any of its words within scope: chunk_id, rank."""
@@ -447,3 +618,9 @@ def _scorer(question: str, score: ScoreFn):  # noqa: ANN202
             yield pd.Series(score(question, texts.fillna("").tolist()), dtype=float)
 
     return run
+
+
+def _one_ranking(lists: list[DataFrame], want: int) -> DataFrame:
+    """Several rankings as one (chunk_id, rank from 0)."""
+    order = W.orderBy(F.desc("score"), "first_list", "chunk_id")  # at most ``want`` rows
+    return R.fuse(lists, want).select("chunk_id", (F.row_number().over(order) - 1).alias("rank"))

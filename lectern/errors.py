@@ -51,3 +51,13 @@ class Busy(LecternError):
     """Another writer changed the index meanwhile."""
 
     kind = "busy"
+
+
+class UnknownLibrary(LecternError):
+    kind = "unknown_library"
+
+
+class BadName(LecternError):
+    """A name that can be no part of a path nor a word of a command."""
+
+    kind = "bad_name"

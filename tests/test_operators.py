@@ -82,9 +82,9 @@ def test_claims_and_redaction():
 
 
 def test_summary_removes_what_it_cannot_prove():
-    answer, _ = A.summarise(lambda _: 'True: "b c" [1]. False: "xy" [1].', "q", ["a b c d"])
+    answer = A.summarise(lambda _: 'True: "b c" [1]. False: "xy" [1].', "q", ["a b c d"]).prose
     assert '"b c" [1]' in answer and A.REMOVED in answer
-    assert A.summarise(lambda _: "It holds a “quote” and a ﬁne thing [1].", "q", ['It  holds a "quote" and a fine thing'])[0].endswith("thing [1].")
+    assert A.summarise(lambda _: "It holds a “quote” and a ﬁne thing [1].", "q", ['It  holds a "quote" and a fine thing']).prose.endswith("thing [1].")
 
 
 def test_reading_window_keeps_the_passage_and_ends_with_sentences():
