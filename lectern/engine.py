@@ -390,7 +390,7 @@ class Engine:
             best = R.rerank(found.filter(F.col("rank") <= max(o.rerank, o.k)), _scorer(question, score)(F.col("text")))
             found = self.store.keep(best.withColumn("rank", F.row_number().over(W.orderBy(F.col("text").isNull(), F.desc_nulls_last("score"), "rank"))))
         if o.dedupe:
-            found = found.join(F.broadcast(R.drop_near(found).select("chunk_id")), "chunk_id", "left_semi")
+            found = found.join(F.broadcast(R.drop_near(found, k=o.k).select("chunk_id")), "chunk_id", "left_semi")
         found = found.withColumn("rank", F.row_number().over(W.orderBy("rank"))).filter(F.col("rank") <= o.k)
         took = 1000 * (time.time() - begun)
         if record:
@@ -424,16 +424,32 @@ class Engine:
         for r in rows:
             own = near[r["chunk_id"]]
             three = [c for d in (-1, 0, 1) if (c := near.get(r["chunk_id"] + d)) is not None and c["book_id"] == own["book_id"]]
-            start, data = three[0]["byte_offset"], bytearray()
-            for c in three:  # chunks may overlap, and leave blanks between them out
-                place = c["byte_offset"] - start
-                data.extend(b" " * (place - len(data)))
-                data[place : place + c["byte_length"]] = c["text"].encode()
-            text, low = C.reading_window(bytes(data), own["byte_offset"] - start, own["byte_length"], before, after)
-            at = len(bytes(data[low : own["byte_offset"] - start]).decode("utf-8", "ignore"))
+            start, data = _laid_out(three)
+            text, low = C.reading_window(data, own["byte_offset"] - start, own["byte_length"], before, after)
+            at = len(data[low : own["byte_offset"] - start].decode("utf-8", "ignore"))
             out.append(Passage(r["rank"], r["chunk_id"], r["key"], r["title"], start + low, text, at, at + len(own["text"].rstrip())))
         return out
 
+    def pane(self, key: str, start: int = 0, length: int = 4000) -> dict[str, object]:
+        """A part of a book to read, of at most 200,000 bytes: text, start, end and the book's size, whole characters only."""
+        book = self.table("books").filter(F.col("key") == key).first()
+        if book is None:
+            raise E.UnknownBook(f"{key} is not there")
+        if start < 0 or not 0 < length <= 200_000:
+            raise E.BadOption("start is at least 0, length 1 to 200,000")
+        end = min(start + length, book["size_bytes"])
+        of_book = (F.col("book_id") == book["book_id"]) & (F.col("byte_offset") < end) & (F.col("byte_offset") + F.col("byte_length") > start)
+        rows = self.table("chunks").filter(of_book).orderBy("byte_offset").collect()  # of ``length`` bytes
+        if not rows:
+            return {"text": "", "start": start, "end": start, "size": book["size_bytes"]}
+        at, data = _laid_out(rows)
+        low, high = max(start - at, 0), min(end - at, len(data))
+        while low < high and data[low] & 0xC0 == 0x80:
+            low += 1
+        while low < high < len(data) and data[high] & 0xC0 == 0x80:
+            high -= 1
+        return {"text": data[low:high].decode(), "start": at + low, "end": at + high, "size": book["size_bytes"]}
+
     def summarise(self, question: str, talk: TalkFn, embed_query: EmbedFn | None = None, record: bool = True, **more: object) -> Summary:
         """An answer drawn from what a search finds, with its proof.
 
@@ -620,6 +636,16 @@ def _scorer(question: str, score: ScoreFn):  # noqa: ANN202
     return run
 
 
+def _laid_out(chunks: list) -> tuple[int, bytes]:
+    """Bytes of chunks of one book in order, from the first one's offset; they may overlap, and what lies between them is blank."""
+    start, data = chunks[0]["byte_offset"], bytearray()
+    for c in chunks:
+        place = c["byte_offset"] - start
+        data.extend(b" " * (place - len(data)))
+        data[place : place + c["byte_length"]] = c["text"].encode()
+    return start, bytes(data)
+
+
 def _one_ranking(lists: list[DataFrame], want: int) -> DataFrame:
     """Several rankings as one (chunk_id, rank from 0)."""
     order = W.orderBy(F.desc("score"), "first_list", "chunk_id")  # at most ``want`` rows

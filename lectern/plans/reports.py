@@ -94,7 +94,10 @@ def query_terms(spark: SparkSession, sf: str) -> DataFrame:
 TERMS = ("erblest", "haea", "schen", "queño", "idiot")
 
 
-@query(f"SELECT term, count(doc_id) AS chunks, count(DISTINCT source) AS books FROM (SELECT unnest({list(TERMS)!r}) AS term) LEFT JOIN documents ON contains(lower(text), term) AND regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || term) GROUP BY term")
+LOCATED = f"SELECT term, count(doc_id) AS chunks, count(DISTINCT source) AS books FROM (SELECT unnest({list(TERMS)!r}) AS term) LEFT JOIN documents ON contains(lower(text), term) AND regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || term) GROUP BY term"
+
+
+@query(LOCATED)
 def locate_terms(spark: SparkSession, sf: str) -> DataFrame:
     """In how many chunks and books an answer's term starts a word. All terms in one pass."""
     d = table(spark, sf, "documents")
@@ -104,6 +107,13 @@ def locate_terms(spark: SparkSession, sf: str) -> DataFrame:
     return wanted.join(found, "term", "left").select("term", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("books", F.lit(0)).alias("books"))
 
 
+@query(f"SELECT CAST(coalesce(trunc(median(books)), 0) AS BIGINT) AS redundancy FROM ({LOCATED}) WHERE books > 0")
+def answer_redundancy(spark: SparkSession, sf: str) -> DataFrame:
+    """In how many books an answer lies, by the median of the answers that are there: how easy the choice of a book is."""
+    found = locate_terms(spark, sf).filter("books > 0")
+    return found.agg(F.coalesce(F.floor(F.median("books")), F.lit(0)).cast("bigint").alias("redundancy"))
+
+
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'eron') AND regexp_matches(lower(text), '(^|[^a-z0-9_])eron')")
 def contains_term(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter(X.contains_term(F.col("text"), F.lit("eron"))).select("doc_id")

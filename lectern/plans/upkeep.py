@@ -91,6 +91,13 @@ def nth_embedded(spark: SparkSession, sf: str) -> DataFrame:
     return C.numbered(vectors(spark, sf).filter("book_id <> 2"))
 
 
+@query("SELECT vec_id AS chunk_id, text FROM embeddings JOIN documents ON doc_id = vec_id")
+def embedded_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts of all chunks that have a vector, in order of their ids."""
+    d = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text")
+    return d.join(vectors(spark, sf), "chunk_id", "left_semi").sort("chunk_id")
+
+
 @query("SELECT label AS book_id, CAST(sum(len(embedding) * 4) AS BIGINT) AS full_bytes, CAST(sum(len(embedding) + 4) AS BIGINT) AS int8_bytes FROM embeddings GROUP BY label")
 def stored_widths(spark: SparkSession, sf: str) -> DataFrame:
     """What vectors take in single precision, and as whole numbers with a scale."""

@@ -69,6 +69,20 @@ def test_widened_passages_are_the_books_text(engine):
     assert engine.widened(hits.filter("false")) == []
 
 
+def test_pane_reads_a_part_of_a_book(engine):
+    book = "".join(TEXT.replace("spikes", f"spikes of kind 1 and {j}") for j in range(5)).encode()
+    whole = engine.pane("s/1")
+    assert whole["size"] == len(book) and whole["text"].split() == book.decode().split() and whole["start"] == 0
+    inside = book.index("é".encode()) + 1  # within a character
+    part = engine.pane("s/1", inside, 60)
+    assert part["start"] == inside + 1 and part["text"].split() == book[inside + 1 : part["end"]].decode().split()
+    assert engine.pane("s/1", inside - 20, 20)["end"] == inside - 1 and engine.pane("s/1", 10_000)["text"] == ""
+    with pytest.raises(E.UnknownBook):
+        engine.pane("nowhere")
+    with pytest.raises(E.BadOption):
+        engine.pane("s/1", 0, 200_001)
+
+
 def test_summaries_prove_and_retry(engine):
     said = iter(['They "speak by spikes" [1]. They "sing at night" [1].'])
     good = engine.summarise("how do neurons speak", lambda _: next(said), mode="lexical", k=3)
