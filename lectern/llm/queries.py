@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, chat, decontam, langid, packing, pii, ppm, secrets, simhash, toxicity
+from lectern.llm import ann, chat, decontam, hardneg, langid, mixture, packing, pii, ppm, resample, secrets, simhash, toxicity
 from lectern.llm._common import span_key
 
 
@@ -104,9 +104,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_best_two_fit, op3_one_bit_codes, op4_language, op5_secrets, op6_toxicity, op7_partial_matching, op8_chat, op9_edit_matching, op10_simhash)
-}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    turned = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hardneg.mine(_table(spark, sf_dir, "embeddings").withColumn("label", turned))
+
+
+def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (op1_pii, op2_best_two_fit, op3_one_bit_codes, op4_language, op5_secrets, op6_toxicity, op7_partial_matching, op8_chat, op9_edit_matching, op10_simhash, op11_hard_negatives, op12_mixture, op13_resample)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {
     "op8_chat": r"""
@@ -124,4 +137,41 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id""",
+    "op11_hard_negatives": r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (SELECT * FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank,
+  s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.own AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+QUALIFY rank <= 5""",
+    "op12_mixture": r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 3 * source_size AS stop, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(stop) OVER before, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level
+  FROM w WINDOW before AS (ORDER BY stop / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(stop::DOUBLE, weight::DOUBLE * max(level) OVER ()) AS target FROM l),
+r AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size::DOUBLE * 4294967296::DOUBLE + 0.5::DOUBLE) AS HUGEINT) END AS rate,
+  CAST(('0x' || sha256('2024:' || coalesce('=' || source, ''))[1:8])::BIGINT AS HUGEINT) AS u FROM t),
+c AS (SELECT *, length(bin(size)) AS e, ('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), ''))[1:3])::BIGINT AS h FROM d),
+o AS (SELECT c.doc_id, c.size, r.source_size, r.target, r.rate, r.u, CAST(row_number() OVER (PARTITION BY c.source ORDER BY e, size >> CAST(greatest(0, e - 5) AS BIGINT), h, size, doc_id NULLS LAST) AS HUGEINT) AS i FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, CAST(((u + i * rate) // 4294967296::HUGEINT - (u + (i - 1) * rate) // 4294967296::HUGEINT) * size AS BIGINT) AS taken FROM o""",
+    "op13_resample": r"""
+WITH tab AS (SELECT list(list_reduce(range(0, 8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM (SELECT unnest(range(0, 256)) AS i)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+x AS (SELECT doc_id, unnest(w) AS w FROM d), every AS (SELECT w FROM x UNION SELECT w FROM b),
+hashed AS (SELECT w, xor(list_reduce(list_transform(range(1, length(hex(encode(w))) // 2 + 1), lambda i: ('0x' || substr(hex(encode(w)), 2 * i - 1, 2))::BIGINT), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS k FROM every, tab),
+s AS (SELECT k, count(*) AS n FROM x JOIN hashed USING (w) GROUP BY k), g AS (SELECT k, count(*) AS n FROM b JOIN hashed USING (w) GROUP BY k),
+z AS (SELECT (SELECT count(*) FROM x) AS s, (SELECT count(*) FROM b) AS t),
+gain AS (SELECT i AS k, CAST(floor(1000::DOUBLE * ln((coalesce(g.n, 0) + 1)::DOUBLE * (z.s + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * (z.t + 10000)::DOUBLE))) AS BIGINT) AS gain FROM (SELECT unnest(range(0, 10000)) AS i), z LEFT JOIN s ON s.k = i LEFT JOIN g ON g.k = i),
+total AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM x JOIN hashed USING (w) JOIN gain USING (k) GROUP BY doc_id),
+scored AS (SELECT d.doc_id, len(d.w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000::DOUBLE * ln(-ln((('0x' || sha256('2024:' || d.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN total USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, rank FROM scored s LEFT JOIN (SELECT * FROM placed WHERE rank <= 10 * (SELECT count(*) FROM placed) // 100) USING (doc_id)""",
 }
