@@ -68,7 +68,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).withColumn("key", key)
     rate = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double")) * _ONE + 0.5), F.lit(0))
     offset = _hex(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("key")).cast("binary"), 256), 8)
-    cells = cell_starts(same, ["key"], "cell", "n", 4 * _HASH_DIGITS).join(sources.drop("source").withColumn("rate", rate).withColumn("offset", offset), "key")
+    cells = cell_starts(same, ["key"], "cell", "n", (4,) * _HASH_DIGITS).join(sources.drop("source").withColumn("rate", rate).withColumn("offset", offset), "key")
     within = W.partitionBy("key", "cell").orderBy("size", F.col("doc_id").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
     placed = same.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0))).join(cells, ["key", "cell"])
     # a row each again: runs of equal rows in pieces, as an array has its bounds

@@ -217,7 +217,7 @@ def resample(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: s
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
     rows = weighed(docs, gain, doc_id, text, order).withColumn("score", F.col("weight") + noise)
     rows = materialise(rows.withColumn("cell", F.when(F.col("n_words") >= least, step(-F.col("score"), _CELL_BITS))).drop("n_words").withColumn("n", F.lit(1).cast("bigint")))
-    cells = cell_starts(rows.filter("cell is not null"), [], "cell", "n", _CELL_BITS)
+    cells = cell_starts(rows.filter("cell is not null"), [], "cell", "n", (_CELL_BITS // 2, _CELL_BITS // 2))
     drawn = rows.filter("cell is not null").count() * share // 100
     last = cells.filter(F.col("before") < drawn).agg(F.max("cell")).first()[0]
     ahead = F.coalesce(F.col("cell") <= F.lit(last), F.lit(False))
