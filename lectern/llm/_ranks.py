@@ -31,7 +31,8 @@ def cell_starts(rows: DataFrame, by: list[str], cell: str, n: str, bits: Sequenc
     earlier = lambda keys: F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy(cell).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     if not bits:
         return cells.withColumn("before", earlier(by or [F.lit(0)])).drop("n")
-    cells = cells.withColumn("group", F.shiftright(cell, bits[0]))
-    outer = cell_starts(cells, by, "group", "n", bits[1:]).withColumnRenamed("before", "outer")
-    inside = cells.withColumn("inner", earlier([*by, "group"]))
-    return inside.join(outer, [*by, "group"]).select(*by, cell, (F.col("outer") + F.col("inner")).alias("before"))
+    group = f"{cell}_"
+    cells = cells.withColumn(group, F.shiftright(cell, bits[0]))
+    outer = cell_starts(cells, by, group, "n", bits[1:]).withColumnRenamed("before", "outer")
+    inside = cells.withColumn("inner", earlier([*by, group]))
+    return inside.join(outer, [*by, group]).select(*by, cell, (F.col("outer") + F.col("inner")).alias("before"))
