@@ -61,3 +61,45 @@ class BadName(LecternError):
     """A name that can be no part of a path nor a word of a command."""
 
     kind = "bad_name"
+
+
+class NothingToIngest(LecternError):
+    """No file of a wanted kind; ``found`` are the commonest suffixes there."""
+
+    kind = "nothing_to_ingest"
+
+    def __init__(self, wanted: tuple[str, ...], found: list[str]) -> None:
+        super().__init__(f"no file ends in {', '.join(wanted)}; there are: {', '.join(found) or 'none'}")
+        self.wanted, self.found = wanted, found
+
+
+class OtherChunking(LecternError):
+    """A model's vectors are of one chunking only."""
+
+    kind = "other_chunking"
+
+
+class WrongDimension(LecternError):
+    kind = "wrong_dimension"
+
+
+class CarriesWait(LecternError):
+    """Vectors of edited books that no embedding has taken over yet."""
+
+    kind = "carries_wait"
+
+
+class Damaged(LecternError):
+    """Parts that are missing or not what was recorded."""
+
+    kind = "damaged"
+
+    def __init__(self, said: str, missing: list[str], changed: list[str]) -> None:
+        super().__init__(f"{said}: missing {', '.join(missing) or 'none'}; changed {', '.join(changed) or 'none'}")
+        self.missing, self.changed = missing, changed
+
+
+class Cancelled(LecternError):
+    """A search that was told to stop."""
+
+    kind, exit_code = "cancelled", 130

@@ -14,14 +14,21 @@ from lectern.functions import text as X
 from lectern.operators import retrieval as R
 from lectern.plans._registry import query, table
 from lectern.plans.retrieval import FLAT, TOK
-from lectern.plans.stored import chunks, stored, vectors
+from lectern.plans.stored import chunks, materialise, stored
+from lectern.sources import readers
 
 K = 5
+#: Width of the model of words.
+DIM = 64
 ASKED, LEAST = 12, 7
 #: Words of a probe, and of how many texts one is taken.
 PROBE, EVERY = 9, 20
 
 
+#: A lambda, so that it is sent to workers by value. Each word adds 1 or -1 to one of ``DIM`` components, by its MD5; the sum is taken to unit length.
+word_vectors = lambda texts: R.hashed_words(texts, DIM)
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """query_id, terms, answer; items without such a word ask nothing."""
     t = X.tokens(F.col("text"))
@@ -33,29 +40,23 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 Q_SQL = f"""q AS (SELECT query_id, terms, answer FROM (SELECT item_id AS query_id, t[1:{ASKED}] AS terms,
   list_sort([(-length(w), w) for w in t[{ASKED + 1}:] if length(w) >= {LEAST}])[1] AS b, b[2] AS answer FROM (SELECT item_id, {TOK} AS t FROM benchmark)) WHERE b IS NOT NULL)"""
-#: Chunks that contain the answer, at the beginning of a word.
-HOLDS_SQL = "holds AS (SELECT DISTINCT query_id, doc_id AS chunk_id FROM q JOIN documents ON contains(lower(text), answer) AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])' || answer))"
+#: Chunks in which a word begins with the answer; texts are folded as questions are.
+WORDS_OF = f"SELECT DISTINCT doc_id AS chunk_id, source, unnest({TOK}) AS term FROM documents"
+HOLDS_SQL = f"tok AS ({WORDS_OF}), holds AS (SELECT DISTINCT query_id, chunk_id, source FROM q JOIN tok ON substr(term, 1, {LEAST}) = substr(answer, 1, {LEAST}) AND starts_with(term, answer))"
 
 
 def holders(spark: SparkSession, sf: str, asked: DataFrame) -> DataFrame:
-    """query_id, chunk_id of all chunks that contain a question's answer.
+    """query_id, chunk_id of all chunks in which a word begins with a question's answer.
 
-    All answers are looked for in one pass: a stated set of checked size against every text.
+    Answers are looked up in the index's dictionary by their first letters, and the words found in the postings: no text is read.
     """
-    n = asked.count()
-    out = None
-    for a in range(0, max(1, n), 4096):  # blocks of questions
-        part = asked if n <= 4096 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // 4096))) == a // 4096)
-        hit = chunks(spark, sf).select("chunk_id", F.lower("text").alias("low")).join(F.broadcast(part.select("query_id", "answer")), F.contains(F.col("low"), F.col("answer")))
-        hit = hit.filter(F.regexp_like("low", F.concat(F.lit(r"(^|[^\p{L}\p{N}_])"), F.col("answer")))).select("query_id", "chunk_id")
-        out = hit if out is None else out.unionByName(hit)
-    return out
-
-
-def answered(hits: DataFrame, asked: DataFrame, texts: DataFrame) -> DataFrame:
-    """query_id, at1, atk: whether the first of a question's hits (query_id, chunk_id, rank), or any, contains its answer. Only hits' texts are read."""
-    j = hits.join(asked.select("query_id", "answer"), "query_id").join(texts.select("chunk_id", "text"), "chunk_id")
-    ok = X.contains_term(F.col("text"), F.col("answer"))
+    return R.chunks_of_prefixes(stored(spark, sf, "terms"), stored(spark, sf, "postings"), asked.select("query_id", F.col("answer").alias("prefix")), LEAST)
+
+
+def answered(hits: DataFrame, held: DataFrame) -> DataFrame:
+    """query_id, at1, atk: whether the first of a question's hits (query_id, chunk_id, rank), or any, holds its answer."""
+    ok = F.col("ok").isNotNull()
+    j = hits.join(held.select("query_id", "chunk_id", F.lit(1).alias("ok")), ["query_id", "chunk_id"], "left")
     return j.groupBy("query_id").agg(F.max((ok & (F.col("rank") == 1)).cast("int")).alias("at1"), F.max(ok.cast("int")).alias("atk"))
 
 
@@ -64,9 +65,10 @@ def by_words(spark: SparkSession, sf: str, asked: DataFrame, k: int = K) -> Data
 
 
 def by_vector(spark: SparkSession, sf: str, asked: DataFrame, k: int = K) -> DataFrame:
-    """A question's vector is that of its number."""
-    v = vectors(spark, sf)
-    return R.flat_many(v, asked.join(v, F.col("query_id") == F.col("chunk_id")).select("query_id", F.col("embedding").alias("query")), k)
+    """Questions and chunks by the same model of words, so near ones share words."""
+    q = readers.embed(asked.select(F.col("query_id").alias("chunk_id"), F.concat_ws(" ", "terms").alias("text")), word_vectors, DIM)
+    v = stored(spark, sf, "word_vectors").select("chunk_id", "embedding")
+    return R.flat_many(v, q.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query")), k, digits=9)
 
 
 def fused(lists: list[DataFrame], k: int = K) -> DataFrame:
@@ -88,8 +90,16 @@ p AS (SELECT term, chunk_id, count(*)::DOUBLE AS tf, any_value(len) AS len FROM
 df AS (SELECT term, count(*)::DOUBLE AS df FROM p GROUP BY 1),
 w AS (SELECT query_id, chunk_id, sum(times * greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))) AS score FROM p JOIN df USING (term) JOIN asked USING (term), z GROUP BY 1, 2),
 words AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM w) WHERE rank <= {K})"""
-VECTOR_SQL = f"""near AS (SELECT * FROM (SELECT query_id, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(v.embedding, lambda x: x::DOUBLE)) DESC, e.vec_id) AS rank
-  FROM q JOIN embeddings v ON v.vec_id = query_id, embeddings e) WHERE rank <= {K})"""
+def _by_hash(words: str, key: str) -> str:
+    """The model of words in SQL: ``word_vectors`` of lists of words."""
+    counted = f"SELECT {key}, h[1:2] AS d, sum(CASE WHEN ('0x' || h[3])::INT % 2 = 1 THEN 1 ELSE -1 END) AS n FROM (SELECT {key}, md5(unnest(words)) AS h FROM ({words})) GROUP BY 1, 2"
+    dense = f"SELECT {key}, ('0x' || d)::INT % {DIM} AS d, sum(n) AS n FROM ({counted}) GROUP BY 1, 2"
+    return f"SELECT {key}, d, (n / sqrt(sum(n * n) OVER (PARTITION BY {key})::DOUBLE))::FLOAT::DOUBLE AS x FROM ({dense}) WHERE n <> 0"
+
+
+VECTOR_SQL = f"""nv AS ({_by_hash(f"SELECT doc_id AS chunk_id, {TOK} AS words FROM documents", "chunk_id")}), qv AS ({_by_hash("SELECT query_id, terms AS words FROM q", "query_id")}),
+every AS (SELECT query_id, doc_id AS chunk_id FROM q, documents), dots AS (SELECT query_id, chunk_id, sum(nv.x * qv.x) AS score FROM qv JOIN nv USING (d) GROUP BY 1, 2),
+near AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(score, 0), 9) DESC, chunk_id) AS rank FROM every LEFT JOIN dots USING (query_id, chunk_id)) WHERE rank <= {K})"""
 FUSED_SQL = f"""fused AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank FROM
   (SELECT query_id, chunk_id, sum(1::DOUBLE / (60 + rank) ORDER BY list) AS score, min(list) AS first FROM (SELECT *, 0 AS list FROM near UNION ALL SELECT *, 1 AS list FROM words) GROUP BY 1, 2)) WHERE rank <= {K})"""
 
@@ -108,11 +118,12 @@ SELECT band, count(*) AS questions, CAST(sum(coalesce(at1, 0)) AS BIGINT) AS rec
 def eval_recall_by_band(spark: SparkSession, sf: str) -> DataFrame:
     """Answerable questions by how much of their wording the first passage that answers shares: how many are answered first, or among five."""
     asked = questions(spark, sf)
-    least = holders(spark, sf, asked).groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id"))
+    held = holders(spark, sf, asked)
+    least = held.groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id"))
     sample = asked.join(least, "query_id").join(chunks(spark, sf).select("chunk_id", "text"), "chunk_id")
     share = X.overlap_share(F.concat_ws(" ", "terms"), F.col("text"))
     band = sample.select("query_id", F.when(share >= 0.5, "shares").otherwise("little").alias("band"))
-    found = answered(by_words(spark, sf, asked), asked, chunks(spark, sf))
+    found = answered(by_words(spark, sf, asked), held)
     return band.join(found, "query_id", "left").groupBy("band").agg(F.count(F.lit(1)).alias("questions"), F.sum(F.coalesce("at1", F.lit(0))).alias("recall_at_1"), F.sum(F.coalesce("atk", F.lit(0))).alias("recall_at_k"))
 
 
@@ -122,18 +133,19 @@ SELECT mode, count(*) AS questions, CAST(sum(coalesce(at1, 0)) AS BIGINT) AS rec
 def mode_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """The same questions by vectors, by words and by both: how many are answered first, or among five."""
     asked = questions(spark, sf)
-    near, words = by_vector(spark, sf, asked), by_words(spark, sf, asked)
-    answerable = holders(spark, sf, asked).select("query_id").distinct()
+    near, words = materialise(by_vector(spark, sf, asked)), materialise(by_words(spark, sf, asked))  # each is used twice
+    held = materialise(holders(spark, sf, asked))
+    answerable = held.select("query_id").distinct()
     modes = F.explode(F.array(*map(F.lit, ("vector", "lexical", "hybrid")))).alias("mode")
     found = None
     for mode, hits in (("vector", near), ("lexical", words), ("hybrid", fused([near, words]))):
-        one = answered(hits, asked, chunks(spark, sf)).withColumn("mode", F.lit(mode))
+        one = answered(hits, held).withColumn("mode", F.lit(mode))
         found = one if found is None else found.unionByName(one)
     j = answerable.select("query_id", modes).join(found, ["mode", "query_id"], "left")
     return j.groupBy("mode").agg(F.count(F.lit(1)).alias("questions"), F.sum(F.coalesce("at1", F.lit(0))).alias("recall_at_1"), F.sum(F.coalesce("atk", F.lit(0))).alias("recall_at_k"))
 
 
-@query(f"""WITH {Q_SQL}, {HOLDS_SQL}, h AS (SELECT query_id, count(*) AS chunks, count(DISTINCT source) AS books FROM holds JOIN documents ON doc_id = chunk_id GROUP BY 1)
+@query(f"""WITH {Q_SQL}, {HOLDS_SQL}, h AS (SELECT query_id, count(*) AS chunks, count(DISTINCT source) AS books FROM holds GROUP BY 1)
 SELECT CAST(trunc(median(books)) AS INT) AS redundancy, count(*) AS answerable, (SELECT count(*) FROM q) - count(*) AS unanswerable FROM h""")
 def answer_redundancy(spark: SparkSession, sf: str) -> DataFrame:
     """The median number of books that hold a question's answer, and how many questions have one."""

@@ -145,8 +145,8 @@ def quantise_int8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT vec_id AS chunk_id, round(list_dot_product(list_transform(d, lambda x: x * s / 127), q.v), 6) AS score FROM ({Q8}), (SELECT {QV} AS v) q ORDER BY list_dot_product(list_transform(d, lambda x: x * s / 127), q.v) DESC, 1 LIMIT {K}")
 def dequantised_search(spark: SparkSession, sf: str) -> DataFrame:
-    v = vectors(spark, sf).withColumn("embedding", V.dequantise(V.quantise(F.col("embedding")), V.scale_of(F.col("embedding"))))
-    return _rounded(R.flat(v, query_vector(spark, sf), K))
+    """The nearest by vectors that are stored as whole numbers of eight bits and a scale."""
+    return _rounded(R.flat_packed(stored(spark, sf, "packed"), query_vector(spark, sf), K))
 
 
 @query(f"SELECT vec_id AS chunk_id, list_aggregate(list_transform(w, lambda x: (round(x / sqrt(list_dot_product(w, w)) * 1000, 0))::INT::VARCHAR), 'string_agg', ',') AS head FROM (SELECT vec_id, {VEC}[1:16] AS w FROM embeddings)")

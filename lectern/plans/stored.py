@@ -7,8 +7,11 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import text as X
+from lectern.functions import vectors as V
 from lectern.operators import retrieval as R
 from lectern.plans._registry import table
+from lectern.sources import readers
 from lectern.store import Store, shared_dir
 
 #: The one model of the tables: ``embeddings``.
@@ -31,25 +34,46 @@ def _key(spark: SparkSession, sf: str) -> tuple[str, str]:
     return spark.sparkContext.applicationId, sf
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """A short frame that is used several times, written to the shared folder and read again."""
+    spark = df.sparkSession
+    return Store(spark, f"{shared_dir(spark)}/frames").keep(df)
+
+
 def _make(store: Store, name: str, spark: SparkSession, sf: str) -> None:
     if name == "postings":
-        store.replace(name, R.postings(chunks(spark, sf)))
+        rows = R.postings(chunks(spark, sf)).withColumns({c: F.lit(None).cast("bigint") for c in ("segment_id", "book_id")})
     elif name == "lengths":
-        store.replace(name, R.lengths(chunks(spark, sf)))
-    elif name == "vectors":
-        store.replace(name, vectors(spark, sf).withColumn("model", F.lit(MODEL)))
+        rows = R.lengths(chunks(spark, sf))
+    elif name == "terms":  # in order, so that a beginning of words is a run of rows
+        rows = R.terms_of(stored(spark, sf, "postings")).repartitionByRange("term").sortWithinPartitions("term")
+    elif name == "centroids":
+        rows = R.build_centroids(vectors(spark, sf)).withColumn("model", F.lit(MODEL))
+    elif name == "word_vectors":
+        from lectern.plans.evaluation import DIM, word_vectors
+
+        words = chunks(spark, sf).select("chunk_id", F.concat_ws(" ", X.tokens(F.col("text"))).alias("text"))
+        rows = readers.embed(words, word_vectors, DIM)
     else:
-        store.replace(name, R.build_centroids(vectors(spark, sf)).withColumn("model", F.lit(MODEL)))
+        rows = vectors(spark, sf)
+        if name == "packed":
+            p = V.packed(F.col("embedding"))
+            rows = rows.withColumn("p", p).select("chunk_id", "book_id", F.lit(None).cast("array<float>").alias("embedding"), "p.data", "p.scale")
+        else:
+            rows = rows.withColumns({"data": F.lit(None).cast("binary"), "scale": F.lit(None).cast("double")})
+        rows = rows.withColumns({"model": F.lit(MODEL), "segment_id": F.lit(None).cast("bigint")})
+    store.replace(name, rows)
 
 
 def stored(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table of the index: postings, lengths, vectors or centroids of whole tables."""
+    """A table of the index: postings, lengths, terms, vectors (packed, or of words) or centroids of whole tables."""
     key = _key(spark, sf)
     if key not in _OPEN:
         _OPEN[key] = Store(spark, f"{shared_dir(spark)}/index-{hashlib.sha256(sf.encode()).hexdigest()[:16]}")
     if not _OPEN[key].has(name):
         _make(_OPEN[key], name, spark, sf)
-    return _OPEN[key].read(name)
+    rows = _OPEN[key].read(name)
+    return rows.drop("segment_id") if "segment_id" in rows.columns else rows
 
 
 def size(spark: SparkSession, sf: str) -> tuple[int, float]:

@@ -120,8 +120,30 @@ def test_models_are_known_by_name(engine, tmp_path):
     with pytest.raises(E.BadOption):
         engine.know("x", role="cook")
     engine.drop_model("m-two")
-    assert models.prompts_for("nomic-bert")[1].format("x") == "search_query: x" and models.prompts_for(None) == ("{}", "{}")
-    assert [models.template_for(*a) for a in (("d/BGE-base.gguf",), ("x.gguf", "modern-bert"), ("x.gguf",), ("qwen.gguf", None))] == ["bge", "bge", "qwen3", "qwen3"]
+    files = engine.spark.createDataFrame([("d/BGE-base.gguf", None), ("x.gguf", "modern-bert"), ("x.gguf", None), ("qwen.gguf", None)], "file string, family string")
+    kinds = [r[0] for r in files.select(models.template(files.file, files.family)).collect()]
+    assert [k == models.TEMPLATES["bge"] for k in kinds] == [True, True, False, False]
+
+
+def test_a_models_prompts_are_used(spark, tmp_path):
+    said = tmp_path / "said"
+    said.mkdir()
+
+    def embed(texts, at=str(said)):
+        import pathlib
+        import uuid
+
+        pathlib.Path(at, uuid.uuid4().hex).write_text("\n".join(texts))
+        return [[1.0, 0.0] for _ in texts]
+
+    e = Engine(spark, str(tmp_path / "index"))
+    e.add(spark.createDataFrame([("k", "t", "s", "words here")], "key string, title string, shelf string, text string"))
+    e.know("n", family="nomic-bert", preferred=True)
+    e.embed("n", embed, 2)
+    e.search("who speaks", embed_query=embed, mode="vector")
+    assert {p.read_text() for p in said.iterdir()} == {"search_document: words here", "search_query: who speaks"}
+    e.know("r", role="rerank", path=None, family="bert")
+    assert e.template("r") == models.TEMPLATES["bge"] and e.template("n") is None
 
 
 def test_libraries_have_names(spark, engine, tmp_path):
