@@ -15,6 +15,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its name, with the SQL that gives the same rows."""
 
     def register(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql

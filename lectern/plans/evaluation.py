@@ -112,6 +112,23 @@ QWORDS = f"list_distinct([w for w in terms if length(w) >= 3 AND w NOT IN ({', '
 STEM = "CASE WHEN w LIKE '%ing' AND length(w) >= 7 THEN w[:-4] WHEN w LIKE '%ed' AND length(w) >= 6 THEN w[:-3] WHEN w LIKE '%es' AND length(w) >= 6 THEN w[:-3] WHEN w LIKE '%s' AND length(w) >= 5 THEN w[:-2] ELSE w END"
 
 
+@query(f"""WITH {Q_SQL}, {HOLDS_SQL}, n AS (SELECT query_id, count(*) AS chunks, count(DISTINCT source) AS books FROM holds GROUP BY 1)
+SELECT q.query_id, answer AS term, coalesce(chunks, 0) AS chunks, coalesce(books, 0) AS books FROM q LEFT JOIN n USING (query_id)""")
+def locate_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """In how many chunks and books a word begins with each question's answer."""
+    asked = questions(spark, sf)
+    held = holders(spark, sf, asked).join(chunks(spark, sf).select("chunk_id", "source"), "chunk_id")
+    n = held.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("source").alias("books"))
+    return asked.select("query_id", F.col("answer").alias("term")).join(n, "query_id", "left").fillna(0, ["chunks", "books"])
+
+
+@query(f"WITH {Q_SQL}, {HOLDS_SQL} SELECT DISTINCT query_id, answer AS term FROM q JOIN holds USING (query_id)")
+def answerable(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions whose answer the corpus holds; others say nothing of the search."""
+    asked = questions(spark, sf)
+    return asked.select("query_id", F.col("answer").alias("term")).join(holders(spark, sf, asked), "query_id", "left_semi")
+
+
 @query(f"""WITH {Q_SQL}, {HOLDS_SQL}, {WORDS_SQL}, least AS (SELECT query_id, min(chunk_id) AS chunk_id FROM holds GROUP BY 1),
 band AS (SELECT query_id, CASE WHEN len(c) > 0 AND len([w for w in c if contains(low, {STEM})]) / len(c) >= 0.5 THEN 'shares' ELSE 'little' END AS band FROM (SELECT query_id, {QWORDS} AS c, lower(text) AS low FROM q JOIN least USING (query_id) JOIN documents ON doc_id = chunk_id))
 SELECT band, count(*) AS questions, CAST(sum(coalesce(at1, 0)) AS BIGINT) AS recall_at_1, CAST(sum(coalesce(atk, 0)) AS BIGINT) AS recall_at_k FROM band LEFT JOIN {_recall_sql('words')} USING (query_id) GROUP BY band""")

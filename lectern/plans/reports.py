@@ -91,29 +91,6 @@ def query_terms(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_join(t, " ").alias("terms"), (F.size(X.tokens(F.col("text"))) > 1).alias("has_phrase"))
 
 
-TERMS = ("erblest", "haea", "schen", "queño", "idiot")
-
-
-LOCATED = f"SELECT term, count(doc_id) AS chunks, count(DISTINCT source) AS books FROM (SELECT unnest({list(TERMS)!r}) AS term) LEFT JOIN documents ON contains(lower(text), term) AND regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || term) GROUP BY term"
-
-
-@query(LOCATED)
-def locate_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """In how many chunks and books an answer's term starts a word. All terms in one pass."""
-    d = table(spark, sf, "documents")
-    hits = F.filter(F.array(*map(F.lit, TERMS)), lambda t: F.contains(F.lower(F.col("text")), t) & F.regexp_like(F.lower(F.col("text")), F.concat(F.lit(r"(^|[^\p{L}\p{N}_])"), t)))
-    found = d.select("source", F.explode(hits).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("source").alias("books"))
-    wanted = d.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, TERMS))).alias("term"))
-    return wanted.join(found, "term", "left").select("term", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("books", F.lit(0)).alias("books"))
-
-
-@query(f"SELECT CAST(coalesce(trunc(median(books)), 0) AS BIGINT) AS redundancy FROM ({LOCATED}) WHERE books > 0")
-def answer_redundancy(spark: SparkSession, sf: str) -> DataFrame:
-    """In how many books an answer lies, by the median of the answers that are there: how easy the choice of a book is."""
-    found = locate_terms(spark, sf).filter("books > 0")
-    return found.agg(F.coalesce(F.floor(F.median("books")), F.lit(0)).cast("bigint").alias("redundancy"))
-
-
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'eron') AND regexp_matches(lower(text), '(^|[^a-z0-9_])eron')")
 def contains_term(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter(X.contains_term(F.col("text"), F.lit("eron"))).select("doc_id")
@@ -151,8 +128,10 @@ def routing_recall(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy("query_id").agg(F.count_if(F.col("book_id") == F.col("wanted")).alias("kept"), F.count_if(F.col("book_id") == F.col("top_book")).alias("kept_flat_top"))
 
 
-CLAIMS = "(VALUES (1, 1, 'a “quoted”  text'), (2, 1, 'not there'), (3, 9, 'a \"quoted\" text'), (4, 2, 'fine')) t(claim_id, cited, quote)"
-PASSAGES = "(VALUES (1, 'It holds a \"quoted\" text.'), (2, 'All is ﬁne here')) t(rank, text)"
+#: Every turn as a claim that quotes a stretch of itself, with other quotes and dashes; a third cite the turn before, where it does not stand.
+CLAIMS = """SELECT conv_id * 1000 + turn AS claim_id, conv_id * 1000 + turn - CASE WHEN turn % 3 = 2 THEN 1 ELSE 0 END AS cited,
+  replace(replace(substr(text, 6, 60), '-', '–'), '''', '’') AS quote FROM conversations WHERE text <> ''"""
+PASSAGES = "SELECT conv_id * 1000 + turn AS rank, text FROM conversations WHERE text <> ''"
 
 
 def _plain_sql(c: str) -> str:
@@ -161,9 +140,14 @@ def _plain_sql(c: str) -> str:
     return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
 
 
-@query(f"SELECT claim_id, c.cited, quote, coalesce(contains({_plain_sql('p.text')}, {_plain_sql('quote')}), false) AS verified FROM (SELECT * FROM {CLAIMS}) c LEFT JOIN (SELECT * FROM {PASSAGES}) p ON p.rank = c.cited")
+@query(f"SELECT claim_id, c.cited, quote, coalesce(contains({_plain_sql('p.text')}, {_plain_sql('quote')}), false) AS verified FROM ({CLAIMS}) c LEFT JOIN ({PASSAGES}) p ON p.rank = c.cited")
 def verify_quotes(spark: SparkSession, sf: str) -> DataFrame:
-    return A.verify(spark.sql(f"SELECT * FROM {CLAIMS}"), spark.sql(f"SELECT * FROM {PASSAGES}"))
+    """Whether every claim's quote stands in the passage that it cites, whatever quotes and dashes either has."""
+    c = table(spark, sf, "conversations").filter("text <> ''")
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    quote = F.replace(F.replace(F.substring("text", 6, 60), F.lit("-"), F.lit("–")), F.lit("'"), F.lit("’"))
+    claims = c.select(number.alias("claim_id"), (number - F.when(F.col("turn") % 3 == 2, 1).otherwise(0)).alias("cited"), quote.alias("quote"))
+    return A.verify(claims, c.select(number.alias("rank"), "text"))
 
 
 @query(f"SELECT doc_id, {_plain_sql('text')} AS plain FROM documents")
@@ -220,7 +204,12 @@ def status_totals(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(F.broadcast(table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("vectors"))))  # one row each
 
 
-@query("SELECT name, CASE WHEN regexp_full_match(name, '[0-9]+[smh]?') THEN CAST(regexp_extract(name, '[0-9]+') AS BIGINT) * CASE right(name, 1) WHEN 'h' THEN 3600 WHEN 'm' THEN 60 ELSE 1 END END AS seconds FROM (VALUES ('90'), ('30m'), ('2h'), ('5s'), ('soon')) t(name)")
+NAMES = "SELECT DISTINCT (event_id % 300) || CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 's' WHEN 2 THEN 'm' WHEN 3 THEN 'h' ELSE ' ' || event_type END AS name FROM events"
+
+
+@query(f"SELECT name, CASE WHEN regexp_full_match(name, '[0-9]+[smh]?') THEN CAST(regexp_extract(name, '[0-9]+') AS BIGINT) * CASE right(name, 1) WHEN 'h' THEN 3600 WHEN 'm' THEN 60 ELSE 1 END END AS seconds FROM ({NAMES})")
 def parse_duration(spark: SparkSession, sf: str) -> DataFrame:
-    names = spark.range(1).select(F.explode(F.array(*map(F.lit, ("90", "30m", "2h", "5s", "soon")))).alias("name"))
-    return names.select("name", X.duration_seconds(F.col("name")).alias("seconds"))
+    """Every way in which the journal writes a length of time; null where it is none."""
+    i = F.col("event_id")
+    unit = F.when(i % 5 == 0, "").when(i % 5 == 1, "s").when(i % 5 == 2, "m").when(i % 5 == 3, "h").otherwise(F.concat(F.lit(" "), "event_type"))
+    return table(spark, sf, "events").select(F.concat((i % 300).cast("string"), unit).alias("name")).distinct().select("name", X.duration_seconds(F.col("name")).alias("seconds"))

@@ -10,7 +10,6 @@ from lectern.operators import corpus as C
 from lectern.operators import retrieval as R
 from lectern.plans._registry import query, table
 from lectern.plans.corpus import NEW, OLD, SIGNED, docs, snapshots
-from lectern.plans.reports import TERMS
 from lectern.plans.stored import vectors
 from lectern.sources import readers
 
@@ -76,13 +75,21 @@ def model_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return C.find_models(spark.sql(f"SELECT * FROM {WANTED}"), table(spark, sf, "events").select(F.col("event_type").alias("model")).distinct())
 
 
-REG_OLD = "(VALUES ('a', 768, NULL), ('b', 256, 'hub/b'), ('c', 64, NULL)) t(model, dim, source)"
-REG_NEW = "(VALUES ('a', 768, 'hub/a'), ('b', 512, 'hub/other'), ('d', 8, NULL)) t(model, dim, source)"
+#: Users of the journal as models: what even events said of them before, and what odd ones say now.
+REG_OLD = "SELECT user_id AS model, 64 * (1 + min(event_id) % 3) AS dim, CASE WHEN user_id % 2 = 0 THEN 'hub/' || user_id END AS source FROM events WHERE event_id % 2 = 0 GROUP BY user_id"
+REG_NEW = "SELECT user_id AS model, 64 * (1 + max(event_id) % 3) AS dim, CASE WHEN user_id % 3 > 0 THEN 'new/' || user_id END AS source FROM events WHERE event_id % 2 = 1 GROUP BY user_id"
 
 
-@query(f"SELECT model, coalesce(o.dim, n.dim) AS dim, coalesce(o.source, n.source) AS source, coalesce(o.dim <> n.dim, false) AS clash FROM (SELECT * FROM {REG_OLD}) o FULL JOIN (SELECT * FROM {REG_NEW}) n USING (model)")
+@query(f"SELECT model, coalesce(o.dim, n.dim) AS dim, coalesce(o.source, n.source) AS source, coalesce(o.dim <> n.dim, false) AS clash FROM ({REG_OLD}) o FULL JOIN ({REG_NEW}) n USING (model)")
 def register_model(spark: SparkSession, sf: str) -> DataFrame:
-    return C.registered(spark.sql(f"SELECT * FROM {REG_OLD}"), spark.sql(f"SELECT * FROM {REG_NEW}"))
+    """Models registered anew: what was known stays, gaps are filled, another dimension is a clash."""
+    e, user = table(spark, sf, "events"), F.col("user_id")
+
+    def known(odd: int, last, prefix: str, told) -> DataFrame:  # noqa: ANN001
+        dims = e.filter(F.col("event_id") % 2 == odd).groupBy(user.alias("model")).agg((64 * (1 + last("event_id") % 3)).alias("dim"))
+        return dims.withColumn("source", F.when(told(F.col("model")), F.concat(F.lit(prefix), F.col("model").cast("string"))))
+
+    return C.registered(known(0, F.min, "hub/", lambda m: m % 2 == 0), known(1, F.max, "new/", lambda m: m % 3 > 0))
 
 
 @query("SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings WHERE label <> 2")
@@ -162,20 +169,13 @@ def rendered_passages(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", X.rendered(F.col("turn") + 1, F.col("text")).alias("passage"))
 
 
-REPLIES = "(VALUES (1, 'Sure, here it is:\n- \"what carries the signal\"'), (2, 'too short'), (3, 'one way to ask it is this\nhow do cells speak to others?')) t(id, reply)"
+#: Turns as replies of a model: a preamble, then a line for each sentence.
+REPLIES = "SELECT conv_id, turn, 'Sure, here it is:' || chr(10) || '- \"' || replace(text, '. ', '.' || chr(10)) AS reply FROM conversations"
 
 
-@query(f"""SELECT id, coalesce([x for x in [regexp_replace(l, '^[ "“”*-]+|[ "“”*-]+$', '', 'g') for l in string_split(reply, chr(10))]
-  if len([w for w in regexp_split_to_array(x, '\\s+') if w <> '']) BETWEEN 3 AND 40 AND NOT regexp_matches(lower(x), '^(here|sure|one |a different|rephrase)')][1], '') AS question FROM {REPLIES}""")
+@query(f"""SELECT conv_id, turn, coalesce([x for x in [regexp_replace(l, '^[ "“”*-]+|[ "“”*-]+$', '', 'g') for l in string_split(reply, chr(10))]
+  if len([w for w in regexp_split_to_array(x, '\\s+') if w <> '']) BETWEEN 3 AND 40 AND NOT regexp_matches(lower(x), '^(here|sure|one |a different|rephrase)')][1], '') AS question FROM ({REPLIES})""")
 def rephrase_pick(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(1, 'Sure, here it is:\n- "what carries the signal"'), (2, "too short"), (3, "one way to ask it is this\nhow do cells speak to others?")]
-    return spark.createDataFrame(rows, "id int, reply string").select("id", X.rephrasing(F.col("reply")).alias("question"))
-
-
-@query(f"SELECT term FROM (SELECT unnest({[*TERMS, 'qqqqqq']!r}) AS term) WHERE EXISTS (SELECT 1 FROM documents WHERE contains(lower(text), term) AND regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || term))")
-def answerable(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers that the corpus holds; questions about others say nothing of the search."""
-    low = F.lower("text")
-    wanted = [*TERMS, "qqqqqq"]
-    found = docs(spark, sf).agg(*[F.bool_or(F.contains(low, F.lit(t)) & low.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){t}")).alias(t) for t in wanted])  # one row
-    return found.select(F.explode(F.filter(F.array(*[F.when(F.col(t), F.lit(t)) for t in wanted]), lambda x: x.isNotNull())).alias("term"))
+    """The question that is picked from each reply."""
+    reply = F.concat(F.lit('Sure, here it is:\n- "'), F.replace("text", F.lit(". "), F.lit(".\n")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.rephrasing(reply).alias("question"))
