@@ -217,7 +217,7 @@ class Engine:
             words = self._posted(new)
             rows = new_segments.withColumn("chunking_id", F.lit(chunking)).join(words, "segment_id", "left").fillna(0, ["words"])
             self.store.replace("segments", segments.join(edited, "book_id", "left_anti").unionByName(rows.select(*segments.columns)))
-            moved = self.store.keep(found.join(j.filter("status = 'moved'").select("key", F.col("moved_id").alias("book_id")), "key"))
+            moved = found.join(j.filter("status = 'moved'").select("key", F.col("moved_id").alias("book_id")), "key")
             at_new = moved.select("book_id", "ordinal", F.col("path").alias("new_path"), F.col("mtime").alias("new_mtime"))
             kept = sources.join(edited, "book_id", "left_anti").join(at_new, ["book_id", "ordinal"], "left")
             kept = kept.withColumn("path", F.coalesce("new_path", "path")).withColumn("mtime", F.coalesce("new_mtime", "mtime")).select(*sources.columns)

@@ -17,6 +17,7 @@ from lectern.store import Store
 from lectern.streaming import incremental as S
 
 COLUMNS = "key string, title string, shelf string, text string"
+pytestmark = pytest.mark.usefixtures("small_plans")
 vectors = lambda texts: [[b / 255 for b in hashlib.sha256(t.encode()).digest()[:8]] for t in texts]
 
 

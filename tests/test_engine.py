@@ -7,6 +7,7 @@ import pytest
 from lectern import errors as E
 from lectern.engine import Engine
 
+pytestmark = pytest.mark.usefixtures("small_plans")
 COLUMNS = "key string, title string, shelf string, text string"
 
 

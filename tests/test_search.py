@@ -11,6 +11,7 @@ from lectern.operators import answers as A
 from lectern.registry import Registry, checked_name
 from lectern.sources import models
 
+pytestmark = pytest.mark.usefixtures("small_plans")
 vectors = lambda texts: [[b / 255 for b in hashlib.sha256(t.encode()).digest()[:8]] for t in texts]
 TEXT = "The first sentence is plain. Neurons é speak by spikes. Glia keep the house in order.\n\n"
 
