@@ -13,6 +13,7 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, fields
+from functools import wraps
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -122,6 +123,33 @@ class Summary:
     failed: str | None = None
 
 
+@dataclass(frozen=True)
+class Evaluation:
+    """``rows``: q, kind, band, at1, atk of each question; ``took``: milliseconds of each search, ascending."""
+
+    rows: DataFrame
+    took: tuple[float, ...]
+
+    def tallies(self) -> DataFrame:
+        """kind, band, questions, recall_at_1, recall_at_k."""
+        return self.rows.groupBy("kind", "band").agg(F.count(F.lit(1)).alias("questions"), F.sum("at1").alias("recall_at_1"), F.sum("atk").alias("recall_at_k"))
+
+    def quantile(self, share: float) -> float:
+        """Milliseconds that so large a share of the searches stayed within."""
+        return self.took[min(len(self.took) - 1, int(share * len(self.took)))] if self.took else 0.0
+
+
+def _whole(change: Callable) -> Callable:
+    """A change that is worked out from one commit; refused if another of the same tables comes meanwhile."""
+
+    @wraps(change)
+    def run(self, *args: object, **more: object):  # noqa: ANN001, ANN202
+        with self.store.change():
+            return change(self, *args, **more)
+
+    return run
+
+
 class Engine:
     def __init__(self, spark: SparkSession, path: str, target: int = C.TARGET, overlap: int = 0) -> None:
         self.spark, self.store, self.target, self.overlap = spark, Store(spark, path), target, overlap
@@ -161,6 +189,7 @@ class Engine:
         none = [F.lit(None).cast("bigint").alias("size_bytes"), F.lit(None).cast("timestamp").alias("mtime")]
         return self.add_parts(found.select("key", "title", "shelf", F.col("key").alias("path"), "text", *none), whole)
 
+    @_whole
     def add_parts(self, found: DataFrame, whole: bool = False, all_keys: DataFrame | None = None) -> DataFrame:
         """Take in books (key, title, shelf, path, text, size_bytes, mtime; a row a file); key, status of each.
 
@@ -192,6 +221,8 @@ class Engine:
         else:
             j = j.withColumn("moved_id", F.lit(None).cast("bigint"))
         j = self.store.keep(j)
+        if not j.filter("status <> 'unchanged'").head(1):
+            return j.select("key", "status")
         ids = self._numbered(j.filter("status = 'added'").select("key"), mark["books"])
         ids = ids.unionByName(j.filter("status IN ('updated', 'rechunked')").select("key", F.col("old_id").alias("book_id")))
         parts = found.join(ids, "key").join(j.select("key", "status"), "key")
@@ -234,6 +265,7 @@ class Engine:
             self.store.replace("marks", self.spark.createDataFrame([tuple(top)], SCHEMAS["marks"]))
         return j.select("key", "status")
 
+    @_whole
     def take_batch(self, stream: str, number: int, found: DataFrame) -> bool:
         """Take in a batch of a stream (key, title, shelf, text, at) once: False, and nothing changes, if a batch of its number or a later one has been taken.
 
@@ -283,6 +315,7 @@ class Engine:
         made = self.store.append("postings", R.postings(chunks, ("segment_id", "book_id")))
         return made.groupBy("segment_id").agg(F.sum("tf").alias("words"))
 
+    @_whole
     def index_words(self) -> None:
         """Index the words of all chunks anew, where an index has none or an old one."""
         with self.store.change():
@@ -373,9 +406,7 @@ class Engine:
 
     def waiting(self) -> DataFrame:
         """Carries that no embedding has taken over yet."""
-        s = self._standing().filter("n_embedded < chunk_count").select("model", "segment_id", (F.col("chunk_start") + F.col("n_embedded")).alias("from"))
-        rows = self.store.read("carries")
-        return rows.join(s, ["model", "segment_id"]).filter(F.col("chunk_id") >= F.col("from")).select(*rows.columns)
+        return S.waiting(self._standing(), self.store.read("carries"))
 
     def chunkings(self) -> DataFrame:
         """Every way the library is split, with its segments and chunks."""
@@ -388,12 +419,14 @@ class Engine:
             books = books.join(chosen, "book_id", "left_semi")
         return C.outstanding(books.select("book_id", F.col("live").alias("n")), books.select("book_id", "done"))
 
+    @_whole
     def quantise(self, model: str) -> None:
         """Keep a model's vectors as whole numbers of eight bits and a scale: a quarter of the bytes. Its later vectors are kept so too."""
         name = self.model(model)
         rows = self._vectors(name)
         self._rewritten(name, _pack(rows.drop("model")).withColumn("model", F.lit(name)), quantisation=F.lit("int8"))
 
+    @_whole
     def truncate(self, model: str, dim: int) -> None:
         """Keep the first ``dim`` components of a model's vectors, at unit length, and of its questions; its profile goes, as it no longer fits."""
         name = self.model(model)
@@ -424,6 +457,7 @@ class Engine:
         kinds = self.spark.createDataFrame([], SCHEMAS[name]).schema
         self.store.append(name, at.select(*[F.col(f.name).cast(f.dataType) for f in kinds]))
 
+    @_whole
     def know(self, model: str, role: str = "embed", alias: str | None = None, preferred: bool = False, source: str | None = None, path: str | None = None, family: str | None = None) -> None:
         """Remember a model: its other name, whether it is the preferred one of its role, its family (by which it is prompted), and where its weights are, with their digest."""
         if role not in models.ROLES:
@@ -473,6 +507,7 @@ class Engine:
             raise E.AmbiguousModel(fit)
         return fit[0]
 
+    @_whole
     def route(self, model: str | None = None, k: int = 16) -> None:
         """Profile every embedded book of a model anew."""
         name = self.model(model)
@@ -512,7 +547,8 @@ class Engine:
         frames = frames or Frames()
         try:
             o = SearchOptions.of(**options)
-            found = self._search(question, o, embed_query, score, expand, embed_documents, frames)
+            with self.store.pinned():
+                found = self._search(question, o, embed_query, score, expand, embed_documents, frames)
         except BaseException as e:
             frames.end(e)
             raise
@@ -697,6 +733,28 @@ class Engine:
             self._log("summaries", question=question, record=json.dumps(said, ensure_ascii=False))
         return made
 
+    def evaluate(self, questions: DataFrame, embed_query: EmbedFn | None = None, **options: object) -> Evaluation:
+        """Ask each of a set of questions (q, a, kind) as a reader would, one search a question, and see whether a hit holds its answer.
+
+        Answers and texts are folded alike; an answer counts at the beginning of a word. Only the searches are timed. A question whose answer
+        is in no chunk is unanswerable and says nothing of the search.
+        """
+        asked = questions.select("q", "a", "kind", X.tokens(F.col("a")).alias("words")).collect()  # a set that a person wrote
+        of_model = None if options.get("mode") == "lexical" else self.store.read("models").filter(F.col("model") == self.model(options.get("model"))).first()
+        chunking = of_model["chunking_id"] if of_model else self._chunking() or self.chunkings().first()["chunking_id"]
+        index = self.store.read("postings").join(C.searchable(self.table("segments").filter(F.col("chunking_id") == chunking), self.table("books")).select("segment_id"), "segment_id", "left_semi")
+        rows, took = [], []
+        for n, r in enumerate(asked):
+            held = R.first_holder(index, r["words"])
+            text = None if held is None else self.store.read("chunks").filter(F.col("chunk_id") == held).first()["text"]
+            found = self.search(r["q"], embed_query, record=False, **options)
+            took.append(found.elapsed_ms)
+            holds = X.contains_term(X.fold(F.col("text")), X.fold(F.lit(r["a"])))
+            ranks = sorted(h["rank"] for h in found.hits.filter(holds).select("rank").collect())  # at most k
+            rows.append((n, r["q"], r["kind"] or "lookup", text, int(ranks[:1] == [1]), int(bool(ranks))))
+        made = self.spark.createDataFrame(rows, "n int, q string, kind string, text string, at1 int, atk int")
+        return Evaluation(made.select("q", "kind", R.band(F.col("q"), F.col("text")).alias("band"), "at1", "atk"), tuple(sorted(took)))
+
     def _lexical(self, question: str, split: DataFrame, scoped: DataFrame, seen: DataFrame, want: int) -> DataFrame:
         """The phrase over all books that are not set aside, then any of its words within scope: chunk_id, rank. Sizes come from the catalogue of segments."""
         terms = self.spark.range(1).select(F.filter(X.tokens(F.lit(question)), lambda t: (F.length(t) > 1) | t.rlike(r"^\d$"))).first()[0]
@@ -735,9 +793,7 @@ class Engine:
 
     def failures(self) -> DataFrame:
         """Of each model: chunks that it could not read, and vectors that wait to be taken over."""
-        bad = self.table("failures").groupBy("model").agg(F.count(F.lit(1)).alias("failures"))
-        carries = self.waiting().groupBy("model").agg(F.count(F.lit(1)).alias("carries"))
-        return self.store.read("models").select("model").join(bad, "model", "left").join(carries, "model", "left").fillna(0)
+        return S.troubles(self.store.read("models"), self.table("failures"), self.waiting())
 
     def check(self) -> DataFrame:
         """One row of counts, and the next step. Only catalogues are read."""
@@ -797,6 +853,7 @@ class Engine:
             raise E.UnknownBook("not all of these books are there")
         return named
 
+    @_whole
     def set_aside(self, keys: list[str] | None = None, shelf: str | None = None, excluded: bool = True) -> int:
         """Keep books out of every search, or let them back; how many rows changed."""
         named, books = self._named(keys, shelf), self.table("books")
@@ -804,11 +861,13 @@ class Engine:
         self.store.replace("books", books.withColumn("excluded", F.when(named, excluded).otherwise(F.col("excluded"))))
         return n
 
+    @_whole
     def describe(self, key: str, label: str | None = None, note: str | None = None) -> None:
         named, books = self._named([key], None), self.table("books")
         given = {c: F.when(named, v).otherwise(F.col(c)) for c, v in (("label", label), ("note", note)) if v is not None}
         self.store.replace("books", books.withColumns(given))
 
+    @_whole
     def remove(self, keys: list[str] | None = None, shelf: str | None = None) -> int:
         """Forget books. What they owned is not seen any more; ``compact`` drops it. Only catalogues are written."""
         gone = self.store.keep(self.table("books").filter(self._named(keys, shelf)).select("book_id"))
@@ -824,6 +883,7 @@ class Engine:
         of = lambda rows, n, name: rows.join(gone, "book_id", "left_semi").agg(F.coalesce(F.sum(n), F.lit(0)).alias(name))
         return b.join(F.broadcast(of(self.table("segments"), "chunk_count", "chunks"))).join(F.broadcast(of(self._standing(), "n_embedded", "vectors")))  # one row each
 
+    @_whole
     def relocate(self, old: str, new: str) -> None:
         """Books and files below ``old`` are below ``new`` now."""
         books, sources = self.table("books"), self.table("sources")
@@ -841,8 +901,7 @@ class Engine:
         if n := self.waiting().count():
             raise E.CarriesWait(f"{n} vectors of edited books wait: embed first")
         owned = ("chunks", "postings", "vectors", "failures")
-        listed = {t: self.store.parts().get(t) for t in (*owned, "segments", "models", "progress")}
-        made_from = hashlib.sha256(json.dumps(listed, sort_keys=True).encode()).hexdigest()
+        made_from = self._shape()
         done = {r["step"]: r["made_from"] for r in self.store.read("compaction").collect()}  # a row a step
         segments = self.table("segments")
         if done.get("plan") != made_from:
@@ -871,6 +930,8 @@ class Engine:
                     self._step(made_from, step, made)
         dead = (self.store.read("marks").first() or {"chunks": 0})["chunks"] - live
         with self.store.change():
+            if self._shape() != made_from:
+                raise E.Busy("the library changed during the compaction")
             for name in owned:
                 self.store.take_over(name)
             self.store.replace("segments", segments.join(moves.select("segment_id", "new_start"), "segment_id", "left").withColumn("chunk_start", F.coalesce("new_start", F.lit(1))).select(*segments.columns))
@@ -880,6 +941,11 @@ class Engine:
         self.store.tidy()
         return dead
 
+    def _shape(self) -> str:
+        """What a compaction starts from."""
+        listed = {t: self.store.parts().get(t) for t in ("chunks", "postings", "vectors", "failures", "segments", "models", "progress")}
+        return hashlib.sha256(json.dumps(listed, sort_keys=True).encode()).hexdigest()
+
     def _between(self, moves: DataFrame, low: int, high: int) -> int:
         """How many live ids lie from ``low`` to ``high``."""
         n = F.least(F.col("chunk_start") + F.col("chunk_count") - 1, F.lit(high)) - F.greatest("chunk_start", F.lit(low)) + 1
@@ -889,6 +955,7 @@ class Engine:
         row = self.spark.createDataFrame([(made_from, step, rows)], SCHEMAS["compaction"])
         (self.store.replace if first else self.store.append)("compaction", row)
 
+    @_whole
     def drop_model(self, model: str) -> None:
         with self.store.change():
             for name in ("vectors", "centroids", "failures", "progress", "carries", "models"):

@@ -114,9 +114,9 @@ def distinctive_phrase(text: Column, n: int = 9) -> Column:
 
 
 def contains_term(text: Column, term: Column) -> Column:
-    """Whether a term starts at a word boundary; the substring test comes first, as it is cheap."""
+    """Whether a term starts at a word boundary, by the letters of any script; only texts that hold it are looked at for that."""
     low = F.lower(text)
-    return F.contains(low, F.lower(term)) & F.regexp_like(low, F.concat(F.lit(r"\b\Q"), F.lower(term), F.lit(r"\E")))
+    return F.contains(low, F.lower(term)) & F.regexp_like(low, F.concat(F.lit(r"(?U)\b\Q"), F.lower(term), F.lit(r"\E")))
 
 
 def duration_seconds(text: Column) -> Column:

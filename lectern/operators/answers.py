@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import accumulate, takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ REFUSAL = "NO ANSWER IN PASSAGES"
 _CITED = re.compile(r'["“”](.{2,}?)["“”]\s*\[(\d+)\]', re.S)
 _BARE = re.compile(r'(?<!["“”])\s*\[(\d+)\]')
 _SENTENCE = re.compile(r"[.!?]\s+|\n")
+_WHOLE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+$")
 REMOVED = "[unverifiable quotation removed]"
 PARAPHRASE = "[paraphrase, not in the source]"
 #: What an injected model is asked for when a search needs other words.
@@ -92,22 +94,39 @@ def parse_expansion(reply: str | None, instruction: str = "", most: int = 3) ->
     return out
 
 
-def best_extract(text: str, terms: list[str], limit: int = 700) -> tuple[str, bool, bool]:
-    """The run of sentences of at most ``limit`` characters with the most hits; whether it was cut before and after."""
-    parts = [m.span() for m in re.finditer(r"[^.!?]+[.!?]*\s*", text)]
-    if not parts:
+def sentences(text: str) -> list[str]:
+    """A text cut after the signs that end sentences and the white space behind them; what is blank is left out."""
+    return [x for x in _WHOLE.findall(text) if x.strip()] or ([text] if text else [])
+
+
+def best_extract(text: str | None, terms: list[str], limit: int = 700) -> tuple[str, bool, bool]:
+    """The run of whole sentences within ``limit`` characters in which most terms stand; whether something was cut before it and after it.
+
+    A text that fits is shown whole, and one without terms by its opening. Of runs with as many hits the first stays, unless a
+    later one is longer by two sentences or more; a single sentence may be longer than the limit.
+    """
+    text = text or ""
+    if not terms or len(text) <= limit:
         return text[:limit], False, len(text) > limit
-    hits = [sum(t in text[a:b].lower() for t in terms) for a, b in parts]
-    best, where = (-1, -1), (0, min(len(text), limit))
-    for i, (a, _) in enumerate(parts):
-        n = 0
-        for j in range(i, len(parts)):
-            if parts[j][1] - a > limit:
-                break
-            n += hits[j]
-            if (n, parts[j][1] - a) > best:
-                best, where = (n, parts[j][1] - a), (a, parts[j][1])
-    return text[where[0] : where[1]].strip(), where[0] > 0, where[1] < len(text)
+    parts = sentences(text)
+    hits = [sum(t in p.lower() for t in terms) for p in parts]
+    best = (-1, 0, 1)  # hits, first sentence, how many
+    for i in range(len(parts)):
+        runs = zip(accumulate(len(p) for p in parts[i:]), accumulate(hits[i:]), strict=True)
+        for n, (_, found) in enumerate(takewhile(lambda r, i=i: r[0] <= limit or r[0] == len(parts[i]), runs), 1):
+            if found > best[0] or (found == best[0] and n > best[2] + 1):
+                best = found, i, n
+    _, i, n = best
+    return "".join(parts[i : i + n]).strip(), i > 0, i + n < len(parts)
+
+
+EXTRACT = T.StructType([T.StructField("extract", T.StringType()), T.StructField("cut_before", T.BooleanType()), T.StructField("cut_after", T.BooleanType())])
+
+
+@F.pandas_udf(EXTRACT)
+def extracts(texts: pd.Series, terms: pd.Series) -> pd.DataFrame:
+    """``best_extract`` of texts, each with its own terms."""
+    return pd.DataFrame([best_extract(t, list(w)) for t, w in zip(texts, terms, strict=True)], columns=EXTRACT.fieldNames())
 
 
 def _plain(text: str) -> str:

@@ -72,6 +72,18 @@ def of_books(standings: DataFrame) -> DataFrame:
     return standings.groupBy("model", "book_id").agg(F.sum("chunk_count").alias("live"), F.sum("n_embedded").alias("done"))
 
 
+def waiting(standings: DataFrame, carries: DataFrame) -> DataFrame:
+    """Carries (model, chunk_id, segment_id, ...) that no embedding has come to yet."""
+    left = standings.filter("n_embedded < chunk_count").select("model", "segment_id", (F.col("chunk_start") + F.col("n_embedded")).alias("from"))
+    return carries.join(left, ["model", "segment_id"]).filter(F.col("chunk_id") >= F.col("from")).select(*carries.columns)
+
+
+def troubles(models: DataFrame, failures: DataFrame, carries: DataFrame) -> DataFrame:
+    """model, failures, carries of every model, those without any too."""
+    n = lambda rows, name: rows.groupBy("model").agg(F.count(F.lit(1)).alias(name))
+    return models.select("model").join(n(failures, "failures"), "model", "left").join(n(carries, "carries"), "model", "left").fillna(0, ["failures", "carries"])
+
+
 def identity(sources: DataFrame, by: str) -> DataFrame:
     """``by``, content (the hash of its files' hashes in order; of a single file its own), paths (of their names), size_bytes: what a book is. As long as its list of files."""
     held = sources.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ordinal", "path", "content_sha256"))).alias("s"), F.sum("size_bytes").alias("size_bytes"))

@@ -95,6 +95,20 @@ def next_step_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+#: Every fiftieth id that is embedded failed; every fortieth id of a chunking has a vector from before an edit.
+IDS = f"SELECT model, chunk_start + n_embedded AS next, unnest(range(chunk_start, chunk_start + chunk_count)) AS chunk_id FROM ({STANDING}) WHERE model <> 'new'"
+
+
+@query(f"""SELECT m.model, count(*) FILTER (WHERE chunk_id % 50 = 0 AND chunk_id < next) AS failures, count(*) FILTER (WHERE chunk_id % 40 = 0 AND chunk_id >= next) AS carries
+  FROM (VALUES ('fine'), ('wide'), ('new')) m(model) LEFT JOIN ({IDS}) i ON i.model = m.model GROUP BY m.model""")
+def troubles_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks that each model could not read, and vectors that still wait to be taken over; the model that has none has zeros."""
+    s, known = standings(spark, sf).filter("model <> 'new'"), spark.createDataFrame([(m,) for m in MODELS], "model string")
+    every = s.filter("chunk_count > 0").select("model", "segment_id", F.explode(F.sequence(F.col("chunk_start"), F.col("chunk_start") + F.col("chunk_count") - 1)).alias("chunk_id"))
+    failed = C.owners(every.filter("chunk_id % 50 = 0").select(F.col("model").alias("of"), "chunk_id"), S.embedded(s)).filter("of = model")
+    return S.troubles(known, failed, S.waiting(s, every.filter("chunk_id % 40 = 0")))
+
+
 #: Two states of books of several files: later, of books 10k+3 the first file differs, 10k+5 are gone, 10k+7 have another key, of 10k+9 two files changed places; 10k+1 are not split this way yet.
 WAS = "SELECT 'c' || conv_id AS key, conv_id, turn AS ordinal, 'f' || turn AS path, sha256(text) AS h FROM conversations"
 NOW = """SELECT CASE WHEN conv_id % 10 = 7 THEN 'm' ELSE 'c' END || conv_id AS key, conv_id, CASE WHEN conv_id % 10 = 9 AND turn < 2 THEN 1 - turn ELSE turn END AS ordinal, 'f' || turn AS path,

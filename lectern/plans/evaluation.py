@@ -144,6 +144,30 @@ def eval_recall_by_band(spark: SparkSession, sf: str) -> DataFrame:
     return band.join(found, "query_id", "left").groupBy("band").agg(F.count(F.lit(1)).alias("questions"), F.sum(F.coalesce("at1", F.lit(0))).alias("recall_at_1"), F.sum(F.coalesce("atk", F.lit(0))).alias("recall_at_k"))
 
 
+#: Questions whose answer is a long word are of one kind, others of another.
+LONG = 10
+
+
+@query(f"""WITH {Q_SQL}, {HOLDS_SQL}, {WORDS_SQL}, least AS (SELECT query_id, min(chunk_id) AS chunk_id FROM holds GROUP BY 1),
+band AS (SELECT query_id, kind, CASE WHEN low IS NULL THEN 'unanswerable' WHEN len(c) > 0 AND len([w for w in c if contains(low, {STEM})]) / len(c) >= 0.5 THEN 'shares' ELSE 'little' END AS band
+  FROM (SELECT query_id, CASE WHEN length(answer) >= {LONG} THEN 'long' ELSE 'short' END AS kind, {QWORDS} AS c, lower(text) AS low FROM q LEFT JOIN least USING (query_id) LEFT JOIN documents ON doc_id = chunk_id))
+SELECT kind, band, count(*) AS questions, CAST(sum(coalesce(at1, 0)) AS BIGINT) AS recall_at_1, CAST(sum(coalesce(atk, 0)) AS BIGINT) AS recall_at_k FROM band LEFT JOIN {_recall_sql('words')} USING (query_id) GROUP BY kind, band""")
+def eval_tallies(spark: SparkSession, sf: str) -> DataFrame:
+    """All questions by kind, and by how much of their wording the first passage that answers shares, or that none does."""
+    asked = questions(spark, sf)
+    held = materialise(holders(spark, sf, asked))
+    sample = held.groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id")).join(chunks(spark, sf).select("chunk_id", "text"), "chunk_id").select("query_id", "text")
+    j = asked.join(sample, "query_id", "left").join(answered(by_words(spark, sf, asked), held), "query_id", "left")
+    kind = F.when(F.length("answer") >= LONG, "long").otherwise("short").alias("kind")
+    return tallies(j.select(kind, R.band(F.concat_ws(" ", "terms"), F.col("text")).alias("band"), "at1", "atk"))
+
+
+def tallies(rows: DataFrame) -> DataFrame:
+    """Rows (kind, band, at1, atk) counted."""
+    got = lambda c: F.sum(F.coalesce(c, F.lit(0))).cast("bigint")
+    return rows.groupBy("kind", "band").agg(F.count(F.lit(1)).alias("questions"), got("at1").alias("recall_at_1"), got("atk").alias("recall_at_k"))
+
+
 @query(f"""WITH {Q_SQL}, {HOLDS_SQL}, {WORDS_SQL}, {VECTOR_SQL}, {FUSED_SQL}, answerable AS (SELECT DISTINCT query_id FROM holds),
 r AS (SELECT 'vector' AS mode, * FROM {_recall_sql('near')} UNION ALL SELECT 'lexical' AS mode, * FROM {_recall_sql('words')} UNION ALL SELECT 'hybrid' AS mode, * FROM {_recall_sql('fused')})
 SELECT mode, count(*) AS questions, CAST(sum(coalesce(at1, 0)) AS BIGINT) AS recall_at_1, CAST(sum(coalesce(atk, 0)) AS BIGINT) AS recall_at_k FROM (SELECT unnest(['vector', 'lexical', 'hybrid']) AS mode), answerable LEFT JOIN r USING (mode, query_id) GROUP BY mode""".replace("(SELECT unnest(['vector', 'lexical', 'hybrid']) AS mode), answerable", "(SELECT * FROM (SELECT unnest(['vector', 'lexical', 'hybrid']) AS mode), answerable)"))

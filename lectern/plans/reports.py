@@ -91,7 +91,7 @@ def query_terms(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_join(t, " ").alias("terms"), (F.size(X.tokens(F.col("text"))) > 1).alias("has_phrase"))
 
 
-@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'eron') AND regexp_matches(lower(text), '(^|[^a-z0-9_])eron')")
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'eron') AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])eron')")
 def contains_term(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter(X.contains_term(F.col("text"), F.lit("eron"))).select("doc_id")
 
@@ -213,3 +213,27 @@ def parse_duration(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("event_id")
     unit = F.when(i % 5 == 0, "").when(i % 5 == 1, "s").when(i % 5 == 2, "m").when(i % 5 == 3, "h").otherwise(F.concat(F.lit(" "), "event_type"))
     return table(spark, sf, "events").select(F.concat((i % 300).cast("string"), unit).alias("name")).distinct().select("name", X.duration_seconds(F.col("name")).alias("seconds"))
+
+
+@query(f"""SELECT doc_id, array_to_string(['"' || t || '"' for t in terms], ' OR ') AS any_word, CASE WHEN len(terms) >= 2 THEN '"' || array_to_string(terms, ' ') || '"' ELSE '' END AS phrase
+  FROM (SELECT doc_id, [t for t in regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') if length(t) > 1 OR regexp_full_match(t, '[0-9]')] AS terms FROM documents)""")
+def match_strings(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text as a question in the language of an index of words: any of its words, and all as a phrase."""
+    t = table(spark, sf, "documents").select("doc_id", X.query_terms(F.col("text")).alias("t"))
+    return t.select("doc_id", X.or_query(F.col("t")).alias("any_word"), X.phrase_query(F.col("t")).alias("phrase"))
+
+
+@query("""SELECT doc_id, CASE WHEN len(w) >= 18 THEN array_to_string(w[len(w) // 4 + 1 : len(w) // 4 + 9], ' ') END AS phrase
+  FROM (SELECT doc_id, [x for x in regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+') if x <> ''] AS w FROM documents)""")
+def distinctive_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Nine words from a quarter into every text."""
+    return table(spark, sf, "documents").select("doc_id", X.distinctive_phrase(F.col("text")).alias("phrase"))
+
+
+@query()
+def best_extracts(spark: SparkSession, sf: str) -> DataFrame:
+    """What to show of every turn for the words of its conversation's first turn; tested against a plain version over whole texts."""
+    c = table(spark, sf, "conversations")
+    first = c.filter("turn = 0").groupBy("conv_id").agg(F.min("text").alias("question")).select("conv_id", X.marked_terms(F.col("question")).alias("terms"))
+    e = c.join(first, "conv_id").select("conv_id", "turn", A.extracts(F.col("text"), F.col("terms")).alias("e"))
+    return e.select("conv_id", "turn", "e.*")

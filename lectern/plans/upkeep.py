@@ -10,6 +10,7 @@ from lectern.operators import corpus as C
 from lectern.operators import retrieval as R
 from lectern.plans._registry import query, table
 from lectern.plans.corpus import NEW, OLD, SIGNED, docs, snapshots
+from lectern.plans.reports import RUNS, runs
 from lectern.plans.stored import vectors
 from lectern.sources import readers
 
@@ -92,6 +93,14 @@ def register_model(spark: SparkSession, sf: str) -> DataFrame:
     return C.registered(known(0, F.min, "hub/", lambda m: m % 2 == 0), known(1, F.max, "new/", lambda m: m % 3 > 0))
 
 
+@query(f"SELECT model, dim, count(id) AS runs, CAST(coalesce(sum(embedded), 0) AS BIGINT) AS embedded FROM ({REG_NEW}) LEFT JOIN (SELECT * FROM ({RUNS}) WHERE seconds > 90 AND embedded > 480) ON model_id = model GROUP BY model, dim")
+def runs_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Every model that odd events name with its long runs; one without any has zeros."""
+    e = table(spark, sf, "events").filter("event_id % 2 = 1").groupBy(F.col("user_id").alias("model")).agg((64 * (1 + F.max("event_id") % 3)).alias("dim"))
+    n = runs(spark, sf).filter("seconds > 90 AND embedded > 480").groupBy(F.col("model_id").alias("model")).agg(F.count(F.lit(1)).alias("runs"), F.sum("embedded").alias("embedded"))
+    return e.join(n, "model", "left").fillna(0, ["runs", "embedded"])
+
+
 @query("SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings WHERE label <> 2")
 def nth_embedded(spark: SparkSession, sf: str) -> DataFrame:
     """The place of every embedded chunk among all, where a book is set aside."""

@@ -271,6 +271,20 @@ def test_compaction_begins_anew_if_the_library_changed(spark, tmp_path):
     assert sorted(r.chunk_id for r in e.store.read("chunks").collect()) == list(range(1, n + 1))
 
 
+def test_compaction_loses_nothing_that_comes_meanwhile(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "index"), target=120)
+    e.add(frame(spark, rows(3)))
+    e.remove(keys=["s/001.txt"])
+    other = Engine(spark, e.store.path, target=120)
+    with pytest.raises(E.Busy):  # the last step but one adds a book
+        e.compact(stop=lambda: other.add(frame(spark, [("s/new", "New", "x", "brand new")])) is None)
+    assert e.ask("brand new", mode="lexical").count() == 1 and e.compact() > 0 and e.ask("brand new", mode="lexical").count() == 1
+    with pytest.raises(E.Busy), e.store.change():  # two that add at once: the second is refused, and may be repeated
+        e.add(frame(spark, [("s/one", "One", "x", "one more")]))
+        other.add(frame(spark, [("s/two", "Two", "x", "two more")]))
+    assert {r.key for r in e.table("books").collect()} == {"s/000.txt", "s/002.txt", "s/new", "s/two"}
+
+
 def test_damaged_backups_are_named(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "index"), target=120)
     (tmp_path / "in").mkdir()

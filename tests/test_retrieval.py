@@ -161,3 +161,37 @@ def test_claims_of_whole_turns(spark):
             assert got[key] == said
     assert len(got) > 0.9 * len(turns)
     assert A.find_claims('He said "one two" [1].') == [("one two", 1, True)]
+
+
+def plain_extract(text, terms, limit=700):
+    """By definition: every run of sentences in turn."""
+    import re
+
+    if not terms or len(text) <= limit:
+        return text[:limit], False, len(text) > limit
+    parts = [p for p in re.findall(r"[^.!?]*[.!?]+\s*|[^.!?]+$", text) if p.strip()] or [text]
+    runs = [(i, j) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1) if j == i + 1 or len("".join(parts[i:j])) <= limit]
+    best, held = None, -1
+    for i, j in runs:
+        hits = sum(t in p.lower() for p in parts[i:j] for t in terms)
+        if hits > held or (hits == held and j - i > best[1] - best[0] + 1):
+            best, held = (i, j), hits
+    return "".join(parts[best[0] : best[1]]).strip(), best[0] > 0, best[1] < len(parts)
+
+
+def test_extracts_of_whole_turns(spark):
+    from lectern.functions import text as X
+    from lectern.plans.catalogue import QUERIES
+
+    c = spark.read.parquet(f"{SF}/conversations.parquet")
+    first = {r.conv_id: r.terms for r in c.filter("turn = 0").groupBy("conv_id").agg(F.min("text").alias("text")).select("conv_id", X.marked_terms(F.col("text")).alias("terms")).collect()}
+    texts = {(r.conv_id, r.turn): r.text for r in c.collect() if r.conv_id in first}
+    got = {(r.conv_id, r.turn): (r.extract, r.cut_before, r.cut_after) for r in QUERIES["best_extracts"](spark, SF).collect()}
+    assert got == {k: plain_extract(t, first[k[0]]) for k, t in texts.items()}
+    from lectern.operators import answers as A
+
+    long = "Short one. " * 90 + "The wanted words stand here. " + "Then more. " * 90
+    assert A.best_extract(long, ["wanted", "words"]) == plain_extract(long, ["wanted", "words"]) and "wanted" in A.best_extract(long, ["wanted"])[0]
+    assert A.best_extract(long, []) == (long[:700], False, True) and A.best_extract(None, ["x"]) == ("", False, False)
+    endless = "x" * 900 + ". End."
+    assert A.best_extract(endless, ["x"], 100) == plain_extract(endless, ["x"], 100)

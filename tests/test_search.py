@@ -101,6 +101,14 @@ def test_summaries_prove_and_retry(engine):
     assert [(c.place, c.verified) for c in margin.claims] == [("margin", True), ("passage", True), (None, False)]
 
 
+def test_evaluation_asks_as_a_reader_would(spark, engine):
+    asked = [("what do neurons speak by", "SPIKES of kind 1 and 1", "lookup"), ("glia order", "the house", "lookup"), ("neurons", "dragons", None), ("what is plain", "sentence is pl", "odd")]
+    got = engine.evaluate(spark.createDataFrame(asked, "q string, a string, kind string"), mode="lexical", k=50)
+    rows = {r.q: (r.kind, r.band, r.at1, r.atk) for r in got.rows.collect()}
+    assert rows["neurons"] == ("lookup", "unanswerable", 0, 0) and rows["glia order"][2:] == (1, 1) and rows["what do neurons speak by"][3] == 1 and rows["what is plain"][0] == "odd"
+    assert sum(r.questions for r in got.tallies().collect()) == 4 and len(got.took) == 4 and 0 < got.quantile(0.5) <= got.quantile(0.95)
+
+
 def test_models_are_known_by_name(engine, tmp_path):
     weights = tmp_path / "w.gguf"
     weights.write_bytes(b"weights")
