@@ -281,8 +281,10 @@ def observed_rate(runs: DataFrame, last: int = 10) -> DataFrame:
 
 def word_p90(text: Column, least: int = 50) -> Column:
     """The 90th of a hundred word lengths of a text, by rank; null below ``least`` words. A word is at least half letters."""
-    sized = F.transform(F.split(text, r"\s+"), lambda w: F.struct(F.length(w).alias("n"), F.length(F.regexp_replace(w, r"\P{L}+", "")).alias("letters")))
-    n = F.array_sort(F.transform(F.filter(sized, lambda w: (w["letters"] > 0) & (w["letters"] * 2 >= w["n"])), lambda w: w["n"]))
+    spaced = F.regexp_replace(text, r"\s+", " ")
+    words, letters = F.split(spaced, " "), F.split(F.regexp_replace(spaced, r"[^\p{L} ]+", ""), " ")  # part for part the same words
+    sized = F.zip_with(words, letters, lambda w, a: F.struct(F.length(w).alias("n"), F.length(a).alias("letters")))
+    n = F.sort_array(F.transform(F.filter(sized, lambda w: (w["letters"] > 0) & (w["letters"] * 2 >= w["n"])), lambda w: w["n"]))
     return F.when(F.size(n) >= least, F.element_at(n, (F.floor(F.size(n) * 0.9) + 1).cast("int")))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -198,16 +200,36 @@ def drift_report(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("key", F.when(F.col("now").isNull(), "missing").when(F.col("now") == F.col("h"), "intact").otherwise("changed").alias("state"))
 
 
-@query(f"""WITH o AS (SELECT key, doc_id, encode(text) AS data FROM ({OLD}) WHERE strlen(text) >= 40), n AS (SELECT doc_id, encode(text) AS data FROM ({NEW}))
-SELECT o.doc_id, CASE WHEN n.data IS NULL THEN 'missing' WHEN {SIGNED('n.data[11:30]')} = {SIGNED('o.data[11:30]')} THEN 'exact'
-  WHEN {SIGNED('n.data[11 + (octet_length(n.data) - octet_length(o.data)) : 30 + (octet_length(n.data) - octet_length(o.data))]')} = {SIGNED('o.data[11:30]')} THEN 'shifted' ELSE 'changed' END AS state FROM o LEFT JOIN n USING (doc_id)""")
-def span_locate_states(spark: SparkSession, sf: str) -> DataFrame:
-    """Bytes 10 to 30 of each book, found again after the files have changed."""
+#: Bytes of a recorded span; the last one of a book may be shorter.
+SPAN = 1000
+#: Every span of every book as it was (data, place, size), beside its bytes as they are now.
+SPANS_SQL = f"""SELECT doc_id, place, least({SPAN}, octet_length(was) - place) AS size, was, now FROM (SELECT o.doc_id, unnest(range(0, octet_length(o.data), {SPAN})) AS place, o.data AS was, n.data AS now
+  FROM (SELECT doc_id, encode(text) AS data FROM ({OLD}) WHERE strlen(text) > 0) o LEFT JOIN (SELECT doc_id, encode(text) AS data FROM ({NEW})) n USING (doc_id))"""
+
+
+def spans_now(spark: SparkSession, sf: str, of: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """doc_id, place, found: ``of`` (place, size, expected hash) for every span of every book, beside columns ``was`` and ``now``.
+
+    The spans are worked out within a book's own row, so its bytes are never copied beside each of them.
+    """
     old, new = snapshots(spark, sf)
-    o = old.filter(F.octet_length("text") >= 40).select("doc_id", F.col("text").cast("binary").alias("was"))
-    j = o.join(new.select("doc_id", F.col("text").cast("binary").alias("data")), "doc_id", "left")
-    expected = X.content_hash(F.substring("was", 11, 20))
-    return j.select("doc_id", C.locate(F.col("data"), F.lit(10), F.lit(20), expected, F.octet_length("data") - F.octet_length("was")).alias("state"))
+    o = old.filter(F.octet_length("text") > 0).select("doc_id", F.col("text").cast("binary").alias("was"))
+    j = o.join(new.select("doc_id", F.col("text").cast("binary").alias("now")), "doc_id", "left")
+    n = F.octet_length("was")
+
+    def one(place: Column) -> Column:
+        size = F.least(F.lit(SPAN), n - place)
+        return F.struct(place.cast("bigint").alias("place"), of(place, size, X.content_hash(F.substring("was", place + 1, size))).alias("found"))
+
+    return j.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), n - 1, F.lit(SPAN)), one)).alias("s")).select("doc_id", "s.*")
+
+
+@query(f"""SELECT doc_id, place, CASE WHEN now IS NULL THEN 'missing' WHEN {SIGNED('now[place + 1 : place + size]')} = {SIGNED('was[place + 1 : place + size]')} THEN 'exact'
+  WHEN {SIGNED('now[place + 1 + shift : place + size + shift]')} = {SIGNED('was[place + 1 : place + size]')} THEN 'shifted' ELSE 'changed' END AS state FROM (SELECT *, octet_length(now) - octet_length(was) AS shift FROM ({SPANS_SQL}))""")
+def span_locate_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Every span of every book, found again after the files have changed."""
+    shift = F.octet_length("now") - F.octet_length("was")
+    return spans_now(spark, sf, lambda place, size, expected: C.locate(F.col("now"), place, size, expected, shift)).withColumnRenamed("found", "state")
 
 
 #: After the removal of every third book.

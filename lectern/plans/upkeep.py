@@ -9,7 +9,7 @@ from lectern.functions import text as X
 from lectern.operators import corpus as C
 from lectern.operators import retrieval as R
 from lectern.plans._registry import query, table
-from lectern.plans.corpus import NEW, OLD, SIGNED, docs, snapshots
+from lectern.plans.corpus import NEW, OLD, SIGNED, SPANS_SQL, docs, snapshots, spans_now
 from lectern.plans.reports import RUNS, runs
 from lectern.plans.stored import vectors
 from lectern.sources import readers
@@ -33,14 +33,10 @@ def found_instead(spark: SparkSession, sf: str) -> DataFrame:
     return readers.found_instead(paths(spark, sf))
 
 
-@query(f"""SELECT o.doc_id, CASE WHEN {SIGNED('n.data[11:30]')} = {SIGNED('o.data[11:30]')} THEN hex(n.data[11:30]) END AS span
-  FROM (SELECT doc_id, encode(text) AS data FROM ({OLD}) WHERE strlen(text) >= 40) o LEFT JOIN (SELECT doc_id, encode(text) AS data FROM ({NEW})) n USING (doc_id)""")
+@query(f"SELECT doc_id, place, CASE WHEN {SIGNED('now[place + 1 : place + size]')} = {SIGNED('was[place + 1 : place + size]')} THEN md5(now[place + 1 : place + size]) END AS span FROM ({SPANS_SQL})")
 def read_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Bytes 10 to 30 of each book as recorded, or nothing where the file says something else now."""
-    old, new = snapshots(spark, sf)
-    o = old.filter(F.octet_length("text") >= 40).select("doc_id", F.col("text").cast("binary").alias("was"))
-    j = o.join(new.select("doc_id", F.col("text").cast("binary").alias("data")), "doc_id", "left")
-    return j.select("doc_id", F.hex(C.read_span(F.col("data"), F.lit(10), F.lit(20), X.content_hash(F.substring("was", 11, 20)))).alias("span"))
+    """Every span of every book as recorded (its digest, for brevity), or nothing where the file says something else now."""
+    return spans_now(spark, sf, lambda place, size, expected: F.md5(C.read_span(F.col("now"), place, size, expected))).withColumnRenamed("found", "span")
 
 
 @query()

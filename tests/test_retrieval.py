@@ -126,9 +126,13 @@ def _words(text):
 
 
 def test_greedy_suppression_of_whole_hits(spark):
-    hits = R.ranked(P._longest(spark, SF)).join(P.chunks(spark, SF), "chunk_id").orderBy("rank").collect()
+    hits = P.found_texts(spark, SF).orderBy("rank").collect()
+    assert len(hits) == P.K
     kept = []
     for h in hits:
+        if h.text is None:
+            kept.append((h.chunk_id, set()))
+            continue
         w = _words(h.text)
         s = set(zip(w, w[1:], w[2:], strict=False))
         if all(len(s & o) / max(1, len(s | o)) < 0.10 for _, o in kept):
@@ -195,3 +199,35 @@ def test_extracts_of_whole_turns(spark):
     assert A.best_extract(long, []) == (long[:700], False, True) and A.best_extract(None, ["x"]) == ("", False, False)
     endless = "x" * 900 + ". End."
     assert A.best_extract(endless, ["x"], 100) == plain_extract(endless, ["x"], 100)
+
+
+def test_batches_of_questions_keep_ties_and_skip_nulls(spark):
+    r = np.random.default_rng(5)
+    x = np.repeat(r.normal(size=(40, 8)), 6, axis=0)  # every vector six times
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "chunk_id bigint, embedding array<double>").repartition(7)
+    asked = spark.createDataFrame([(f"q{i}", x[6 * i].tolist()) for i in range(9)] + [("none", None)], "query_id string, query array<double>")
+    expected = {}
+    for i in range(9):
+        score = [sum(a * b for a, b in zip(v, x[6 * i], strict=True)) for v in x]
+        expected[f"q{i}"] = sorted(range(len(x)), key=lambda n: (-round(score[n], 9), n))[:8]
+    for limit, digits in ((4096, None), (4, None), (4096, 9)):
+        got = R.flat_many(rows, asked, 8, limit, digits).orderBy("query_id", "rank").collect()
+        assert {q: [g.chunk_id for g in got if g.query_id == q] for q in expected} == expected and len(got) == 72
+    assert R.flat_many(rows, asked.limit(0), 8).collect() == [] and R.flat_many(rows.limit(0), asked, 8).collect() == []
+
+
+def test_word_lengths_as_by_definition(spark):
+    texts = [" lead  12 a1 b22 ....  x.y  é\u00a0z \t\n" + "word " * 60 + "w" * n for n in (1, 3, 40)] + ["", "   ", None, "too few words"]
+
+    def p90(text):
+        words = [w for w in re.split(r"[ \t\n\r\x0b\x0c]+", text or "") if 0 < sum(c.isalpha() for c in w) and 2 * sum(c.isalpha() for c in w) >= len(w)]
+        return sorted(map(len, words))[int(len(words) * 0.9)] if len(words) >= 50 else None
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select(C.word_p90(F.col("text"))).collect()
+    assert [g[0] for g in got] == [p90(t) for t in texts]
+
+
+def test_postings_of_awkward_texts(spark):
+    rows = [(1, "b a b  A"), (2, ""), (3, None), (4, "..."), (5, "zz")]
+    got = R.postings(spark.createDataFrame(rows, "chunk_id bigint, text string")).collect()
+    assert sorted((g.term, g.chunk_id, g.tf, g.len, g.at) for g in got) == [("a", 1, 2, 4, [1, 3]), ("b", 1, 2, 4, [0, 2]), ("zz", 5, 1, 1, [0])]
