@@ -258,8 +258,16 @@ def models() -> tuple[dict[str, Automaton], dict[str, Automaton]]:
     return made
 
 
-@lru_cache(maxsize=4096)
+#: Candidates of at most so many characters are remembered, so what a worker keeps is bounded.
+_KEPT = 256
+
+
 def score(candidate: str) -> tuple[str, float]:
+    """As ``_score``; short candidates come again often and are remembered."""
+    return _remembered(candidate) if len(candidate) <= _KEPT else _score(candidate)
+
+
+def _score(candidate: str) -> tuple[str, float]:
     """The likeliest format that is not too long for it, and the mean log likelihood ratio against the likeliest ordinary kind."""
     formats, ordinary = models()
     plain = max(a.log_likelihood(candidate) for a in ordinary.values())
@@ -267,6 +275,9 @@ def score(candidate: str) -> tuple[str, float]:
     return (best[1], (best[0] - plain) / len(candidate)) if best else ("", -math.inf)
 
 
+_remembered = lru_cache(maxsize=4096)(_score)
+
+
 def _merged(spans: list[Span]) -> list[tuple[int, int]]:
     """The stretches that spans, sorted by start, cover."""
     out: list[tuple[int, int]] = []

@@ -146,6 +146,24 @@ def test_training_earns_the_toxicity_scores(spark):
     assert balanced(0) < 0.7 and balanced(toxicity.EPOCHS) > 0.9
 
 
+def test_a_text_too_long_to_learn_from_costs_no_other_its_place(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 100)
+    monkeypatch.setattr(toxicity, "SAMPLE_TEXT", 50)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5][:12]
+    first = [r.i for r in spark.createDataFrame([(i,) for i in ids], "i bigint").orderBy(F.xxhash64("i")).collect()]
+    d = spark.createDataFrame([(i, "long " * 30 if i in first[:3] else f"text {i:04d}") for i in ids], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id bigint, toxic int")
+    got = toxicity.sample(d, labels, "doc_id", "text", "toxic", 5, 100)
+    assert sorted(t for t, _ in got) == sorted(f"text {i:04d}" for i in first[3:])
+
+
+def test_only_short_candidates_are_remembered():
+    long = "aB3" * 20_000
+    before = secrets._remembered.cache_info().currsize
+    assert secrets.score(long) == secrets._score(long) and secrets._remembered.cache_info().currsize == before
+    assert secrets.score(long[:60]) == secrets._score(long[:60]) == secrets._remembered(long[:60])
+
+
 def test_every_language_is_learned(spark):
     words = {f"l{n}": "".join(chr(0x4E00 + 40 * n + k) for k in range(12)) for n in range(60)}
     d = spark.createDataFrame([(100 * n + i, text, lang) for n, (lang, text) in enumerate(words.items()) for i in range(5)], "doc_id bigint, text string, lang string")
