@@ -3,16 +3,18 @@
 A word's embedding is the mean of hashed vectors of the word and of its beginnings and ends, so unseen words
 share what they are made of. Filters of widths 1, 2 and 3 run over the word sequence, the largest value of each filter
 over the whole text is taken, and a linear layer gives a logit. All weights start at random; training is by Adam on
-balanced batches of a bounded sample of labelled rows, of whose words each step sees a random part. The language of a
+balanced batches of all labelled rows, of whose words each step sees a random part. The language of a
 text is guessed by the letters that its words hold (three groups, and one for all other languages); for each group the
-logit is shifted so that 0.5 is the threshold that best separates the labels of a held-back fifth of the sample. A
+logit is shifted so that 0.5 is the threshold that best separates the labels of a held-back fifth of the rows. A
 group with fewer than ``LEAST`` held-back rows of either label takes the threshold of all.
 
 Scoring goes through all words of a text: what each filter makes of a word is worked out once for each distinct
 word and added along the text, so long texts cost little and no prefix is taken.
 
-The sample: of each label at most ``SAMPLE`` rows, those of the smallest hash of the id, and of these, in that order,
-as many as have ``SAMPLE_CHARS`` characters together. Rows are taken whole.
+Every labelled row of the training part is learned from, whole and however long. Rows are dealt to shards by the hash of
+their id, a task each. In each of ``ROUNDS`` rounds every shard trains the same weights on its rows, and the changes of
+the shards are averaged: of an embedding over the shards that met it. One shard trains in one round. A label that is too
+rare for every shard has its rows in several. ``sample`` and ``fit`` fit a bounded sample in memory; scoring uses neither.
 
 Defined results: a null or empty text has the bias alone; without both labels in the training part every score is
 the share of the label 1 (0 if there are none); an empty table gives an empty result; repeated rows each have a result;
@@ -33,15 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm._common import by_size, prepare, remainder, worker_state
+from lectern.llm._common import by_size, materialise, prepare, remainder, worker_state
 
 BUCKETS, DIM = 1 << 15, 12
 WIDTHS, FILTERS = (1, 2, 3), 8
-#: Labelled rows that the fit sees at most, of each label.
+#: Rows and characters of one shard, about, and how often the weights of several shards are averaged.
+SHARD_ROWS, SHARD_CHARS, ROUNDS = 4000, 15_000_000, 3
+#: Rows of the rarer label that each shard has at least.
+SHARD_LEAST = 8
+#: Bounds of ``sample``: rows of each label, characters in all and of one text.
 SAMPLE = 2500
-#: Characters that the fit sees at most, in rows taken whole.
 SAMPLE_CHARS = 30_000_000
-#: Longer texts are not learned from.
 SAMPLE_TEXT = SAMPLE_CHARS // 10
 EPOCHS, BATCH, RATE, SEED = 5, 32, 0.05, 7
 #: Share of a longer text's words that a training step sees; scoring sees all.
@@ -139,9 +143,26 @@ class Net:
         g = np.array([group_of(t) for t in texts], dtype=int)
         return 1 / (1 + np.exp(-np.clip(z - self.shift[g], -30, 30)))
 
-    def train(self, texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> None:
-        """Adam on batches with as many documents of either label, worked out for all documents of a batch at once."""
-        r = np.random.default_rng(SEED + 1)
+    @property
+    def weights(self) -> np.ndarray:
+        """All weights as rows of ``DIM`` numbers: the embeddings, then the others."""
+        rest = np.concatenate([x.ravel() for x in (*self.filters, self.bias, self.out, self.off)])
+        return np.concatenate([self.table, np.r_[rest, np.zeros(-len(rest) % DIM)].reshape(-1, DIM)])
+
+    @weights.setter
+    def weights(self, rows: np.ndarray) -> None:
+        self.table, rest = np.array(rows[:BUCKETS], dtype=np.float64), rows[BUCKETS:].ravel().astype(np.float64)
+        for x in (*self.filters, self.bias, self.out, self.off):
+            x[...] = rest[: x.size].reshape(x.shape)
+            rest = rest[x.size :]
+        self.forget()
+
+    def train(self, texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED + 1, since: float = 0.0, until: float = 1.0) -> None:
+        """Adam on batches with as many documents of either label, worked out for all documents of a batch at once.
+
+        ``since`` and ``until`` say which part of the whole training this is, for the rate.
+        """
+        r = np.random.default_rng(seed)
         number: dict[str, int] = {}
         ids = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), dtype=np.int32) for t in texts]
         parts = [np.array(pieces(w)) for w in number]
@@ -163,7 +184,7 @@ class Net:
             seen = [d if len(d) < 8 else d[r.random(len(d)) < KEEP] for d in (ids[i] for i in rows)]  # word dropout
             some = [n for n, d in enumerate(seen) if len(d)]
             grads, touched, slopes = self._gradients([seen[n] for n in some], labels[rows][some], parts)
-            rate = RATE * (1 - (t - 1) / steps)
+            rate = RATE * (1 - since - (until - since) * (t - 1) / steps)
             fix1, fix2 = 1 - 0.9**t, 1 - 0.999**t
             for name, x in weights.items():
                 m, v = state[name]
@@ -278,11 +299,107 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return [(r["t"], r["y"]) for r in rows]
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 5, size: int = SAMPLE, net: Net | None = None) -> DataFrame:
+#: Bins of one unit of a logit, for the thresholds.
+_BINS = 64
+#: Rows of weights that are averaged in one group.
+_BLOCK = 512
+
+
+def _binned_cut(bins: pd.DataFrame) -> float:
+    """``_best_cut`` between bins (lo, hi, n0, n1) of logits."""
+    b = bins.sort_values("lo")
+    if not len(b) or not b["n0"].sum() or not b["n1"].sum():
+        return 0.0
+    quality = np.r_[0, np.cumsum(b["n0"].to_numpy() - b["n1"].to_numpy())]
+    below, above = np.r_[b["lo"].iloc[0] - 1, b["hi"]], np.r_[b["lo"], b["hi"].iloc[-1] + 1]
+    best = np.flatnonzero(quality == quality.max())
+    return float((below[best[0]] + above[best[-1]]) / 2)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fold: int) -> DataFrame:
+    """i, t, y, back of every labelled row of the training part; ``back`` marks the fifth that is held back."""
+    marks = labels.filter(F.col(label_col).isin(0, 1) & (remainder(id_col, fold) != 0)).groupBy(F.col(id_col).alias("i")).agg(F.max(F.col(label_col)).cast("int").alias("y"))
+    text = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull())
+    one = text.join(marks, "i").groupBy("i").agg(F.min_by(F.struct("t", "y"), F.xxhash64("t")).alias("r")).select("i", "r.*")
+    return one.withColumn("back", F.pmod(F.xxhash64("i", F.lit("back")), F.lit(5)) == 4)
+
+
+def _round(rows: DataFrame, net: Net, shards: int, epochs: int, since: float, until: float) -> np.ndarray:
+    """The weights after every shard of ``rows`` (i, t, y, shard) has trained those of ``net`` and the changes are averaged."""
+    sent = rows.sparkSession.sparkContext.broadcast(net.weights)
+    at = round(since * ROUNDS)
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, own = pdf.sort_values(["h", "i"]), Net()
+        own.weights = sent.value
+        own.train(pdf["t"].tolist(), pdf["y"].to_numpy(), epochs, SEED + 1 + 1000 * at + int(pdf["shard"].iloc[0]), since, until)
+        change = (own.weights - sent.value).astype(np.float32)
+        return pd.DataFrame([(b, change[b * _BLOCK : (b + 1) * _BLOCK].tobytes()) for b in range(-(-len(change) // _BLOCK))], columns=["block", "change"])
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        total, met = 0.0, 0
+        for c in sorted(pdf["change"]):  # in one order, so that reruns agree
+            c = np.frombuffer(c, dtype=np.float32).reshape(-1, DIM).astype(np.float64)
+            total, met = total + c, met + (c != 0).any(axis=1)
+        return pd.DataFrame([(pdf["block"].iloc[0], (total / np.maximum(met, 1)[:, None]).tobytes())], columns=["block", "change"])
+
+    schema = "block int, change binary"
+    changes = rows.withColumn("h", F.xxhash64("i")).repartition(2 * shards, "shard").groupBy("shard").applyInPandas(train, schema)
+    got = changes.groupBy("block").applyInPandas(mean, schema).collect()  # as many bytes as the net has
+    whole = np.concatenate([np.frombuffer(r["change"]).reshape(-1, DIM) for r in sorted(got, key=lambda r: r["block"])])
+    sent.destroy()
+    return net.weights + whole
+
+
+def _calibrated(held: DataFrame, net: Net) -> np.ndarray:
+    """The shift of each group, from counts of the logits of all held-back rows (t, y) by bins."""
+    sent = held.sparkSession.sparkContext.broadcast(net)
+
+    def logits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        net = sent.value
+        for b in batches:
+            texts = b["t"].tolist()
+            for part in by_size(texts, AT_ONCE):
+                yield pd.DataFrame({"z": net.logits([words_of(t) for t in texts[part]]).astype(float), "g": [group_of(t) for t in texts[part]], "y": b["y"].to_numpy()[part]})
+
+    z = held.select("t", "y").mapInPandas(logits, "z double, g int, y int")
+    bins = z.groupBy("g", F.floor(F.greatest(F.least("z", F.lit(64.0)), F.lit(-64.0)) * _BINS).alias("bin"))
+    got = bins.agg(F.min("z").alias("lo"), F.max("z").alias("hi"), F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
+    got = pd.DataFrame([r.asDict() for r in got.collect()], columns=["g", "bin", "lo", "hi", "n0", "n1"])  # at most 128 * _BINS a group
+    whole = _binned_cut(got.groupby("bin", as_index=False).agg({"lo": "min", "hi": "max", "n0": "sum", "n1": "sum"}))
+    own = {g: b for g, b in got.groupby("g") if min(b["n0"].sum(), b["n1"].sum()) >= LEAST}
+    return np.array([_binned_cut(own[g]) if g in own else whole for g in range(len(_GROUPS) + 1)])
+
+
+def fit_all(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 5) -> Net:
+    """The classifier of every labelled row of the training part, trained in shards."""
+    prepare(docs.sparkSession)
+    rows, net = materialise(labelled(docs, labels, id_col, text_col, label_col, fold)), Net()
+    counts = rows.groupBy("back", "y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t")).alias("chars")).collect()  # at most 4 rows
+    sides = [sum(r["n"] for r in counts if r["y"] == y) for y in (0, 1)]
+    if not all(sides):
+        net.constant = sides[1] / sum(sides) if sum(sides) else 0.0
+        return net
+    kept = [r for r in counts if not r["back"]]
+    if {r["y"] for r in kept} != {0, 1}:  # too few to hold any back
+        rows, kept = rows.withColumn("back", F.lit(False)), counts
+    size = {y: sum(r["n"] for r in kept if r["y"] == y) for y in (0, 1)}
+    shards = max(1, -(-sum(size.values()) // SHARD_ROWS), -(-sum(r["chars"] for r in kept) // SHARD_CHARS))
+    times = {y: min(shards, -(-SHARD_LEAST * shards // n)) for y, n in size.items()}  # shards that a row of the label is in
+    first, copies = F.pmod(F.xxhash64("i"), F.lit(shards)), F.when(F.col("y") == 1, times[1]).otherwise(times[0])
+    dealt = rows.filter("not back").select("i", "t", "y", F.explode(F.sequence(first, first + copies - 1)).alias("s")).select("i", "t", "y", F.pmod("s", F.lit(shards)).alias("shard"))
+    for n in range(ROUNDS if shards > 1 else 1):
+        net.weights = _round(dealt, net, shards, *((1, n / ROUNDS, (n + 1) / ROUNDS) if shards > 1 else (EPOCHS, 0.0, 1.0)))
+    if len(kept) < len(counts):
+        net.shift = _calibrated(rows.filter("back"), net)
+    return net
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 5, net: Net | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted. Learns from ids whose crc32 modulo ``fold`` is not 0."""
     spark = docs.sparkSession
     prepare(spark)
-    net = net or fit(sample(docs, labels, id_col, text_col, label_col, fold, size))
+    net = net or fit_all(docs, labels, id_col, text_col, label_col, fold)
     sent, key = spark.sparkContext.broadcast(net), uuid.uuid4().hex
 
     @F.pandas_udf("double")

@@ -157,6 +157,23 @@ def test_a_text_too_long_to_learn_from_costs_no_other_its_place(spark, monkeypat
     assert sorted(t for t, _ in got) == sorted(f"text {i:04d}" for i in first[3:])
 
 
+def test_toxicity_is_learned_from_every_labelled_row_in_shards(spark, monkeypatch):
+    ids = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5]
+    said = lambda i: ("vile" if i % 9 == 0 else "kind") + f" word{i % 7} thing{i % 11} end"
+    late = max((i for i in ids if i % 9 == 0), key=lambda i: zlib.crc32(b"x%d" % i))
+    d = spark.createDataFrame([(i, said(i) + (" long" * 900 if i == late else "")) for i in ids], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i in ids], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_TEXT", 50)
+    monkeypatch.setattr(toxicity, "SAMPLE", 1)
+    assert toxicity.labelled(d, labels, "doc_id", "text", "toxic", 5).count() == len(ids)  # with the long one
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 200)
+    net = toxicity.fit_all(d, labels)
+    new = [said(i) for i in range(900, 1100)]
+    assert ((net.scores(new) >= 0.5) == [i % 9 == 0 for i in range(900, 1100)]).mean() > 0.97
+    again = toxicity.fit_all(d, labels)
+    assert (again.weights == net.weights).all() and (again.shift == net.shift).all()
+
+
 def test_only_short_candidates_are_remembered():
     long = "aB3" * 20_000
     before = secrets._remembered.cache_info().currsize
