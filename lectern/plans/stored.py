@@ -34,12 +34,6 @@ def _key(spark: SparkSession, sf: str) -> tuple[str, str]:
     return spark.sparkContext.applicationId, sf
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Rows and bytes of one Arrow batch, so that what a Python worker holds does not depend on the input."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """A short frame that is used several times, written to the shared folder and read again."""
     spark = df.sparkSession

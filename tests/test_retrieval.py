@@ -239,3 +239,16 @@ def test_phrases_of_many_texts_make_no_rows_for_each_pair(spark):
     got = {tuple(r) for r in R.phrases_in(c, asked, 3).collect()}
     assert got == {("p q r", i, 3, 1.0) for i in range(40)} | {("a b a", 50, 5, 2.0), ("a b a", 55, 3, 1.0)}
     assert R.phrases_in(c, asked.limit(0), 3).count() == 0
+
+
+def test_fused_words_read_the_texts_once(spark):
+    for name in ("rrf_fuse", "rrf_weighted"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "text:string" not in plan  # what the one pass counted is read, twice, instead
+
+
+def test_runs_and_words_are_counted_as_spelled(spark):
+    rows = {1: "a b a b a", 2: "b a", 3: "ab b", 4: "", 5: None}
+    c = spark.createDataFrame(list(rows.items()), "chunk_id bigint, text string")
+    got = {r.chunk_id: (r.len, r.f) for r in R.units(c, [["a"], ["a", "b", "a"], ["b"]]).collect()}
+    assert got == {1: (5, [3, 2, 2]), 2: (2, [1, 0, 1]), 3: (2, [0, 0, 1]), 4: (0, [0, 0, 0]), 5: (0, [0, 0, 0])}
