@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,14 +77,34 @@ def chunk_spans(data: bytes, target: int = TARGET, overlap: int = 0) -> list[tup
     return spans
 
 
+#: Bytes of chunks that a worker hands on at once, and characters of a text that are looked at together.
+AT_ONCE = 1 << 22
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows and bytes of one Arrow batch, so that what a Python worker holds does not depend on the input."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(AT_ONCE))
+
+
 def chunk(docs: DataFrame, target: int = TARGET, overlap: int = 0, with_text: bool = False) -> DataFrame:
     """book_id, ordinal, byte_offset, byte_length, content_hash, and text if asked for, of the chunks of docs (book_id, text)."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["book_id"].dataType.simpleString()
+    names = ["book_id", "ordinal", "byte_offset", "byte_length", "data"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(b, i, o, n, data[o : o + n]) for b, t in zip(batch["book_id"], batch["text"], strict=True) for data in [(t or "").encode()] for i, (o, n) in enumerate(chunk_spans(data, target, overlap))]
-            yield pd.DataFrame(rows, columns=["book_id", "ordinal", "byte_offset", "byte_length", "data"])
+            rows, held = [], 0
+            for b, t in zip(batch["book_id"], batch["text"], strict=True):
+                data = (t or "").encode()
+                for i, (o, n) in enumerate(chunk_spans(data, target, overlap)):
+                    rows.append((b, i, o, n, data[o : o + n]))
+                    held += n + 128  # a row's other columns too, as chunks may be short
+                    if held >= AT_ONCE:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     spans = docs.select("book_id", "text").mapInPandas(run, f"book_id {kind}, ordinal int, byte_offset bigint, byte_length bigint, data binary")
     hashed = spans.withColumn("content_hash", X.content_hash(F.col("data")))
