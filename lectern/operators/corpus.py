@@ -301,13 +301,45 @@ def observed_rate(runs: DataFrame, last: int = 10) -> DataFrame:
     return newest.groupBy("model_id").agg(upper_median(F.collect_list(F.col("embedded") / F.col("seconds") / duty)).alias("rate"))
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter, by the Unicode tables of Python."""
+    return np.array([unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)])
+
+
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]")
+
+
+def _word_sizes(text: str, most: int = AT_ONCE) -> np.ndarray:
+    """Lengths of the words of a text that are at least half letters; long texts are looked at in parts that end with white space."""
+    found, at = [], 0
+    while at < len(text):
+        space = _SPACE.search(text, at + most)
+        end = space.end() if space else len(text)
+        code = np.frombuffer(text[at:end].encode("utf-32-le"), dtype=np.uint32)
+        blank = (code == 32) | ((code >= 9) & (code <= 13))
+        edge = np.flatnonzero(np.diff(np.r_[True, blank, True].view(np.int8)))  # where words begin and end, in turn
+        begins, ends = edge[::2], edge[1::2]
+        letters = np.r_[0, np.cumsum(_letters()[code], dtype=np.int64)]
+        n, own = ends - begins, letters[ends] - letters[begins]
+        found.append(n[(own > 0) & (own * 2 >= n)])
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
+
 def word_p90(text: Column, least: int = 50) -> Column:
     """The 90th of a hundred word lengths of a text, by rank; null below ``least`` words. A word is at least half letters."""
-    spaced = F.regexp_replace(text, r"\s+", " ")
-    words, letters = F.split(spaced, " "), F.split(F.regexp_replace(spaced, r"[^\p{L} ]+", ""), " ")  # part for part the same words
-    sized = F.zip_with(words, letters, lambda w, a: F.struct(F.length(w).alias("n"), F.length(a).alias("letters")))
-    n = F.sort_array(F.transform(F.filter(sized, lambda w: (w["letters"] > 0) & (w["letters"] * 2 >= w["n"])), lambda w: w["n"]))
-    return F.when(F.size(n) >= least, F.element_at(n, (F.floor(F.size(n) * 0.9) + 1).cast("int")))
+
+    @F.pandas_udf("int")
+    def p90(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            n = _word_sizes(t) if t else ()
+            at = int(len(n) * 0.9)
+            out.append(int(np.partition(n, at)[at]) if len(n) >= max(least, 1) else None)
+        return pd.Series(out, dtype="Int32")
+
+    return p90(text)
 
 
 def next_step(survey: DataFrame) -> DataFrame:

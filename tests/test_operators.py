@@ -1,6 +1,7 @@
 """Operators that SQL cannot express, and their edge cases."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -153,3 +154,20 @@ def test_scope_patterns(spark):
 def test_merge_touching_ranges(spark):
     r = spark.createDataFrame([(1, 3), (3, 5), (7, 9), (8, 12)], "start bigint, stop bigint")
     assert sorted(map(tuple, C.merge_ranges(r).collect())) == [(1, 5), (7, 12)]
+
+
+def test_chunks_leave_a_worker_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(C, "AT_ONCE", 5000)
+    text = "word and word. " * 3000
+    d = spark.createDataFrame([(1, text), (2, None), (3, "ü" * 9000), (4, "")], "book_id bigint, text string")
+    want = {(b, i, o, n) for b, t in ((1, text), (3, "ü" * 9000)) for i, (o, n) in enumerate(C.chunk_spans(t.encode(), 101))}
+    rows = C.chunk(d, 101)
+    assert {tuple(r) for r in rows.select("book_id", "ordinal", "byte_offset", "byte_length").collect()} == want
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "5000"
+
+
+def test_word_lengths_in_parts_are_those_of_the_whole():
+    text = "ab  c1 d12 \x0bèé\t12345 \n" * 40 + "x" * 90
+    want = [len(w) for w in re.split(r"[ \t\n\x0b\f\r]+", text) if (n := sum(c.isalpha() for c in w)) and n * 2 >= len(w)]
+    assert sorted(C._word_sizes(text, 7).tolist()) == sorted(C._word_sizes(text).tolist()) == sorted(want)
+    assert C._word_sizes("").size == 0 and C._word_sizes(" \n").size == 0
