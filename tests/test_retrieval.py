@@ -252,3 +252,18 @@ def test_runs_and_words_are_counted_as_spelled(spark):
     c = spark.createDataFrame(list(rows.items()), "chunk_id bigint, text string")
     got = {r.chunk_id: (r.len, r.f) for r in R.units(c, [["a"], ["a", "b", "a"], ["b"]]).collect()}
     assert got == {1: (5, [3, 2, 2]), 2: (2, [1, 0, 1]), 3: (2, [0, 0, 1]), 4: (0, [0, 0, 0]), 5: (0, [0, 0, 0])}
+
+
+def test_many_questions_shuffle_their_best_only(spark):
+    c = spark.createDataFrame([(i, "p q " * (1 + i % 5) + f"r{i % 3}") for i in range(300)] + [(900, None), (901, "")], "chunk_id bigint, text string")
+    index, sizes = R.postings(c), R.lengths(c.filter("text is not null"))
+    asked = spark.createDataFrame([(q, ["p", "q", "q", f"r{q % 4}"]) for q in range(9)], "query_id bigint, terms array<string>")
+    everything = R.bm25_many(index, sizes, asked, 1 << 20)
+    assert everything.count() == 9 * 300
+    want = {(r.query_id, r.chunk_id, r["rank"]) for r in everything.filter("rank <= 4").collect()}
+    for limits in ({}, {"limit_queries": 2}, {"limit_terms": 5}):
+        got = R.bm25_many(index, sizes, asked, 4, **limits)
+        assert {(r.query_id, r.chunk_id, r["rank"]) for r in got.collect()} == want
+    plan = R.bm25_many(index, sizes, asked, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and not re.search(r"hashpartitioning\(query_id#\d+L, chunk_id", plan)
+    assert R.bm25_many(index, sizes, asked.limit(0), 4).count() == 0
