@@ -41,12 +41,12 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def _make(store: Store, name: str, spark: SparkSession, sf: str) -> None:
-    if name == "postings":
-        rows = R.postings(chunks(spark, sf)).withColumns({c: F.lit(None).cast("bigint") for c in ("segment_id", "book_id")})
-    elif name == "lengths":
-        rows = R.lengths(chunks(spark, sf))
+    if name == "blocks":
+        rows = R.postings_in_blocks(chunks(spark, sf))
+    elif name == "lengths":  # a pass over the texts only if there are no postings yet
+        rows = R.lengths_of(store.read("blocks")) if store.has("blocks") else R.lengths(chunks(spark, sf))
     elif name == "terms":  # in order, so that a beginning of words is a run of rows
-        rows = R.terms_of(stored(spark, sf, "postings")).repartitionByRange("term").sortWithinPartitions("term")
+        rows = R.terms_of(stored(spark, sf, "blocks")).repartitionByRange("term").sortWithinPartitions("term")
     elif name == "centroids":
         rows = R.build_centroids(vectors(spark, sf)).withColumn("model", F.lit(MODEL))
     elif name == "word_vectors":
@@ -66,7 +66,7 @@ def _make(store: Store, name: str, spark: SparkSession, sf: str) -> None:
 
 
 def stored(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table of the index: postings, lengths, terms, vectors (packed, or of words) or centroids of whole tables."""
+    """A table of the index: postings in blocks, lengths, terms, vectors (packed, or of words) or centroids of whole tables."""
     key = _key(spark, sf)
     if key not in _OPEN:
         _OPEN[key] = Store(spark, f"{shared_dir(spark)}/index-{hashlib.sha256(sf.encode()).hexdigest()[:16]}")

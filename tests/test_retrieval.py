@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,42 @@ def test_indexed_scores_equal_those_of_a_pass_over_the_texts(spark):
         assert many == pytest.approx(other)
 
 
+def test_postings_in_blocks_are_the_postings(spark, monkeypatch):
+    odd = [(1, None), (2, ""), (3, " .;!"), (4, "İstanbul É e\u0301e ΣΑΣ 漢字 ½ x²y _a_b"), (5, "a a b a"), (6, "b\u0000a")]
+    c = P.chunks(spark, SF).select("chunk_id", "text").union(spark.createDataFrame([(-i, t) for i, t in odd], "chunk_id bigint, text string"))
+    names = ["term", "chunk_id", "tf", "len", "at"]
+    rows = lambda d: sorted((r.term, r.chunk_id, r.tf, r.len, tuple(r.at)) for r in d.select(*names).collect())
+    held = R.postings_in_blocks(c)
+    plain = rows(R.postings(c))
+    assert rows(R.opened(held)) == plain and rows(R.of_terms(held, ["the", "a", ""])) == [r for r in plain if r[0] in ("the", "a")]
+    assert held.count() < len(plain) / 2  # a row for a term and block, not for a term and chunk
+    assert sorted(map(tuple, R.lengths_of(held).collect())) == sorted(map(tuple, R.lengths(c).select("chunk_id", "len").collect()))
+    assert sorted(map(tuple, R.terms_of(held).collect())) == sorted(map(tuple, R.terms_of(R.postings(c)).collect()))
+    made = R._block(*[pa.array(x) for x in ([7, 8, 9], ["b", "a", "b", "a"])], np.array([3, 0, 1]), pa.array([True, False, True]))
+    assert [r for b in made for r in b.to_pylist()] == [
+        {"term": "", "chunk_ids": [7, 8, 9], "lens": [3, None, 1], "starts": [], "at": []},
+        {"term": "b", "chunk_ids": [7], "lens": [3], "starts": [0], "at": [0, 2]},
+        {"term": "a", "chunk_ids": [7, 9], "lens": [3, 1], "starts": [0, 1], "at": [1, 0]},
+    ]
+    few = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a b", "a", None])], ["chunk_id", "text"])
+    monkeypatch.setattr(R, "BLOCK_WORDS", 2)
+    assert [r["chunk_ids"] for b in R._in_blocks(iter([few.slice(0, 1), few.slice(1, 2)])) for r in b.to_pylist() if r["term"] == "a"] == [[1], [2]]
+    assert not [r for b in R._in_blocks(iter([few.slice(2, 1)])) for r in b.to_pylist() if r["term"]]  # no words at all
+
+
+def test_many_questions_and_beginnings_of_words_through_blocks(spark):
+    c = P.chunks(spark, SF)
+    held, plain, sizes = R.postings_in_blocks(c), R.postings(c), R.lengths(c)
+    asked = spark.createDataFrame([(7, ["the", "ering"]), (8, ["on"])], "query_id int, terms array<string>")
+    many = lambda i: {(r.query_id, r.chunk_id, r["rank"]): r.score for r in R.bm25_many(i, sizes, asked, 9).collect()}
+    assert many(held) == pytest.approx(many(plain))
+    begins = spark.createDataFrame([(1, "ering"), (2, "the")], "query_id int, prefix string")
+    found = lambda i: sorted(map(tuple, R.chunks_of_prefixes(R.terms_of(i), i, begins, 3).collect()))
+    assert found(held) == found(plain) != []
+    assert {r.chunk_id: r.f for r in R.phrase_places(held, ["the", "ering"]).collect()} == {r.chunk_id: r.f for r in R.phrase_places(plain, ["the", "ering"]).collect()}
+    assert R.bm25_indexed(held, R.size_of(sizes), ["zz zz"]).count() == 0
+
+
 def test_folding_takes_marks_off_latin_letters(spark):
     got = spark.createDataFrame([("Ếà ŝ ñ Ọ é Ø й Ž",)], "t string").select(X.tokens(F.col("t"))).first()[0]
     assert got == ["ea", "s", "n", "o", "e", "ø", "й", "z"]
