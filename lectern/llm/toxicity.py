@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,40 @@ def pieces(word: str) -> list[int]:
     return [zlib.crc32(p.encode()) % BUCKETS for p in sorted(parts)]
 
 
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, (t >> 1) ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+_CRC = _crc_table()
+
+
+def pieces_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of many words at once, as ``pieces`` gives them for each but in another order, and how many each word has."""
+    if not words:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    data = "".join([f"^{w}$" for w in words]).encode()
+    raw = np.frombuffer(data, dtype=np.uint8)
+    letter = np.r_[np.flatnonzero((raw & 0xC0) != 0x80), len(raw)]  # where each letter begins
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    first = np.cumsum(sizes) - sizes
+    bounds = letter[np.r_[first, len(letter) - 1]].tolist()
+    out, has = np.zeros((len(words), 9), dtype=np.int64), np.zeros((len(words), 9), dtype=bool)
+    out[:, 0], has[:, 0] = [zlib.crc32(data[a:z]) for a, z in zip(bounds, bounds[1:], strict=False)], True
+    for column, (k, back) in enumerate([(k, False) for k in range(4, 9)] + [(k, True) for k in range(4, 7)], 1):
+        own = np.flatnonzero(sizes > k)
+        start = first[own] + (sizes[own] - k if back else 0)
+        at, end = letter[start], letter[start + k]
+        crc = np.full(len(own), 0xFFFFFFFF, dtype=np.uint32)
+        for j in range(int((end - at).max()) if len(own) else 0):
+            some = slice(None) if j < k else np.flatnonzero(at + j < end)  # a letter is a byte at least
+            crc[some] = _CRC[(crc[some] ^ raw[at[some] + j]) & 0xFF] ^ (crc[some] >> np.uint32(8))
+        out[own, column], has[own, column] = crc ^ np.uint32(0xFFFFFFFF), True
+    return out[has] % BUCKETS, has.sum(axis=1)
+
+
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
@@ -76,10 +111,22 @@ _GROUPS = ("ßüöä", "ñóíúá", "çèêàéù")
 
 def group_of(text: str | None) -> int:
     """A group of languages, by the letters a text holds most of; the last for none of them."""
-    found = [sum(map((text or "").lower().count, g)) for g in _GROUPS]
+    low = (text or "").lower()
+    found = [sum(map(low.count, g)) for g in _GROUPS]
     return int(np.argmax(found)) if any(found) else len(_GROUPS)
 
 
+class Parts:
+    """The features of numbered words, one after another in one array."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat, self.sizes, self.start = flat, sizes, np.cumsum(sizes) - sizes
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        many = self.sizes[words]
+        return self.flat[np.repeat(self.start[words] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+
+
 class Net:
     """Weights of the classifier, with a forward pass by distinct words and a training pass."""
 
@@ -95,12 +142,11 @@ class Net:
         self.forget()
 
     def embed(self, words: list[str]) -> np.ndarray:
-        ids = [pieces(w) for w in words]
-        flat, sizes = np.fromiter((i for x in ids for i in x), dtype=np.int64), np.array([len(x) for x in ids])
-        return np.add.reduceat(self.table[flat], np.cumsum(sizes) - sizes) / sizes[:, None] if len(ids) else np.zeros((0, DIM))
+        flat, sizes = pieces_of(words)
+        return np.add.reduceat(self.table[flat], np.cumsum(sizes) - sizes) / sizes[:, None] if len(words) else np.zeros((0, DIM))
 
     def _ids(self, docs: list[list[str]]) -> np.ndarray:
-        new = set().union(*docs) - self.seen.keys()
+        new = set().union(*docs).difference(self.seen)
         if len(self.seen) + len(new) > KEPT_WORDS:
             self.seen, self.values = {}, self.values[:0]
             new = set().union(*docs)
@@ -163,9 +209,9 @@ class Net:
         ``since`` and ``until`` say which part of the whole training this is, for the rate.
         """
         r = np.random.default_rng(seed)
-        number: dict[str, int] = {}
-        ids = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), dtype=np.int32) for t in texts]
-        parts = [np.array(pieces(w)) for w in number]
+        number: dict[str, int] = defaultdict(lambda: len(number))  # a new word takes the next number
+        ids = [np.array([number[w] for w in words_of(t)], dtype=np.int32) for t in texts]
+        parts = Parts(*pieces_of(list(number)))
         sides = [np.flatnonzero((labels == v) & np.array([len(d) > 0 for d in ids])) for v in (0, 1)]
         if not all(len(s) for s in sides):
             return
@@ -201,13 +247,13 @@ class Net:
         """Drop the filter values of words met so far."""
         self.seen, self.values = {}, np.zeros((0, sum(WIDTHS) * FILTERS), dtype=np.float32)
 
-    def _gradients(self, docs: list[np.ndarray], labels: np.ndarray, parts: list[np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    def _gradients(self, docs: list[np.ndarray], labels: np.ndarray, parts: Parts) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """Mean gradients of the loss over documents of at least one word: of the weights, and of the rows of the table that were looked at."""
         sizes = np.array([len(d) for d in docs])
         start, words, owner = np.cumsum(sizes) - sizes, np.concatenate(docs), np.repeat(np.arange(len(docs)), sizes)
         unique, at = np.unique(words, return_inverse=True)
-        many = np.array([len(parts[i]) for i in unique])
-        e = np.add.reduceat(self.table[np.concatenate([parts[i] for i in unique])], np.cumsum(many) - many) / many[:, None]
+        many = parts.sizes[unique]
+        e = np.add.reduceat(self.table[parts.of(unique)], np.cumsum(many) - many) / many[:, None]
         pooled, where = np.zeros((len(docs), len(self.bias))), np.zeros((len(docs), len(self.bias)), dtype=np.int64)
         for n, f in enumerate(self.filters):
             w, along = len(f), np.zeros((FILTERS, len(words)), dtype=np.float32)
@@ -235,7 +281,7 @@ class Net:
         word, row = np.unique(np.concatenate(looked), return_inverse=True)
         slope = np.zeros((len(word), DIM))
         np.add.at(slope, row, np.concatenate(flows))
-        rows, row = np.unique(np.concatenate([parts[i] for i in unique[word]]) if len(word) else np.zeros(0, dtype=np.int64), return_inverse=True)
+        rows, row = np.unique(parts.of(unique[word]), return_inverse=True)
         slopes = np.zeros((len(rows), DIM))
         np.add.at(slopes, row, np.repeat(slope / many[word][:, None], many[word], axis=0))
         return grads, rows, slopes

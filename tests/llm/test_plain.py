@@ -62,3 +62,12 @@ def test_toxicity_by_a_plain_forward_pass(spark):
 
     assert net.scores(asked).tolist() == pytest.approx([plain(t) for t in asked], abs=1e-4)
     assert len(set(np.round(net.scores(asked), 3).tolist())) > 20
+
+
+def test_features_of_many_words_are_those_of_each():
+    words = ["a", "é", "日本語", "straße", "ab", "abc", "abcd", "abcde", "abcdef", "abcdefg", "abcdefgh", "ñandúñandú", "𝒜𝒷𝒸𝒹ef", "x" * 300]
+    flat, sizes = toxicity.pieces_of(words)
+    parts, each = toxicity.Parts(flat, sizes), [sorted(toxicity.pieces(w)) for w in words]
+    assert [sorted(parts.of(np.array([i])).tolist()) for i in range(len(words))] == each and sizes.tolist() == list(map(len, each))
+    assert sorted(parts.of(np.array([13, 2, 2])).tolist()) == sorted(each[13] + 2 * each[2]) and not len(parts.of(np.zeros(0, dtype=np.int64)))
+    assert [len(x) for x in toxicity.pieces_of([])] == [0, 0]
